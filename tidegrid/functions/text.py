@@ -16,11 +16,26 @@ ACCESS_TOKEN = (
 )
 
 
+_END = "tidegrid:end-of-text"
+
+
+def is_json(text: Column) -> Column:
+    """One JSON value and nothing after it.
+
+    The parser stops after the first value, so the text is put in front of a
+    marker in a list: only a lone value leaves exactly the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    entries = listed.try_cast("array<variant>")
+    marker = F.try_variant_get(listed, "$[1]", "string")
+    return F.coalesce((F.size(entries) == 2) & (marker == _END), F.lit(False))
+
+
 def text_policy_codes(text: Column, expect_json: Column | None = None,
                       size_limit: int = C.TEXT_SIZE_LIMIT) -> Column:
     """Codes of one text. An oversize text gets no further check."""
     oversize = F.octet_length(text) > size_limit
-    bad_json = F.try_parse_json(text).isNull() if expect_json is not None else F.lit(False)
+    bad_json = ~is_json(text) if expect_json is not None else F.lit(False)
     wanted = expect_json if expect_json is not None else F.lit(False)
     return F.when(oversize, F.array(F.lit("oversize"))).otherwise(codes_where(
         ("machine_path", text.rlike(MACHINE_PATH)),

@@ -20,7 +20,7 @@ def candidate_grid(labels: DataFrame, window_ms: int = C.WINDOW_MS,
     a subject outside the fixed split are left out, as they are no candidates.
     """
     parent_ms = window_ms * windows
-    start = F.col("label_start_ms") + F.col("window_index") * window_ms
+    start = F.col("label_start_ms") + F.col("window_index").cast("bigint") * window_ms
     return (
         labels.withColumn("split", ids.fatigue_split(F.col("subject_id")))
         .where("split is not null")

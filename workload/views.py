@@ -285,8 +285,8 @@ view("v_grid", f"""
 SELECT session_id, subject_id, {sql_split('subject_id')} AS split, kss_score, {sql_kss_id('kss_score')} AS label_id,
   {sql_kss_class('kss_score')} AS label_class, w AS window_index, label_index,
   CAST(label_index AS BIGINT) * 8 * {WINDOW_H_MS} AS label_start_ms, (CAST(label_index AS BIGINT) + 1) * 8 * {WINDOW_H_MS} AS label_end_ms,
-  CAST(label_index AS BIGINT) * 8 * {WINDOW_H_MS} + w * {WINDOW_H_MS} AS window_start_ms,
-  CAST(label_index AS BIGINT) * 8 * {WINDOW_H_MS} + (w + 1) * {WINDOW_H_MS} AS window_end_ms
+  CAST(label_index AS BIGINT) * 8 * {WINDOW_H_MS} + CAST(w AS BIGINT) * {WINDOW_H_MS} AS window_start_ms,
+  CAST(label_index AS BIGINT) * 8 * {WINDOW_H_MS} + (CAST(w AS BIGINT) + 1) * {WINDOW_H_MS} AS window_end_ms
 FROM v_session_labels, (SELECT CAST(unnest(range(8)) AS INT) AS w)""", "v_session_labels")
 
 

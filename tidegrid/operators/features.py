@@ -224,13 +224,15 @@ def state_columns(statistics: DataFrame) -> tuple[Column, Column]:
 
 def standardize(bundles: DataFrame, mean: Column, scale: Column) -> DataFrame:
     """``(x-mean)/scale``; invalid tokens become 0; adds ``standardize_error``."""
-    norm = F.array_sort(F.transform(F.arrays_zip(mean.alias("m"), scale.alias("s")), lambda z, i: F.struct(
-        i.alias("i"), z["m"].cast("float").alias("m"), z["s"].cast("float").alias("s"))))
-    rows = bundles.withColumn("__norm", norm)
-    scaled = F.zip_with("x", "valid_mask", lambda r, ok: F.zip_with(
-        r, F.col("__norm"), lambda v, n: F.when(ok, ((v - n["m"]) / n["s"]).cast("float")).otherwise(F.lit(0).cast("float"))))
+    # Subqueries may not stand inside array functions, so they become columns first.
+    rows = bundles.withColumns({"__mean": mean, "__scale": scale})
+    one = lambda v: v.cast("float")
+    centred = lambda r: F.zip_with(r, "__mean", lambda v, m: one(v) - one(m))
+    scaled = lambda r: F.zip_with(centred(r), "__scale", lambda v, s: one(v / one(s)))
+    blank = lambda r: F.transform(r, lambda v: F.lit(0).cast("float"))
+    values = F.zip_with("x", "valid_mask", lambda r, ok: F.when(ok, scaled(r)).otherwise(blank(r)))
     return (
-        rows.withColumn("x", scaled).drop("__norm")
+        rows.withColumn("x", values).drop("__mean", "__scale")
         .withColumn("standardize_error", ~F.forall("x", all_finite))
     )
 
@@ -276,7 +278,7 @@ def masked_mean_max_last(bundles: DataFrame, out: str = "pooled") -> DataFrame:
     with_tokens = bundles.withColumn("__t", _valid_tokens())
     count = F.size("__t")
     mean = F.transform(_fold(F.col("__t"), lambda a, b: a + b), lambda v: v / count)
-    top = _fold(F.col("__t"), F.greatest)
+    top = _fold(F.col("__t"), lambda a, b: F.greatest(a, b))
     last = F.get("__t", count - 1)
     return with_tokens.withColumn(out, F.when(count > 0, F.concat(mean, top, last))).drop("__t")
 

@@ -28,9 +28,10 @@ def build_telemetry_dataset(labels: DataFrame, rows: DataFrame,
                             settings: telemetry.TokenSettings = telemetry.TokenSettings()) -> TelemetryDataset:
     """Labels and telemetry to judged windows, parents, subjects and anomalies.
 
-    The windows feed four results, so they are written once to the shared
-    folder; the audit is small and written too, as two branches need it.
+    Steps, audit and windows each feed several branches, so each is written once
+    to the shared folder and read back with only the columns a branch needs.
     """
+    rows = stage(telemetry.clock_steps(rows), "steps")
     audit = stage(telemetry.clock_audit(rows, settings.clock_jump_s), "audit")
     require_none(audit, F.col("clock_error") != "", "telemetry clock")
     lattice = grid.candidate_grid(labels, settings.window_us // 1000)

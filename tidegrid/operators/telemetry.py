@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import constants as C
 from tidegrid.functions.numeric import codes_where, is_finite
-from tidegrid.plans.chunked import cut, with_previous
+from tidegrid.plans.chunked import cut, with_history
 from tidegrid.plans.medians import exact_median
 
 SIGNALS = ("heading_deg", "pitch_deg", "roll_deg", "speed_mps", "rpm", "gear")
@@ -71,10 +71,23 @@ def usable(signals=SIGNALS) -> Column:
 # -- clock --------------------------------------------------------------------
 
 def clock_steps(telemetry: DataFrame) -> DataFrame:
-    """Adds ``step_us`` to the row before; null on a session's first row."""
-    out = with_previous(telemetry, ["session_id"], ["row_no"], cut("row_no"),
-                        ["timestamp_us"], "previous_us")
-    return out.withColumn("step_us", F.col("timestamp_us") - F.col("previous_us"))
+    """Adds ``step_us`` to the row before and ``usable_step_us`` to the last
+    usable row before; null where there is none.
+
+    On the trusted rows the clock rises, so the latest usable stamp is the
+    largest one. Rows that carry the steps already, such as a staged table, are
+    left as they are.
+    """
+    if "step_us" in telemetry.columns:
+        return telemetry
+    ok = usable()
+    rows = with_history(
+        telemetry, ["session_id"], ["row_no"], cut("row_no"), ["timestamp_us"], "previous_us",
+        running={"__usable_us": F.when(ok, F.col("timestamp_us"))})
+    return rows.withColumns({
+        "step_us": F.col("timestamp_us") - F.col("previous_us"),
+        "usable_step_us": F.when(ok, F.col("timestamp_us") - F.col("__usable_us")),
+    }).drop("previous_us", "__usable_us")
 
 
 def bad_step(threshold_s: float) -> Column:
@@ -89,7 +102,7 @@ def clock_audit(telemetry: DataFrame, threshold_s: float = 1.0) -> DataFrame:
     """
     steps = clock_steps(telemetry)
     bad = bad_step(threshold_s)
-    first_bad = F.min(F.when(bad, F.struct("row_no", "previous_us")))
+    first_bad = F.min(F.when(bad, F.struct("row_no", (F.col("timestamp_us") - F.col("step_us")).alias("previous_us"))))
     audit = steps.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("source_rows"),
         F.min_by("timestamp_us", "row_no").alias("start_us"),
@@ -132,6 +145,7 @@ def clock_anomalies(telemetry: DataFrame, threshold_s: float = 1.0) -> DataFrame
 
 def trusted_prefix(telemetry: DataFrame, audit: DataFrame) -> DataFrame:
     """Rows up to and including the last one before the first bad step."""
+    telemetry = clock_steps(telemetry)
     limits = audit.select("session_id", "start_us", "first_anomaly_index")
     return (
         telemetry.join(limits, "session_id")
@@ -157,11 +171,8 @@ def gate_windows(grid: DataFrame, audit: DataFrame) -> DataFrame:
 
 def usable_median(trusted: DataFrame) -> DataFrame:
     """Median step of the usable trusted rows of each session that has two."""
-    rows = trusted.where(usable()).select("session_id", "row_no", "relative_us")
-    steps = with_previous(rows, ["session_id"], ["row_no"], cut("row_no"),
-                          ["relative_us"], "__before")
-    steps = steps.withColumn("step_us", F.col("relative_us") - F.col("__before"))
-    return exact_median(steps, ["session_id"], "step_us", "__m").select(
+    steps = clock_steps(trusted).select("session_id", "usable_step_us")
+    return exact_median(steps, ["session_id"], "usable_step_us", "__m").select(
         "session_id", (F.col("__m") / 1e6).alias("usable_dt_s"))
 
 
@@ -403,7 +414,12 @@ def bundle_tokens(dense: DataFrame) -> DataFrame:
 
 def telemetry_windows(grid: DataFrame, telemetry: DataFrame, settings: TokenSettings,
                       audit: DataFrame | None = None, edges: str = "float") -> DataFrame:
-    """Every candidate window with its verdict; no candidate row is lost."""
+    """Every candidate window with its verdict; no candidate row is lost.
+
+    The rows are read by the audit, the medians and the tokens. Pass a staged
+    ``clock_steps`` table where that work should be done once.
+    """
+    telemetry = clock_steps(telemetry)
     audit = clock_audit(telemetry, settings.clock_jump_s) if audit is None else audit
     gated = gate_windows(grid, audit).withColumn(
         "window_no", F.call_function("div", F.col("window_start_ms") * 1000, F.lit(settings.window_us)))

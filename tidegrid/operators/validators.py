@@ -25,6 +25,7 @@ from tidegrid.operators.ordering import changed_from_previous, flag_repeats
 from tidegrid.operators.pairing import child_binding, id_set_difference
 from tidegrid.plans.guards import ContractError, LockedSplitError
 from tidegrid.plans.rules import Rule, broken_rows, first_broken, passed, rule_name
+from tidegrid.session import stage
 
 NAMED_FIELDS = ("sample_id", "subject_id", "session_id", "source_file", "extractor_name", "extractor_version")
 _INTS = ("window_start_ms", "window_end_ms", "duration_ms", "window_index", "label_id")
@@ -96,7 +97,7 @@ def metadata_rules(task: str, min_ratio: float = C.MIN_COVERAGE) -> list[Rule]:
     if task == "distraction":
         rules.append(Rule("subject", ids.full_match(F.col("subject_id"), ids.SUBJECT)))
     rules += [
-        Rule("source_file", sources.isNotNull() & (F.size(sources) > 0) & F.forall(sources, is_safe_relative_path)),
+        Rule("source_file", sources.isNotNull() & (F.size(sources) > 0) & F.forall(sources, lambda s: is_safe_relative_path(s))),
         Rule("integers", ints),
         Rule("window_times", (start >= 0) & (duration > 0) & (end - start == duration)),
     ]
@@ -143,7 +144,9 @@ def validate_metadata(rows: DataFrame, task: str, bundles: DataFrame | None = No
     """Error rows (code, row_no, rule) of a shared metadata table.
 
     A ``malformed`` column, if there is one, marks lines of the wrong length:
-    they are reported and take no further part.
+    they are reported and take no further part. The rules, with the arrays they
+    look at, are judged once: the verdicts are written to the shared folder and
+    the checks across rows read only their keys from there.
     """
     errors = []
     if "malformed" in rows.columns:
@@ -151,8 +154,10 @@ def validate_metadata(rows: DataFrame, task: str, bundles: DataFrame | None = No
         rows = rows.where("not malformed").drop("malformed")
     rules = metadata_rules(task, min_ratio)
     judged = with_bundles(_typed(rows), bundles).withColumn("__at", first_broken(rules))
-    # The arrays have done their part; only scalars go on.
-    state = judged.drop(*C.BUNDLE_DTYPES)
+    kept = ["row_no", "sample_id", "subject_id", "session_id", "split", "modality", "p_window_start_ms", "__at"]
+    if task == "fatigue":
+        kept += ["p_label_start_ms", "p_kss_score"]
+    state = stage(judged.select(*kept), "verdicts")
     bad = state.where("__at is not null")
     errors.append(_error(bad, "INVALID_ROW", rule_name(F.col("__at"), rules)))
     got = lambda name: state.where(passed("__at", name, rules))
@@ -280,7 +285,7 @@ def validate_clips_6(rows: DataFrame, modality: str, splits: DataFrame, bundles:
     expected = splits.select("subject_id", F.col("split").alias("__want"))
     rules = clip_6_rules(modality, "__want", min_ratio)
     judged = with_bundles(_typed(rows).join(expected, "subject_id", "left"), bundles)
-    state = judged.withColumn("__at", first_broken(rules)).drop(*C.BUNDLE_DTYPES)
+    state = stage(judged.withColumn("__at", first_broken(rules)).select("row_no", "sample_id", "__at"), "verdicts")
     bad = _error(state.where("__at is not null"), "INVALID_ROW", rule_name(F.col("__at"), rules))
     got = state.where(passed("__at", "source_stem", rules))
     again = _error(flag_repeats(got, ["sample_id"]).where("is_repeat"), "DUPLICATE_SAMPLE_ID")

@@ -40,43 +40,46 @@ def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Colu
     return parts, laid_out, inside, between
 
 
+def with_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+                 previous: Sequence[str] = (), out: str = "previous",
+                 running: dict[str, Column] | None = None, include_current: bool = False) -> DataFrame:
+    """Adds the previous row's values and running maxima in one pass.
+
+    ``previous`` names the columns taken from the row before: one as it is,
+    several as a struct, under ``out``. Each entry of ``running`` becomes the
+    maximum of its expression over all earlier rows (and the row itself with
+    ``include_current``).
+    """
+    running = running or {}
+    df = df.withColumns({f"__v_{n}": c for n, c in running.items()})
+    parts, laid_out, inside, between = _split(df, keys, order, chunk)
+    earlier = between.rowsBetween(W.unboundedPreceding, -1)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
+    facts = [F.max(f"__v_{n}").alias(f"__m_{n}") for n in running]
+    carried = [F.max(f"__m_{n}").over(earlier).alias(f"__c_{n}") for n in running]
+    if previous:
+        facts.append(F.max_by(_one(previous), _one(order)).alias("__tail"))
+        carried.append(F.lag("__tail").over(between).alias("__carry"))
+    per_chunk = parts.groupBy(*keys, _CHUNK).agg(*facts).select(*keys, _CHUNK, *carried)
+    rows = laid_out.withColumns({f"__r_{n}": F.max(f"__v_{n}").over(upto) for n in running})
+    if previous:
+        rows = rows.withColumns({
+            "__first": F.row_number().over(inside) == 1, out: F.lag(_one(previous)).over(inside)})
+    rows = rows.join(per_chunk, [*keys, _CHUNK], "left").withColumns(
+        {n: F.greatest(f"__r_{n}", f"__c_{n}") for n in running})
+    if previous:
+        rows = rows.withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col(out)))
+    return rows.drop(_CHUNK, "__first", "__carry", *[f"__{p}_{n}" for n in running for p in "vrc"])
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                   values: Sequence[str], out: str = "previous") -> DataFrame:
-    """Adds the previous row's ``values`` (one column, or a struct of several)."""
-    parts, laid_out, inside, between = _split(df, keys, order, chunk)
-    last_rows = (
-        parts.groupBy(*keys, _CHUNK)
-        .agg(F.max_by(_one(values), _one(order)).alias("__tail"))
-        .select(*keys, _CHUNK, F.lag("__tail").over(between).alias("__carry"))
-    )
-    return (
-        laid_out
-        .withColumn("__first", F.row_number().over(inside) == 1)
-        .withColumn(out, F.lag(_one(values)).over(inside))
-        .join(last_rows, [*keys, _CHUNK], "left")
-        .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col(out)))
-        .drop("__first", "__carry", _CHUNK)
-    )
+    return with_history(df, keys, order, chunk, previous=values, out=out)
 
 
 def with_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                      values: dict[str, Column], include_current: bool = False) -> DataFrame:
-    """Adds, per entry of ``values``, the maximum over all earlier rows."""
-    df = df.withColumns({f"__v_{n}": c for n, c in values.items()})
-    parts, laid_out, inside, between = _split(df, keys, order, chunk)
-    rows = inside.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
-    earlier = between.rowsBetween(W.unboundedPreceding, -1)
-    per_chunk = (
-        parts.groupBy(*keys, _CHUNK)
-        .agg(*[F.max(f"__v_{n}").alias(f"__m_{n}") for n in values])
-        .select(*keys, _CHUNK, *[F.max(f"__m_{n}").over(earlier).alias(f"__c_{n}") for n in values])
-    )
-    out = laid_out.withColumns({f"__r_{n}": F.max(f"__v_{n}").over(rows) for n in values})
-    out = out.join(per_chunk, [*keys, _CHUNK], "left")
-    return (
-        out.withColumns({n: F.greatest(f"__r_{n}", f"__c_{n}") for n in values})
-        .drop(_CHUNK, *[f"__{p}_{n}" for n in values for p in "vrc"])
-    )
+    return with_history(df, keys, order, chunk, running=values, include_current=include_current)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,

@@ -16,6 +16,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Recording the Python line of every column call costs more than the calls.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

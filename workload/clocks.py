@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from tidegrid.operators import coverage, grid, intervals, jobs
 from tidegrid.operators import telemetry as T
 from tidegrid.plans.medians import exact_median
+from tidegrid.session import stage
 from workload.registry import query, rounded, sql, table, view
 from workload.views import EVENT_JUMP_S, EVENT_TOKENS, WINDOW_H_MS, v_clip, v_session_labels, v_sup, v_tel
 
 S = EVENT_TOKENS
-TOKENS, TOKEN_S, WINDOW_S = S.tokens, S.token_s, S.window_s
-LIMIT_S = S.max_gap_s
+# numbers with a point are decimals in SQL, so the lengths are marked as doubles
+TOKENS, TOKEN_S, WINDOW_S = S.tokens, f"{S.token_s}::DOUBLE", f"{S.window_s}::DOUBLE"
+LIMIT_S = f"{S.max_gap_s}::DOUBLE"
 
 # -- T2, T3, T4, A19 -----------------------------------------------------------------
 
@@ -27,15 +29,25 @@ SELECT a.*, bad - 1 AS first_anomaly_index, bad + 1 AS first_anomaly_row, (t.tim
 FROM v_audit0 a LEFT JOIN v_tel t ON t.session_id = a.session_id AND t.row_no = a.bad - 1""", "v_audit0", "v_tel")
 
 
+def steps(spark, d):
+    """The rows with their steps, written once: every later step reads them again."""
+    return stage(T.clock_steps(v_tel(spark, d)), "steps")
+
+
+def audited(spark, d):
+    rows = steps(spark, d)
+    return rows, stage(T.clock_audit(rows, EVENT_JUMP_S), "audit")
+
+
 def audit(spark, d):
-    return T.clock_audit(v_tel(spark, d), EVENT_JUMP_S)
+    return audited(spark, d)[1]
 
 
 @query("clock_audit", sql("v_audit", """
 SELECT session_id, source_rows, start_us, anomaly_count, round(median_dt_s, 6) AS median_dt_s, first_anomaly_index, first_anomaly_row,
  round(first_anomaly_time_s, 6) AS first_anomaly_time_s, round(CASE WHEN isinf(trust_end_s) THEN -1 ELSE trust_end_s END, 6) AS trust_end_s, clock_status, clock_error FROM v_audit"""))
 def clock_audit(spark, d):
-    out = audit(spark, d)
+    out = T.clock_audit(v_tel(spark, d), EVENT_JUMP_S)
     return rounded(out.withColumn("trust_end_s", F.when(F.col("trust_end_s") == float("inf"), -1.0).otherwise(F.col("trust_end_s"))))
 
 
@@ -51,8 +63,7 @@ WHERE first_anomaly_index IS NULL OR row_no <= first_anomaly_index""", "v_tel",
 
 
 def trusted(spark, d):
-    rows = v_tel(spark, d)
-    return T.trusted_prefix(rows, T.clock_audit(rows, EVENT_JUMP_S))
+    return T.trusted_prefix(*audited(spark, d))
 
 
 @query("trusted_prefix", sql("v_trust", "SELECT session_id, row_no, relative_us, round(time_s, 6) AS time_s FROM v_trust"))
@@ -96,17 +107,17 @@ _VALUES = ("heading_sin", "heading_cos", "pitch_sin", "pitch_cos", "roll_sin", "
 
 
 @query("resample_tokens", sql("v_token", f"""
-SELECT session_id, window_no, token_no, n, {', '.join(f'round({v}, 6) AS {v}' for v in _VALUES)}, gear, round(gap_s, 4) AS gap_s, gap_s <= {LIMIT_S} + 1e-9 AS filled FROM v_token"""))
+SELECT session_id, window_no, token_no, n, {', '.join(f'round({v}, 6) AS {v}' for v in _VALUES)}, gear, round(gap_s, 6) AS gap_s, gap_s <= {LIMIT_S} + 1e-9 AS filled FROM v_token"""))
 def resample_tokens(spark, d):
-    out = rounded(tokens(spark, d).select("session_id", "window_no", "token_no", "n", *_VALUES, "gear", "gap_s", "filled"))
-    return out.withColumn("gap_s", F.round("gap_s", 4))
+    return rounded(tokens(spark, d).select("session_id", "window_no", "token_no", "n", *_VALUES, "gear", "gap_s", "filled"))
 
 
 view("v_open", "SELECT DISTINCT session_id, CAST(window_index AS BIGINT) AS window_no FROM v_gate WHERE gate = 'open'", "v_gate")
 
 
-def opened(spark, d):
-    gated = T.gate_windows(lattice(spark, d), audit(spark, d)).where("gate = 'open'")
+def opened(spark, d, verdicts=None):
+    verdicts = audit(spark, d) if verdicts is None else verdicts
+    gated = T.gate_windows(lattice(spark, d), verdicts).where("gate = 'open'")
     return gated.select("session_id", F.col("window_index").cast("bigint").alias("window_no")).distinct()
 
 
@@ -115,7 +126,9 @@ SELECT o.session_id, o.window_no, k.token_no, coalesce(t.n, 0) AS n, k.token_no
  coalesce(t.gap_s <= {LIMIT_S} + 1e-9, false) AS filled
 FROM v_open o CROSS JOIN (SELECT CAST(unnest(range({TOKENS})) AS INT) AS token_no) k LEFT JOIN v_token t ON t.session_id = o.session_id AND t.window_no = o.window_no AND t.token_no = k.token_no"""))
 def token_scaffold(spark, d):
-    return T.token_scaffold(opened(spark, d), tokens(spark, d), S).select(
+    rows, verdicts = audited(spark, d)
+    found = T.resample_tokens(T.place_rows(T.trusted_prefix(rows, verdicts), S), S)
+    return T.token_scaffold(opened(spark, d, verdicts), found, S).select(
         "session_id", "window_no", "token_no", "n", "support_start_s", "support_end_s", "center_s", "filled")
 
 
@@ -139,20 +152,22 @@ LEFT JOIN v_token t ON t.session_id = o.session_id AND t.window_no = o.window_no
 
 @query("observed_fraction", sql("v_dense", "SELECT session_id, window_no, token_no, round(CAST(observed_fraction AS DOUBLE), 6) AS observed_fraction FROM v_dense"))
 def observed_fraction(spark, d):
-    found = tokens(spark, d)
-    frame = T.window_frame(opened(spark, d), found, T.usable_median(trusted(spark, d)))
+    rows, verdicts = audited(spark, d)
+    kept = T.trusted_prefix(rows, verdicts)
+    found = T.resample_tokens(T.place_rows(kept, S), S)
+    frame = T.window_frame(opened(spark, d, verdicts), found, T.usable_median(kept))
     return rounded(T.with_observed_fraction(T.token_scaffold(frame, found, S), S).select(
         "session_id", "window_no", "token_no", "observed_fraction"))
 
 
 # neighbour rows are looked up among all usable rows by time, independent of windows
 view("v_near", f"""
-SELECT d.*, b.time_s AS bt, a.time_s AS at, d.window_no * {WINDOW_S} + (d.token_no + 0.5::DOUBLE) * {TOKEN_S} AS center,
+SELECT d.*, b.time_s AS bt, a.time_s AS after_s, d.window_no * {WINDOW_S} + (d.token_no + 0.5::DOUBLE) * {TOKEN_S} AS center,
  b.heading_deg AS bh, a.heading_deg AS ah, b.pitch_deg AS bp, a.pitch_deg AS ap, b.roll_deg AS br, a.roll_deg AS ar, b.speed_mps AS bs, a.speed_mps AS asp, b.rpm AS brpm, a.rpm AS arpm, b.gear AS bg
 FROM (SELECT *, window_no * {WINDOW_S} + token_no * {TOKEN_S} AS l FROM v_dense) d
 ASOF LEFT JOIN v_rows b ON b.session_id = d.session_id AND d.l > b.time_s ASOF LEFT JOIN v_rows a ON a.session_id = d.session_id AND d.l <= a.time_s""", "v_dense", "v_rows")
 view("v_final", f"""
-SELECT *, n = 0 AND coalesce(at - bt <= {LIMIT_S} + 1e-9, false) AS interpolated, (center - bt) / (at - bt) AS w FROM v_near""", "v_near")
+SELECT *, n = 0 AND coalesce(after_s - bt <= {LIMIT_S} + 1e-9, false) AS interpolated, (center - bt) / (after_s - bt) AS w FROM v_near""", "v_near")
 _MIX = {"heading_sin": "sin(radians(bh + w * (ah - bh)))", "heading_cos": "cos(radians(bh + w * (ah - bh)))", "pitch_sin": "sin(radians(bp + w * (ap - bp)))",
         "pitch_cos": "cos(radians(bp + w * (ap - bp)))", "roll_sin": "sin(radians(br + w * (ar - br)))", "roll_cos": "cos(radians(br + w * (ar - br)))",
         "speed_mps": "bs + w * (asp - bs)", "rpm": "brpm + w * (arpm - brpm)", "gear": "bg"}
@@ -160,7 +175,8 @@ _FINAL = ", ".join(f"round(CAST(CAST(CASE WHEN interpolated THEN {m} WHEN filled
 
 
 def dense(spark, d):
-    return T.dense_tokens(opened(spark, d), trusted(spark, d), S)
+    rows, verdicts = audited(spark, d)
+    return T.dense_tokens(opened(spark, d, verdicts), T.trusted_prefix(rows, verdicts), S)
 
 
 @query("interpolate_tokens", sql("v_final", f"SELECT session_id, window_no, token_no, interpolated, filled OR interpolated AS token_valid, {_FINAL} FROM v_final"))
@@ -174,16 +190,16 @@ WITH f AS (SELECT *, filled OR interpolated AS ok, max(CASE WHEN filled OR inter
 q AS (SELECT session_id, window_no, avg(CAST(ok AS INT)) AS valid_ratio, avg(CAST(observed_fraction AS DOUBLE)) AS raw_coverage_ratio, count(*) FILTER (WHERE interpolated) AS interpolated_token_count,
  greatest(coalesce(max(CASE WHEN ok THEN token_no - coalesce(pv, -1) - 1 END), 0), {TOKENS - 1} - coalesce(max(CASE WHEN ok THEN token_no END), -1)) * {TOKEN_S} AS max_unusable_gap_s,
  CASE WHEN max(n) = 0 THEN {WINDOW_S} ELSE greatest(min(first_s) - window_no * {WINDOW_S}, coalesce(max(step_s), 0), (window_no + 1) * {WINDOW_S} - max(last_s)) END AS max_raw_gap_s FROM f GROUP BY session_id, window_no)
-SELECT *, list_filter([CASE WHEN raw_coverage_ratio + 1e-9 < {S.min_raw_coverage} THEN 'RAW_COVERAGE_BELOW_95_PERCENT' END, CASE WHEN valid_ratio + 1e-9 < {S.min_valid_ratio} THEN 'FEATURE_COVERAGE_BELOW_95_PERCENT' END,
- CASE WHEN max_unusable_gap_s > {S.max_unusable_s} + 1e-9 THEN 'CONTINUOUS_UNUSABLE_GAP_EXCEEDS_1S' END], lambda x: x IS NOT NULL) AS codes FROM q""", "v_final")
+SELECT *, list_filter([CASE WHEN raw_coverage_ratio + 1e-9 < {S.min_raw_coverage}::DOUBLE THEN 'RAW_COVERAGE_BELOW_95_PERCENT' END, CASE WHEN valid_ratio + 1e-9 < {S.min_valid_ratio}::DOUBLE THEN 'FEATURE_COVERAGE_BELOW_95_PERCENT' END,
+ CASE WHEN max_unusable_gap_s > {S.max_unusable_s}::DOUBLE + 1e-9 THEN 'CONTINUOUS_UNUSABLE_GAP_EXCEEDS_1S' END], lambda x: x IS NOT NULL) AS codes FROM q""", "v_final")
 
 
 @query("window_quality", sql("v_quality", """
-SELECT session_id, window_no, round(valid_ratio, 6) AS valid_ratio, round(raw_coverage_ratio, 6) AS raw_coverage_ratio, interpolated_token_count, round(max_raw_gap_s, 4) AS max_raw_gap_s,
+SELECT session_id, window_no, round(valid_ratio, 6) AS valid_ratio, round(raw_coverage_ratio, 6) AS raw_coverage_ratio, interpolated_token_count, round(max_raw_gap_s, 6) AS max_raw_gap_s,
  max_unusable_gap_s, array_to_string(codes, ';') AS qc_reason_codes, CASE WHEN len(codes) = 0 THEN 'PASS' ELSE 'FAIL' END AS qc_status FROM v_quality"""))
 def window_quality(spark, d):
     out = T.window_quality(dense(spark, d), S).withColumn("qc_reason_codes", F.array_join("qc_reason_codes", ";"))
-    return rounded(out).withColumn("max_raw_gap_s", F.round("max_raw_gap_s", 4))
+    return rounded(out)
 
 
 @query("longest_false_run", sql("v_final", f"""
@@ -216,9 +232,14 @@ SELECT g.session_id, g.window_index, CASE WHEN gate = 'open' THEN CASE WHEN len(
 FROM v_gate g LEFT JOIN v_quality q ON q.session_id = g.session_id AND q.window_no = g.window_index""")
 
 
+def judged(spark, d):
+    rows, verdicts = audited(spark, d)
+    return rows, S, verdicts
+
+
 @query("telemetry_windows", _JUDGED)
 def telemetry_windows(spark, d):
-    out = T.telemetry_windows(lattice(spark, d), v_tel(spark, d), S)
+    out = T.telemetry_windows(lattice(spark, d), *judged(spark, d))
     return rounded(out.select("session_id", "window_index", "qc_status", "error", "valid", "clock_status", "valid_ratio",
                               "raw_coverage_ratio", "max_unusable_gap_s", "interpolated_token_count"))
 
@@ -236,7 +257,7 @@ def telemetry_dataset(spark, d):
 
 @query("telemetry_reason_counts", f"WITH j AS ({_JUDGED}) SELECT code, count(*) AS n FROM (SELECT unnest(string_split(error, ';')) AS code FROM j WHERE error <> '') GROUP BY code")
 def telemetry_reason_counts(spark, d):
-    return coverage.reason_counts(T.telemetry_windows(lattice(spark, d), v_tel(spark, d), S), "qc_reason_codes")
+    return coverage.reason_counts(T.telemetry_windows(lattice(spark, d), *judged(spark, d)), "qc_reason_codes")
 
 
 # -- T15, T19 ---------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
+# The tables' clocks are UTC. Recording Python lines of column calls is slow.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def query(name: str, oracle: str | None = None):
@@ -19,7 +22,15 @@ def query(name: str, oracle: str | None = None):
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            for key, value in SETTINGS.items():
+                if spark.conf.get(key, None) != value:
+                    spark.conf.set(key, value)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -54,8 +65,6 @@ def sql(needs: str, body: str) -> str:
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A given table, cut to the columns used so that the scan reads no more."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' clocks are UTC
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -44,11 +44,12 @@ def audit(spark, d):
 
 
 @query("clock_audit", sql("v_audit", """
-SELECT session_id, source_rows, start_us, anomaly_count, round(median_dt_s, 6) AS median_dt_s, first_anomaly_index, first_anomaly_row,
+SELECT session_id, source_rows, start_us, anomaly_count, round(median_dt_s, 9) AS median_dt_s, first_anomaly_index, first_anomaly_row,
  round(first_anomaly_time_s, 6) AS first_anomaly_time_s, round(CASE WHEN isinf(trust_end_s) THEN -1 ELSE trust_end_s END, 6) AS trust_end_s, clock_status, clock_error FROM v_audit"""))
 def clock_audit(spark, d):
     out = T.clock_audit(v_tel(spark, d), EVENT_JUMP_S)
-    return rounded(out.withColumn("trust_end_s", F.when(F.col("trust_end_s") == float("inf"), -1.0).otherwise(F.col("trust_end_s"))))
+    # a middle of two microsecond steps has half a microsecond: nine digits hold it
+    return rounded(out.withColumn("trust_end_s", F.when(F.col("trust_end_s") == float("inf"), -1.0).otherwise(F.col("trust_end_s"))), 9)
 
 
 @query("clock_anomalies", sql("v_step", f"""
@@ -137,9 +138,9 @@ SELECT session_id, median(step) / 1e6::DOUBLE AS dt FROM (SELECT session_id, rel
 WHERE step IS NOT NULL GROUP BY session_id""", "v_rows")
 
 
-@query("usable_median", sql("v_median", "SELECT session_id, round(dt, 6) AS usable_dt_s FROM v_median"))
+@query("usable_median", sql("v_median", "SELECT session_id, round(dt, 9) AS usable_dt_s FROM v_median"))
 def usable_median(spark, d):
-    return rounded(T.usable_median(trusted(spark, d)))
+    return rounded(T.usable_median(trusted(spark, d)), 9)
 
 
 view("v_dense", f"""

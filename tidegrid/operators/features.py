@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import constants as C
 from tidegrid.functions.numeric import all_finite, array_mean, codes_where, is_finite, near
-from tidegrid.functions.parsing import int_list, is_safe_relative_path, mask_path
+from tidegrid.functions.parsing import is_safe_relative_path
 from tidegrid.operators.intervals import covered_seconds
 from tidegrid.plans.guards import ContractError, require_none
 from tidegrid.plans.rules import Rule, first_broken, rule_name
@@ -116,17 +116,19 @@ def bundle_rules(duration_s: float = 30.0, shape: tuple[int, int] | None = None)
 
 
 def descriptor_rules() -> list[Rule]:
-    """Rules between a metadata row and its bundle: path, mask, shape, dtype."""
-    x = F.col("x")
-    declared = int_list(F.col("feature_shape"))
-    real = F.array(F.size(x), F.size(F.get(x, F.lit(0))))
-    masked = mask_path(F.col("mask"))
+    """Rules between a metadata row and its bundle: path, mask, shape, dtype.
+
+    The bundle's real shape comes as ``array_rows`` and ``array_columns``, the
+    parsed texts as ``p_shape`` and ``p_mask``.
+    """
+    declared, masked = F.col("p_shape"), F.col("p_mask")
+    real = F.array("array_rows", "array_columns")
     same_file = F.translate(masked, "\\", "/") == F.translate("feature_path", "\\", "/")
     return [
         Rule("path", is_safe_relative_path(F.col("feature_path"))),
         Rule("npz_suffix", F.lower("feature_path").endswith(".npz")),
         Rule("mask_reference", masked.isNotNull() & is_safe_relative_path(masked) & same_file),
-        Rule("bundle_missing", x.isNotNull()),
+        Rule("bundle_missing", F.col("array_rows").isNotNull()),
         Rule("shape_json", declared.isNotNull()),
         Rule("declared_shape", declared == real),
         Rule("declared_dtype", F.col("feature_dtype") == "float32"),

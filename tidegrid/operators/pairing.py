@@ -311,8 +311,10 @@ def child_binding(windows: DataFrame, features: DataFrame, children: DataFrame)
         ("source_feature_member", F.col("f_relative_path") != F.concat(F.lit("features_30s/"), "sample_id", F.lit(".npz"))),
         ("source_feature_shape_or_dtype", (F.col("f_feature_shape") != "[6,96]") | (F.col("f_feature_dtype") != "float32")),
     )
-    wide = w.withColumn("__own", own).select("*", F.posexplode(expected).alias("position", "child_id"))
-    right = prefixed(children, "c_")
+    wide = w.select("*", F.posexplode(expected).alias("position", "child_id"))
+    # Both sides are large, and an exploded side looks smaller to the optimizer
+    # than it is, so it must not be taken for a broadcast.
+    right = prefixed(children, "c_").hint("merge")
     joined = wide.join(right, F.col("child_id") == F.col("c_sample_id"), "left")
     pos = F.col("position").cast("string")
     found = F.col("c_sample_id").isNotNull()
@@ -329,11 +331,15 @@ def child_binding(windows: DataFrame, features: DataFrame, children: DataFrame)
         (code("feature_member"), found & (F.col("c_feature_path") != F.col("f_relative_path"))),
         (code("feature_hash"), found & (F.col("c_feature_sha256") != F.col("f_feature_sha256"))),
     )
-    gathered = joined.groupBy("sample_id").agg(
-        F.first("__own").alias("__own"),
-        F.array_sort(F.collect_list(F.struct("position", per_child.alias("codes")))).alias("__c"))
-    return gathered.select(
-        "sample_id", F.concat("__own", F.flatten(F.transform("__c", lambda c: c["codes"]))).alias("codes"))
+    # Sound children end here; only findings are gathered, at most six per window.
+    findings = (
+        joined.select("sample_id", "position", per_child.alias("codes")).where(F.size("codes") > 0)
+        .groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("position", "codes"))).alias("__c"))
+    )
+    none = F.array().cast("array<string>")
+    later = F.coalesce(F.flatten(F.transform("__c", lambda c: c["codes"])), none)
+    return w.select("sample_id", own.alias("__own")).join(findings, "sample_id", "left").select(
+        "sample_id", F.concat("__own", later).alias("codes"))
 
 
 def pair_binding(pairs: DataFrame, windows: DataFrame, features: DataFrame, children: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tidegrid import constants as C
 from tidegrid.functions import ids
-from tidegrid.functions.numeric import codes_where, is_finite, near
+from tidegrid.functions.numeric import array_mean, codes_where, is_finite, near
 from tidegrid.functions.parsing import (
-    int_list, is_safe_relative_path, is_sha256, is_versioned, positive_shape, source_list,
+    int_list, is_safe_relative_path, is_sha256, is_versioned, mask_path, positive_shape, source_list,
     source_stems, strict_bool, strict_double, strict_int,
 )
 from tidegrid.operators.features import bundle_rules, descriptor_rules, fixed_grid_codes, telemetry_value_codes, union_ratio
@@ -41,6 +41,10 @@ def _typed(rows: DataFrame) -> DataFrame:
         if name in rows.columns:
             parsed[f"p_{name}"] = strict_double(F.col(name))
     parsed["p_valid"] = strict_bool(F.col("valid"))
+    # Several rules look at each of these, so the text is parsed once here.
+    parsed["p_sources"] = source_list(F.col("source_file"))
+    parsed["p_shape"] = int_list(F.col("feature_shape"))
+    parsed["p_mask"] = mask_path(F.col("mask"))
     return out.withColumns(parsed)
 
 
@@ -67,25 +71,39 @@ def _no_feature() -> Column:
     return ~F.col("p_valid") & (F.col("p_valid_ratio") == 0) & blank
 
 
+def bundle_facts(bundles: DataFrame, duration_s: float, shape: tuple[int, int] | None = None) -> DataFrame:
+    """What the row rules need to know of each feature, without its arrays.
+
+    The arrays are judged where they are read; only the place of the first
+    broken array rule, the shape and the union coverage travel to the rows.
+    """
+    judged = bundles.withColumn("array_at", first_broken(bundle_rules(duration_s, shape)))
+    return judged.select(
+        "feature_path", "array_at", F.size("x").alias("array_rows"), F.size(F.get("x", F.lit(0))).alias("array_columns"),
+        F.when(F.col("array_at").isNull(), union_ratio(duration_s)).alias("array_ratio"))
+
+
 def _feature_rules(duration_s: float, shape: tuple[int, int] | None = None) -> list[Rule]:
-    """Descriptor and array rules that only bind rows with a feature path."""
+    """Descriptor and array rules, which only bind rows with a feature path."""
     bound = F.col("feature_path") != ""
     descriptors = {r.name: r for r in descriptor_rules()}
-    ordered = [descriptors[n] for n in ("path", "npz_suffix", "mask_reference", "bundle_missing")]
-    arrays = bundle_rules(duration_s, shape)
-    head, tail = arrays[:4], arrays[4:]
-    ordered += head + [descriptors[n] for n in ("shape_json", "declared_shape", "declared_dtype")] + tail
-    rules = [Rule("absent_feature", bound | _no_feature())]
-    rules += [Rule(r.name, ~bound | r.ok) for r in ordered]
-    rules.append(Rule("ratio_union", ~bound | near(F.col("p_valid_ratio"), union_ratio(duration_s), 1e-6)))
-    return rules
+    arrays = [
+        Rule(r.name, ~F.col("array_at").eqNullSafe(F.lit(i)))
+        for i, r in enumerate(bundle_rules(duration_s, shape), start=1)
+    ]
+    ordered = [
+        *[descriptors[n] for n in ("path", "npz_suffix", "mask_reference", "bundle_missing")], *arrays[:4],
+        *[descriptors[n] for n in ("shape_json", "declared_shape", "declared_dtype")], *arrays[4:],
+        Rule("ratio_union", near(F.col("p_valid_ratio"), F.col("array_ratio"), 1e-6)),
+    ]
+    return [Rule("absent_feature", bound | _no_feature()), *[Rule(r.name, ~bound | r.ok) for r in ordered]]
 
 
 def metadata_rules(task: str, min_ratio: float = C.MIN_COVERAGE) -> list[Rule]:
     """The row rules of shared metadata in reporting order."""
     start, end, duration = (F.col(f"p_{n}") for n in ("window_start_ms", "window_end_ms", "duration_ms"))
     index, label = F.col("p_window_index"), F.col("p_label_id")
-    sources = source_list(F.col("source_file"))
+    sources = F.col("p_sources")
     ints = F.lit(True)
     for name in _INTS:
         ints = ints & F.col(f"p_{name}").isNotNull()
@@ -117,17 +135,20 @@ def metadata_rules(task: str, min_ratio: float = C.MIN_COVERAGE) -> list[Rule]:
             Rule("clip_window", (start == 0) & (end == C.CLIP_MS) & (duration == C.CLIP_MS) & (index == 0)),
             Rule("clip_label", F.col("label_class") == ids.class_name(label.cast("int"), C.CLIP_CLASSES_9)),
         ]
-    return rules + _quality_rules(min_ratio) + _feature_rules(
-        (C.WINDOW_MS if task == "fatigue" else C.CLIP_MS) / 1000)
+    return rules + _quality_rules(min_ratio) + _feature_rules(_duration_s(task))
 
 
-def with_bundles(rows: DataFrame, bundles: DataFrame | None) -> DataFrame:
-    """Joins the arrays of the named feature; null columns where there is none."""
+def _duration_s(task: str) -> float:
+    return (C.WINDOW_MS if task == "fatigue" else C.CLIP_MS) / 1000
+
+
+def with_facts(rows: DataFrame, bundles: DataFrame | None, duration_s: float,
+               shape: tuple[int, int] | None = None) -> DataFrame:
+    """Joins the facts of the named feature; nulls where there is none."""
     if bundles is None:
-        kinds = {"x": "array<array<float>>", "time_s": "array<double>", "valid_mask": "array<boolean>",
-                 "support_s": "array<struct<start:double,end:double>>", "observed_fraction": "array<float>"}
+        kinds = {"array_at": "int", "array_rows": "int", "array_columns": "int", "array_ratio": "double"}
         return rows.withColumns({n: F.lit(None).cast(t) for n, t in kinds.items()})
-    return rows.join(bundles.select("feature_path", *C.BUNDLE_DTYPES), "feature_path", "left")
+    return rows.join(bundle_facts(bundles, duration_s, shape), "feature_path", "left")
 
 
 def _error(rows: DataFrame, code: str, rule: str | Column = "") -> DataFrame:
@@ -144,16 +165,15 @@ def validate_metadata(rows: DataFrame, task: str, bundles: DataFrame | None = No
     """Error rows (code, row_no, rule) of a shared metadata table.
 
     A ``malformed`` column, if there is one, marks lines of the wrong length:
-    they are reported and take no further part. The rules, with the arrays they
-    look at, are judged once: the verdicts are written to the shared folder and
-    the checks across rows read only their keys from there.
+    they are reported and take no further part. The verdicts are written to the
+    shared folder, as the checks across rows all start from them.
     """
     errors = []
     if "malformed" in rows.columns:
         errors.append(_error(rows.where("malformed"), "MALFORMED_ROW"))
         rows = rows.where("not malformed").drop("malformed")
     rules = metadata_rules(task, min_ratio)
-    judged = with_bundles(_typed(rows), bundles).withColumn("__at", first_broken(rules))
+    judged = with_facts(_typed(rows), bundles, _duration_s(task)).withColumn("__at", first_broken(rules))
     kept = ["row_no", "sample_id", "subject_id", "session_id", "split", "modality", "p_window_start_ms", "__at"]
     if task == "fatigue":
         kept += ["p_label_start_ms", "p_kss_score"]
@@ -205,21 +225,32 @@ def header_errors(columns: Sequence[str], required: Sequence[str]) -> list[tuple
 
 # -- telemetry ----------------------------------------------------------------
 
+def telemetry_facts(bundles: DataFrame) -> DataFrame:
+    """The telemetry contract's view of each feature, without its arrays."""
+    values = telemetry_value_codes().alias("c")
+    judged = bundles.withColumn("raw_coverage_ratio", array_mean(F.col("observed_fraction"))).withColumn("__c", values)
+    return judged.select(
+        "feature_path", "actual_sha256", F.col("raw_coverage_ratio").alias("mean_observed"),
+        ((F.size("x") == C.TELEMETRY_SHAPE[0]) & F.forall("x", lambda r: F.size(r) == C.TELEMETRY_SHAPE[1])).alias("shape_ok"),
+        (F.size(fixed_grid_codes(300, 0.1, 1e-12)) == 0).alias("grid_ok"), (F.size("__c") == 0).alias("values_ok"))
+
+
 def telemetry_rules() -> list[Rule]:
     """Row rules of telemetry metadata beyond the shared ones."""
     valid = F.coalesce(F.lower(F.trim("valid")).isin("true", "1"), F.lit(False))
     names = F.from_json("feature_columns", "array<string>")
     bound = F.col("feature_path") != ""
+    coverage = near(F.col("raw_coverage_ratio").try_cast("double"), F.col("mean_observed"), 1e-6)
     return [
         Rule("modality", F.col("modality") == "can"),
         Rule("feature_columns", names == F.array(*[F.lit(c) for c in C.TELEMETRY_FEATURES])),
         Rule("valid_status", valid == (F.col("qc_status") == "PASS")),
         Rule("valid_reasons", ~valid | (F.col("qc_reason_codes") == "")),
         Rule("pending_valid", ~((F.col("clock_status") == "pending_after_discontinuity") & valid)),
-        Rule("bundle_missing", ~bound | F.col("x").isNotNull()),
-        Rule("shape", ~bound | ((F.size("x") == C.TELEMETRY_SHAPE[0]) & F.forall("x", lambda r: F.size(r) == C.TELEMETRY_SHAPE[1]))),
-        Rule("grid", ~bound | (F.size(fixed_grid_codes(300, 0.1, 1e-12)) == 0)),
-        Rule("values", ~bound | (F.size(telemetry_value_codes()) == 0)),
+        Rule("bundle_missing", ~bound | F.col("shape_ok").isNotNull()),
+        Rule("shape", ~bound | F.col("shape_ok")),
+        Rule("grid", ~bound | F.col("grid_ok")),
+        Rule("values", ~bound | (F.col("values_ok") & coverage)),
         Rule("sha256", ~bound | (F.col("feature_sha256") == F.col("actual_sha256"))),
     ]
 
@@ -230,9 +261,7 @@ def validate_telemetry(rows: DataFrame, bundles: DataFrame) -> DataFrame:
     ``bundles`` also carries ``actual_sha256``.
     """
     shared = validate_metadata(rows, "fatigue", bundles)
-    arrays = bundles.select("feature_path", "actual_sha256", *C.BUNDLE_DTYPES)
-    joined = rows.withColumn("raw_coverage_ratio", F.col("raw_coverage_ratio").try_cast("double")).join(
-        arrays, "feature_path", "left")
+    joined = rows.join(telemetry_facts(bundles), "feature_path", "left")
     own = broken_rows(joined, telemetry_rules(), ["row_no"], "INVALID_CAN_ROW").select(
         "code", F.col("row_no").cast("bigint").alias("row_no"), "rule")
     mine = rows.where(F.col("modality") == "can").withColumn("s", strict_int(F.col("window_start_ms"))).where("s is not null")
@@ -245,7 +274,7 @@ def validate_telemetry(rows: DataFrame, bundles: DataFrame) -> DataFrame:
 def clip_6_rules(modality: str, expected_split: str, min_ratio: float = C.MIN_COVERAGE) -> list[Rule]:
     """Row rules of six-class metadata; audio and video differ in three points."""
     stems = source_stems(F.col("source_file"))
-    sources = source_list(F.col("source_file"))
+    sources = F.col("p_sources")
     task = F.substring("sample_id", 1, 2)
     start, end, duration, index = (F.col(f"p_{n}") for n in (
         "window_start_ms", "window_end_ms", "duration_ms", "window_index"))
@@ -284,7 +313,8 @@ def validate_clips_6(rows: DataFrame, modality: str, splits: DataFrame, bundles:
     feature, invalid video rows may; video fixes the shape."""
     expected = splits.select("subject_id", F.col("split").alias("__want"))
     rules = clip_6_rules(modality, "__want", min_ratio)
-    judged = with_bundles(_typed(rows).join(expected, "subject_id", "left"), bundles)
+    shape = C.CLIP_VIDEO_SHAPE if modality == "video" else None
+    judged = with_facts(_typed(rows).join(expected, "subject_id", "left"), bundles, C.CLIP_SECONDS, shape)
     state = stage(judged.withColumn("__at", first_broken(rules)).select("row_no", "sample_id", "__at"), "verdicts")
     bad = _error(state.where("__at is not null"), "INVALID_ROW", rule_name(F.col("__at"), rules))
     got = state.where(passed("__at", "source_stem", rules))

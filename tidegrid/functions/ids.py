@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import constants as C
 
+# -- name patterns of the contract (fixed values) ----------------------------
 _CLIP_STEM = r"[0-9]{2}_P[0-9]{2}_[0-9]{8}_[0-9]{2}_[0-9]{2}_[0-9]{2}_[0-9]+"
 SUBJECT = r"P(?:0[1-9]|[1-3][0-9]|40)"
 CLIP_SESSION = r"P[0-9]{2}_[0-9]{8}_[0-9]{4}_[0-9]{2}"
@@ -42,15 +43,26 @@ def _clip_parts(base: Column, accepted: Column) -> Column:
     ))
 
 
-def parse_clip_name(col: Column) -> Column:
-    """Struct of a nine-class clip name, null when the name is not one."""
-    base = base_name(col)
-    accepted = (
+def _is_clip_name(base: Column) -> Column:
+    return (
         base.rlike(rf"\A{_CLIP_STEM}\.[A-Za-z0-9]+\n?\z")
         & F.substring(base, 1, 2).between("01", "09")
         & full_match(F.substring(base, 4, 3), SUBJECT)
     )
-    return _clip_parts(base, accepted)
+
+
+def parse_clip_name(col: Column) -> Column:
+    """Struct of a nine-class clip name, null when the name is not one."""
+    base = base_name(col)
+    return _clip_parts(base, _is_clip_name(base))
+
+
+def session_of_clip_name(col: Column) -> Column:
+    """Session id straight from a nine-class clip name, null when it is not one."""
+    base = base_name(col)
+    clock = F.concat(F.substring(base, 17, 2), F.substring(base, 20, 2))
+    parts = F.concat_ws("_", F.substring(base, 4, 3), F.substring(base, 8, 8), clock, F.substring(base, 23, 2))
+    return F.when(_is_clip_name(base), parts)
 
 
 def parse_video_clip_name(col: Column) -> Column:

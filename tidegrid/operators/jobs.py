@@ -82,13 +82,10 @@ def build_audio_6c(audit: DataFrame, splits: DataFrame, index: DataFrame, bundle
     """Six-class audio metadata: task filter, strict feature state, split."""
     rows = clips.attach_features_strict(_six_class(audit.drop("split")), index, bundles)
     source = F.col("source_file")
-    named = ids.parse_clip_name(source)
-    by_name = ids.clip_session_id(named["subject_id"], named["date"], named["start_hhmmss"])
-    stem = ids.parse_clip_name(F.concat("sample_id", F.lit(".wav")))
-    by_stem = ids.clip_session_id(stem["subject_id"], stem["date"], stem["start_hhmmss"])
-    session = F.when(named.isNotNull(), by_name).when(stem.isNotNull(), by_stem).otherwise(F.col("session_id"))
-    return pairing.assign_split(rows.withColumn("session_id", session), splits).withColumn(
-        "source_file", F.to_json(F.array(source)))
+    session = F.coalesce(
+        ids.session_of_clip_name(source), ids.session_of_clip_name(F.concat("sample_id", F.lit(".wav"))), "session_id")
+    out = pairing.assign_split(rows.withColumn("session_id", session), splits)
+    return out.withColumn("source_file", F.to_json(F.array(source)))
 
 
 def build_video_6c(clips_table: DataFrame, splits: DataFrame, index: DataFrame | None,

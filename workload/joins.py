@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid import constants as C
 from tidegrid.functions import ids
 from tidegrid.operators import clips, coverage, grid, intervals, jobs, pairing
+from tidegrid.session import stage
 from workload.registry import query, rounded, sql, table, view
 from workload.views import (
     SYNC_TOLERANCE_MS, v_clip, v_clips_of_session, v_files, v_recorded, v_sessions, v_tele, v_video,
@@ -382,6 +383,59 @@ def clip_totals(spark, d):
     return totals
 
 
+# -- M4: six-class metadata --------------------------------------------------------------------------
+
+view("v_audit6", """
+SELECT regexp_replace(source_file[7:], '[.]wav$', '') AS sample_id, source_file, subject AS subject_id, subject || '_' || source_file[14:21] || '_' || source_file[23:24] || source_file[26:27] || '_' || source_file[29:30] AS session_id,
+ CAST(task AS INT) AS task, CASE WHEN coalesce(reason_codes[1], '') <> '' THEN reason_codes[1] ELSE 'NO_FEATURES_YET' END AS error, event_id,
+ 'f/' || CAST(subject[2:] AS INT) || '-' || event_id % 3 || '.npz' AS path, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
+ CASE WHEN CAST(subject[2:] AS INT) <= 24 THEN 'train' WHEN CAST(subject[2:] AS INT) <= 32 THEN 'val' ELSE 'test' END AS want
+FROM v_named WHERE ok AND task IN ('01','03','04','05','07','08')""", "v_named")
+
+
+def audit6(spark, d):
+    """The audited clips as the audit job leaves them: a written table."""
+    rows, _ = jobs.build_clip_metadata(v_clip(spark, d))
+    return stage(rows.where("sample_id is not null"), "audit")
+
+
+def index6(rows):
+    number = F.substring("subject_id", 2, 2).cast("int")
+    return rows.select(
+        "sample_id", F.concat(F.lit("f/"), number, F.lit("-"), F.col("event_id") % 3, F.lit(".npz")).alias("path"),
+        F.when(F.col("event_id") % 7 == 0, "failed").otherwise("ok").alias("status"))
+
+
+def splits6(rows):
+    number = F.substring("subject_id", 2, 2).cast("int")
+    return rows.select("subject_id").distinct().withColumn(
+        "split", F.when(number <= 24, "train").when(number <= 32, "val").otherwise("test"))
+
+
+_SIX = ("sample_id", "subject_id", "session_id", "split", "source_file", "label_id", "label_class", "label_scheme", "valid", "valid_ratio", "feature_path", "error")
+_SIX_SQL = """SELECT a.sample_id, subject_id, session_id, {split} AS split, '["' || source_file || '"]' AS source_file, CAST(list_position([1,3,4,5,7,8], task) - 1 AS INT) AS label_id,
+ (['No task','Playing game','Messaging','Phone call','Reading','Eating'])[list_position([1,3,4,5,7,8], task)] AS label_class, 'dcpt_video_6c_v1' AS label_scheme, {state} FROM v_audit6 a LEFT JOIN v_facts f USING (path)"""
+_STRICT = """CASE WHEN error <> 'NO_FEATURES_YET' THEN error WHEN status <> 'ok' THEN 'FEATURE_INDEX_NOT_OK' WHEN coalesce(bundle_error, 'missing') <> '' THEN 'FEATURE_FILE_INVALID' WHEN coverage < 0.95 THEN 'FEATURE_COVERAGE_BELOW_THRESHOLD' ELSE '' END"""
+
+
+@query("build_audio_6c", sql("v_audit6 v_facts", _SIX_SQL.format(
+    split="CASE WHEN want = 'test' THEN '' ELSE want END",
+    state=f"({_STRICT}) = '' AS valid, CASE WHEN ({_STRICT}) = '' THEN coverage ELSE 0 END AS valid_ratio, CASE WHEN ({_STRICT}) = '' THEN path ELSE '' END AS feature_path, {_STRICT} AS error")))
+def build_audio_6c(spark, d):
+    rows = audit6(spark, d)
+    # the test subjects are not in the map here, so they stay without a split
+    known = splits6(rows).where("split <> 'test'")
+    return jobs.build_audio_6c(rows, known, index6(rows), v_facts(spark, d)).select(*_SIX)
+
+
+@query("build_video_6c", sql("v_audit6 v_facts", _SIX_SQL.format(
+    split="want", state="""coalesce(coverage >= 0.95, false) AS valid, coalesce(coverage, 0) AS valid_ratio, path AS feature_path,
+ CASE WHEN coverage IS NULL THEN 'FEATURE_FILE_MISSING' WHEN coverage < 0.95 THEN 'coverage_below_0.95' ELSE '' END AS error""")))
+def build_video_6c(spark, d):
+    rows = audit6(spark, d)
+    return jobs.build_video_6c(rows, splits6(rows), index6(rows), v_facts(spark, d)).select(*_SIX)
+
+
 # -- J12, J13: video windows, children, features ---------------------------------------------------
 
 view("v_w30", """

@@ -12,8 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
-# The tables' clocks are UTC. Recording Python lines of column calls is slow.
-SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+SETTINGS = {"spark.sql.session.timeZone": "UTC"}  # the tables' clocks are UTC
 
 
 def query(name: str, oracle: str | None = None):

@@ -264,8 +264,8 @@ def v_tel(spark: SparkSession, d: str) -> DataFrame:
         (3.6 * k).alias("heading_deg"), (F.col("value") / 10).alias("pitch_deg"), (k / 10.0).alias("roll_deg"),
         F.when((F.col("event_type") == "error") & (k < 20), float("nan")).otherwise(F.col("value")).alias("speed_mps"),
         (10 * F.col("value")).alias("rpm"), (k % 6).cast("double").alias("gear"))
-    day = cut("timestamp_us", 24 * HOUR_US)
-    return number_rows(rows, ["session_id"], ["timestamp_us", "event_id"], day).drop("event_id")
+    hour = cut("timestamp_us", HOUR_US)
+    return number_rows(rows, ["session_id"], ["timestamp_us", "event_id"], hour).drop("event_id")
 
 
 view("v_session_labels", f"""
@@ -305,7 +305,7 @@ SELECT o_custkey AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_o
 def v_hist(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     rows = orders.select(F.col("o_custkey").alias("seed"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("metric"))
-    numbered = number_rows(rows, ["seed"], ["o_orderdate", "o_orderkey"], F.year("o_orderdate"), "position")
+    numbered = number_rows(rows, ["seed"], ["o_orderdate", "o_orderkey"], F.unix_date(F.to_date("o_orderdate")), "position")
     return numbered.select("seed", "position", "metric")
 
 

@@ -9,7 +9,7 @@ from tidegrid.operators.metrics import majority_class
 from tidegrid.operators.pairing import pair_modalities
 from tidegrid.operators.pairing import union_splits as unite
 from tidegrid.functions import ids
-from tidegrid.plans.chunked import number_rows
+from tidegrid.plans.chunked import CHUNK_ROWS, cut, number_rows
 from workload.registry import query, sql, table
 from workload.views import SQL_LETTERS, WINDOW_H_MS, letter, sql_split, v_session_labels, v_tele, v_video, v_win
 
@@ -183,8 +183,11 @@ def first_eligible(spark, d):
 @query("manifest_order", sql("v_win", """
 SELECT sample_id, row_number() OVER (PARTITION BY split ORDER BY subject_id, session_id, window_start_ms) AS place FROM v_win"""))
 def manifest_order(spark, d):
-    # the place inside the split shows the order; a split may hold most rows, so subjects are its chunks
-    placed = number_rows(v_win(spark, d), ["split"], ["subject_id", "session_id", "window_start_ms"], F.ascii("subject_id"), "place")
+    # The place inside the split shows the order. A split or subject may hold most
+    # rows, so the chunks follow subject, session and stretches of the start.
+    session = F.ascii("subject_id").cast("bigint") * 2 + F.when(F.endswith("session_id", F.lit("D")), 1).otherwise(0)
+    chunk = session * (1 << 40) + cut("window_start_ms", CHUNK_ROWS * 30_000)
+    placed = number_rows(v_win(spark, d), ["split"], ["subject_id", "session_id", "window_start_ms"], chunk, "place")
     return ordering.manifest_order(placed).select("sample_id", (F.col("place") + 1).alias("place"))
 
 

@@ -209,3 +209,21 @@ def test_training_rows(rows):
     data = [(2, "01_a", C.CLIP_SCHEME, "train", "0", "No task"), (3, "01_a", C.CLIP_SCHEME, "train", "0", "No task"), (4, "02_a", C.CLIP_SCHEME, "train", "0", "No task"),
             (5, "03_a", C.CLIP_SCHEME, "train", "0", "No task"), (6, "", C.CLIP_SCHEME, "train", "0", "No task")]
     assert {r["row_no"]: r["rule"] for r in V.validate_training_rows(rows(data, schema)).collect()} == {3: "duplicate_sample_id", 4: "task", 5: "label", 6: "sample_id"}
+
+
+def test_package(rows):
+    schema = "sample_id string, subject_id string, feature_path string, feature_sha256 string, feature_shape string, feature_dtype string"
+    index = [(f"r-{s}", s, f"f/{s}.npz", "h", "[6,96]", "float32") for s in "CHP"]
+    good = [bundle(f"f/{s}.npz", width=96) for s in "CHP"]
+    judge = lambda i, b, digest="h": sorted(r["rule"] for r in V.validate_package(
+        rows(i, schema), arrays(rows, *b).withColumn("actual_sha256", F.lit(digest))).collect())
+    assert judge(index, good) == []
+    assert judge(index, good, "z") == ["feature_hash"] * 3
+    assert judge(index, good[:2]) == ["missing_feature"]
+    assert judge(index[:2], good) == ["P"]
+    assert judge([*index, index[0]], good) == ["duplicate_sample_id"]
+    assert judge([*index, ("r-D", "D", "f/C.npz", "h", "[6,96]", "float32")], good) == ["subject"]
+    assert judge([index[0], index[1], ("r-P", "P", "f/P.npz", "h", "[6, 96]", "float32")], good) == ["declaration"]
+    assert judge(index, [good[0], good[1], bundle("f/P.npz", width=95)]) == ["expected_shape"]
+    assert judge(index, [good[0], good[1], bundle("f/P.npz", width=96, mask=[False] * 6)]) == ["no_valid_token"]
+    assert judge(index, [good[0], good[1], bundle("f/P.npz", width=96, time_s=[i * 5.0 for i in range(6)])]) == ["time_support"]

@@ -415,11 +415,11 @@ def best_so_far(history: DataFrame, keys: Sequence[str], order: str, metric: str
     )
 
 
-def evaluation_table(preds: DataFrame, names: Sequence[str]) -> DataFrame:
+def evaluation_table(preds: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
     """The whole evaluation as (section, item, metric, value) rows.
 
-    Every section comes from the per-seed counts, which are a few wide rows, so
-    the predictions are read for those and for the baseline's labels only.
+    Seeds, means, classes, the summed matrix and the top confusions all come
+    from the per-seed counts, which are a few wide rows.
     """
     classes = len(names)
     label = F.array(*[F.lit(n) for n in names])
@@ -431,22 +431,33 @@ def evaluation_table(preds: DataFrame, names: Sequence[str]) -> DataFrame:
                  for k, v in values.items()]
         return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), F.inline(F.array(*cells)))
 
-    scored = wide.select("seed", m["accuracy"].alias("accuracy"), m["macro_f1_fixed_classes"].alias("macro_f1"))
-    means = scored.agg(F.avg("macro_f1").alias("macro_f1"), F.stddev_pop("macro_f1").alias("macro_f1_std"))
+    scored = wide.select(
+        "seed", m["accuracy"].alias("accuracy"), m["macro_f1_fixed_classes"].alias("macro_f1"),
+        m["balanced_accuracy_supported_classes"].alias("balanced_accuracy"))
+    means = scored.agg(
+        F.avg("macro_f1").alias("macro_f1"), F.stddev_pop("macro_f1").alias("macro_f1_std"),
+        F.avg("balanced_accuracy").alias("balanced_accuracy"), F.avg("accuracy").alias("accuracy"))
+    kinds = ("precision", "recall", "f1")
     classes_long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("class_id"), p["f1"].alias("f1")) for i, p in enumerate(per)])))
-    class_means = classes_long.groupBy("class_id").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"))
+        F.struct(F.lit(i).alias("class_id"), *[p[k].alias(k) for k in kinds]) for i, p in enumerate(per)])))
+    class_means = classes_long.groupBy("class_id").agg(
+        *[F.avg(k).alias(f"{k}_mean") for k in kinds], F.stddev_pop("f1").alias("f1_std"))
     cells = wide.agg(*[F.sum(_cell(i, j)).alias(_cell(i, j)) for i in range(classes) for j in range(classes)])
     total = cells.select(F.inline(F.array(*[
-        F.struct(F.lit(f"{names[i]}>{names[j]}").alias("cell"), F.col(_cell(i, j)).alias("n"))
-        for i in range(classes) for j in range(classes)]))).where("n > 0")
+        F.struct(F.lit(names[i]).alias("t"), F.lit(names[j]).alias("p"), F.col(_cell(i, j)).alias("n"))
+        for i in range(classes) for j in range(classes)]))).where("n > 0").withColumn("cell", F.concat_ws(">", "t", "p"))
+    top = total.where("t <> p").orderBy(F.desc("n"), "t", "p").limit(k)
     first = preds.where(F.col("seed") == preds.agg(F.min("seed").alias("s")).select("s").scalar())
-    baseline = test_majority(first, classes)
     none = F.lit("")
+    same = lambda *keys: {key: key for key in keys}
     return (
-        rows(scored, "seed", F.col("seed"), macro_f1="macro_f1", accuracy="accuracy")
-        .unionByName(rows(means, "seed_mean", none, macro_f1="macro_f1", macro_f1_std="macro_f1_std"))
-        .unionByName(rows(class_means, "per_class", F.get(label, F.col("class_id")), f1_mean="f1_mean", f1_std="f1_std"))
+        rows(scored, "seed", F.col("seed"), **same("macro_f1", "accuracy", "balanced_accuracy"))
+        .unionByName(rows(means, "seed_mean", none, **same("macro_f1", "macro_f1_std", "balanced_accuracy", "accuracy")))
+        .unionByName(rows(class_means, "per_class", F.get(label, F.col("class_id")),
+                          **same("precision_mean", "recall_mean", "f1_mean", "f1_std")))
         .unionByName(rows(total, "confusion_total", F.col("cell"), n="n"))
-        .unionByName(rows(baseline, "majority_baseline", none, accuracy="accuracy"))
+        .unionByName(rows(top, "top_confusions", F.col("cell"), n="n"))
+        .unionByName(rows(per_subject_over_seeds(preds, classes), "per_subject", F.col("subject_id"), **same(
+            "sample_count", "fixed_macro_f1_mean", "fixed_macro_f1_std", "present_macro_f1_mean", "present_macro_f1_std")))
+        .unionByName(rows(test_majority(first, classes), "majority_baseline", none, **same("accuracy", "macro_f1", "balanced_accuracy")))
     )

@@ -19,7 +19,9 @@ from tidegrid.functions.parsing import (
     int_list, is_safe_relative_path, is_sha256, is_versioned, mask_path, positive_shape, source_list,
     source_stems, strict_bool, strict_double, strict_int,
 )
-from tidegrid.operators.features import bundle_rules, descriptor_rules, fixed_grid_codes, telemetry_value_codes, union_ratio
+from tidegrid.operators.features import (
+    bundle_rules, descriptor_rules, fixed_grid_codes, telemetry_value_codes, time_support_codes, union_ratio,
+)
 from tidegrid.operators.grid import full_grid_check, index_set_is_full, stride_check
 from tidegrid.operators.ordering import changed_from_previous, flag_repeats
 from tidegrid.operators.pairing import child_binding, id_set_difference
@@ -493,16 +495,50 @@ def request_rules(subjects: Sequence[str]) -> list[Rule]:
     ]
 
 
-def validate_request(rows: DataFrame, subjects: Sequence[str] = C.FATIGUE_SUBJECTS["test"]) -> DataFrame:
-    """Error rows of a feature request: rules, copies, and subjects not asked for."""
-    bad = broken_rows(rows, request_rules(subjects), ["sample_id"])
-    again = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "sample_id", F.lit("duplicate_sample_id").alias("code"), F.lit("duplicate_sample_id").alias("rule"))
+def _copies(rows: DataFrame) -> DataFrame:
+    twice = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    code = F.lit("duplicate_sample_id")
+    return twice.select("sample_id", code.alias("code"), code.alias("rule"))
+
+
+def _absent_subjects(rows: DataFrame, subjects: Sequence[str]) -> DataFrame:
     seen = rows.agg(*[F.count_if(F.col("subject_id") == s).alias(s) for s in subjects])
-    absent = seen.select(F.inline(F.array(*[
+    return seen.select(F.inline(F.array(*[
         F.struct(F.lit("").alias("sample_id"), F.lit("missing_subject").alias("code"),
                  F.lit(s).alias("rule"), F.col(s).alias("n")) for s in subjects]))).where("n = 0").drop("n")
-    return bad.unionByName(again).unionByName(absent)
+
+
+def validate_request(rows: DataFrame, subjects: Sequence[str] = C.FATIGUE_SUBJECTS["test"]) -> DataFrame:
+    """Error rows of a feature request: rules, copies, and subjects not asked for."""
+    bad = broken_rows(rows, request_rules(subjects), ["sample_id"])
+    return bad.unionByName(_copies(rows)).unionByName(_absent_subjects(rows, subjects))
+
+
+def validate_package(index: DataFrame, bundles: DataFrame, subjects: Sequence[str] = C.FATIGUE_SUBJECTS["test"]) -> DataFrame:
+    """Error rows of a delivered feature package: index rules, hashes, arrays.
+
+    ``bundles`` has feature_path, actual_sha256 and the arrays in sample time;
+    they are judged first, so only their verdict is joined to the index.
+    """
+    arrays = bundle_rules(C.WINDOW_MS / 1000, C.VIDEO_SHAPE)
+    strict = [
+        *arrays,
+        Rule("time_support", F.size(time_support_codes(C.WINDOW_MS / 1000)) == 0),
+        Rule("no_valid_token", F.exists("valid_mask", lambda v: v)),
+    ]
+    facts = bundles.select(
+        "feature_path", "actual_sha256", F.coalesce(rule_name(first_broken(strict), strict), F.lit("")).alias("array_rule"))
+    joined = index.join(facts, "feature_path", "left")
+    rules = [
+        Rule("subject", F.col("subject_id").isin(*subjects)),
+        Rule("feature_path", is_safe_relative_path(F.col("feature_path"), False)),
+        Rule("missing_feature", F.col("array_rule").isNotNull()),
+        Rule("feature_hash", F.col("actual_sha256") == F.col("feature_sha256")),
+        *[Rule(r.name, F.col("array_rule") != r.name) for r in strict],
+        Rule("declaration", (F.col("feature_shape") == "[6,96]") & (F.col("feature_dtype") == "float32")),
+    ]
+    bad = broken_rows(joined, rules, ["sample_id"])
+    return bad.unionByName(_copies(index)).unionByName(_absent_subjects(index, subjects))
 
 
 def validate_video_features(windows: DataFrame, features: DataFrame, children: DataFrame,

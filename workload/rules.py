@@ -348,3 +348,18 @@ def telemetry_feature_codes(spark, d):
     codes = rows.select("label", V.telemetry_feature_codes(label != 9, F.lit("h"), F.when(label == 2, "g").otherwise("h")).alias("c"))
     names = ("missing_can_feature", "can_feature_hash_mismatch", "can_x_shape_dtype", "can_time_not_sample_relative")
     return codes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("c", n)).alias(n) for n in names])
+
+
+@query("validate_package", sql("v_tok", f"""
+WITH b AS (SELECT vec_id, label FROM v_tok GROUP BY ALL), r AS (SELECT o_orderkey AS k, o_custkey AS c, 'r-' || o_orderkey // 2 AS sample_id, ({SQL_LETTERS})[o_custkey % 16 + 1] AS su, label FROM orders LEFT JOIN b ON vec_id = o_custkey),
+e AS (SELECT CASE WHEN su NOT IN ('C', 'H', 'P') THEN 'subject' WHEN label IS NULL THEN 'missing_feature' WHEN k % 5 = 0 THEN 'feature_hash' ELSE 'expected_shape' END AS rule FROM r
+ UNION ALL SELECT 'duplicate_sample_id' FROM r GROUP BY sample_id HAVING count(*) > 1)
+SELECT rule, count(*) AS n FROM e GROUP BY rule"""))
+def validate_package(spark, d):
+    """An index over bundles of another shape: every hash that agrees leads to the shape rule."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    index = table(spark, d, "orders", "o_orderkey", "o_custkey").select(
+        F.concat(F.lit("r-"), F.call_function("div", k, F.lit(2))).alias("sample_id"), letter(c).alias("subject_id"), F.concat(F.lit("f/"), c, F.lit(".npz")).alias("feature_path"),
+        F.when(k % 5 == 0, "old").otherwise("h").alias("feature_sha256"), F.lit("[6,96]").alias("feature_shape"), F.lit("float32").alias("feature_dtype"))
+    errors = V.validate_package(index, v_bundles(spark, d).withColumn("actual_sha256", F.lit("h")))
+    return errors.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

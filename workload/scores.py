@@ -233,14 +233,16 @@ def seed_mean_summary(spark, d):
     return rounded(M.seed_mean_summary(seeds(spark, d), CLASSES))
 
 
-@query("per_subject_over_seeds", sql("v_seed", f"""
-WITH {per_class_cte('v_seed', 'subject_id, seed,')},
+_SUBJECTS = f"""WITH {per_class_cte('v_seed', 'subject_id, seed,')},
 base AS (SELECT subject_id, class_id, support AS b FROM pc WHERE seed = (SELECT min(seed) FROM pc)),
 one AS (SELECT subject_id, seed, sum(f1) / 3 AS fixed, sum(CASE WHEN b > 0 THEN f1 ELSE 0 END) / count(*) FILTER (WHERE b > 0) AS present,
   sum(b) AS n, count(*) FILTER (WHERE b > 0) AS c FROM pc JOIN base USING (subject_id, class_id) GROUP BY subject_id, seed)
 SELECT subject_id, CAST(max(n) AS BIGINT) AS sample_count, max(c) AS class_count, round(avg(fixed), 6) AS fixed_macro_f1_mean,
   round(stddev_pop(fixed), 6) AS fixed_macro_f1_std, round(avg(present), 6) AS present_macro_f1_mean, round(stddev_pop(present), 6) AS present_macro_f1_std
-FROM one GROUP BY subject_id"""))
+FROM one GROUP BY subject_id"""
+
+
+@query("per_subject_over_seeds", sql("v_seed", _SUBJECTS))
 def per_subject_over_seeds(spark, d):
     return rounded(M.per_subject_over_seeds(seeds(spark, d), CLASSES))
 
@@ -319,17 +321,29 @@ def prediction_table_problems_query(spark, d):
     return prediction_table_problems(rows, "window_30s", "val", 11).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evaluation_bundle", sql("v_seed", f"""
-WITH {per_class_cte('v_seed', 'seed,')},
-sr AS (SELECT seed, sum(tp) / sum(support) AS accuracy, sum(f1) / 3 AS macro_f1 FROM pc GROUP BY seed)
-SELECT 'seed' AS section, CAST(seed AS VARCHAR) AS item, 'macro_f1' AS metric, round(macro_f1, 6) AS value FROM sr
-UNION ALL SELECT 'seed', CAST(seed AS VARCHAR), 'accuracy', round(accuracy, 6) FROM sr
-UNION ALL SELECT 'seed_mean', '', 'macro_f1', round(avg(macro_f1), 6) FROM sr
-UNION ALL SELECT 'seed_mean', '', 'macro_f1_std', round(stddev_pop(macro_f1), 6) FROM sr
-UNION ALL SELECT 'per_class', (['low','medium','high'])[class_id + 1], 'f1_mean', round(avg(f1), 6) FROM pc GROUP BY class_id
-UNION ALL SELECT 'per_class', (['low','medium','high'])[class_id + 1], 'f1_std', round(stddev_pop(f1), 6) FROM pc GROUP BY class_id
-UNION ALL SELECT 'confusion_total', (['low','medium','high'])[label_id + 1] || '>' || (['low','medium','high'])[prediction + 1], 'n', CAST(sum(n) AS DOUBLE) FROM cm GROUP BY label_id, prediction
-UNION ALL SELECT 'majority_baseline', '', 'accuracy', round(max(n) / sum(n), 6) FROM (SELECT label_id, count(*) AS n FROM v_seed WHERE seed = 11 GROUP BY 1)"""))
+_CLASS = "(['low','medium','high'])[class_id + 1]"
+_CELL = "(['low','medium','high'])[label_id + 1] || '>' || (['low','medium','high'])[prediction + 1]"
+
+
+def _evaluation_sql() -> str:
+    parts = [f"SELECT 'seed' AS section, CAST(seed AS VARCHAR) AS item, '{m}' AS metric, round({m}, 6) AS value FROM sr" for m in ("macro_f1", "accuracy", "balanced_accuracy")]
+    parts += [f"SELECT 'seed_mean', '', '{m}', round({x}, 6) FROM sr" for m, x in (
+        ("macro_f1", "avg(macro_f1)"), ("macro_f1_std", "stddev_pop(macro_f1)"), ("balanced_accuracy", "avg(balanced_accuracy)"), ("accuracy", "avg(accuracy)"))]
+    parts += [f"SELECT 'per_class', {_CLASS}, '{m}', round({x}, 6) FROM pc GROUP BY class_id" for m, x in (
+        ("precision_mean", "avg(precision)"), ("recall_mean", "avg(recall)"), ("f1_mean", "avg(f1)"), ("f1_std", "stddev_pop(f1)"))]
+    parts.append(f"SELECT 'confusion_total', {_CELL}, 'n', CAST(sum(n) AS DOUBLE) FROM cm GROUP BY label_id, prediction")
+    parts.append(f"SELECT * FROM (SELECT 'top_confusions', {_CELL} AS c, 'n', CAST(sum(n) AS DOUBLE) AS n FROM cm WHERE label_id <> prediction GROUP BY label_id, prediction ORDER BY n DESC, c LIMIT 10)")
+    parts += [f"SELECT 'per_subject', subject_id, '{m}', CAST({m} AS DOUBLE) FROM subjects" for m in (
+        "sample_count", "fixed_macro_f1_mean", "fixed_macro_f1_std", "present_macro_f1_mean", "present_macro_f1_std")]
+    parts += [f"SELECT 'majority_baseline', '', '{m}', round({x}, 6) FROM (SELECT label_id, count(*) AS n FROM v_seed WHERE seed = 11 GROUP BY 1)" for m, x in (
+        ("accuracy", "max(n) / sum(n)"), ("macro_f1", "2 * max(n) / (max(n) + sum(n)) / 3"), ("balanced_accuracy", "max(1.0::DOUBLE / 3)"))]
+    return sql("v_seed", f"""WITH {per_class_cte('v_seed', 'seed,')},
+sr AS (SELECT seed, sum(tp) / sum(support) AS accuracy, sum(f1) / 3 AS macro_f1, sum(recall) FILTER (WHERE support > 0) / count(*) FILTER (WHERE support > 0) AS balanced_accuracy FROM pc GROUP BY seed),
+subjects AS (SELECT * FROM ({_SUBJECTS}))
+""" + "\nUNION ALL ".join(parts))
+
+
+@query("evaluation_bundle", _evaluation_sql())
 def evaluation_bundle(spark, d):
     return rounded(M.evaluation_table(seeds(spark, d), NAMES))
 

@@ -189,13 +189,6 @@ def pair_check_report(left: DataFrame, right: DataFrame, order: str = "row_no",
 
 # -- cohorts, inventories, id sets --------------------------------------------
 
-_COHORT_FIELDS = (
-    "sample_id", "parent_id", "subject_id", "session_id", "split", "window_index",
-    "window_start_ms", "window_end_ms", "duration_ms", "label_start_ms", "label_end_ms",
-    "label_class", "label_id", "kss_score",
-)
-
-
 def cohort_rows(windows: DataFrame, parents: DataFrame, pairs: DataFrame,
                 fields: Sequence[str], feature_fields: Sequence[str]) -> DataFrame:
     """Windows of complete parents against pairs, by split and sample id."""

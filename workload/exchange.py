@@ -96,8 +96,8 @@ def read_feature_index(spark, d):
 @query("read_feature_index_lenient", """
 SELECT 'C' || o_custkey AS sample_id, 'f/' || max(o_orderkey) || '.npz' AS path FROM orders GROUP BY o_custkey""")
 def read_feature_index_lenient(spark, d):
-    """Several lines per id in key order; the last one wins."""
-    rows = table(spark, d, "orders", "o_orderkey", "o_custkey").orderBy("o_orderkey").coalesce(1).select(
+    """Several lines per id in key order, over files named in that order; the last one wins."""
+    rows = table(spark, d, "orders", "o_orderkey", "o_custkey").orderBy("o_orderkey").select(
         F.concat(F.lit("C"), "o_custkey").alias("sample_id"), F.concat(F.lit("processed\\f\\"), "o_orderkey", F.lit(".npz")).alias("path"))
     path = sinks.write_new(rows, shared_folder(spark, "index"), "json")
     return tables.read_feature_index_lenient(spark, path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import bpe, host_rules, sharding
+from tidegrid.llm import bpe, host_rules, hyperminhash, line_dedup, sharding, suffix_dedup
 from tidegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_similar_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicate_report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(read_table(spark, sf_dir, "documents"))

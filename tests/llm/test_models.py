@@ -222,6 +222,6 @@ def test_pipeline_stages(spark, docs, labelled, tmp_path):
             assert kept == before - gone
         if name == "near_dedup":
             kept, fewer = stage.count(), kept
-            assert kept < fewer
+            assert kept <= fewer
     assert stage.where("piece = 0").count() == kept
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == stage.count()

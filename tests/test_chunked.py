@@ -72,6 +72,9 @@ def test_even_sample_matches_linspace(rows):
         quota = 20 // 3 + (1 if label < 20 % 3 else 0)
         want |= {candidates[int(p)] for p in np.linspace(0, len(candidates) - 1, num=quota, dtype=int)}
     assert got == want
+    for broken in (df.where("label <> 2"), df.where("label <> 1 or row_no < 3")):
+        with pytest.raises(Exception, match="too few rows of label"):
+            ordering.stratified_even_sample(broken, "label", 60, 3, chunk_rows=16).collect()
 
 
 def test_hot_key_is_spread_over_tasks(spark, rows):

@@ -119,6 +119,7 @@ def test_text_policy(spark):
     assert codes("key ghp_" + "a" * 20) == ["access_token"]
     assert codes("-----BEGIN RSA PRIVATE KEY-----") == ["access_token"]
     assert codes("{", True) == ["invalid_json"]
-    assert codes("/home/a/b " * 30) == ["oversize"]
+    assert codes("/home/a/b " * 30) == ["oversize", "machine_path"]
+    assert codes("{" + " " * 300, True) == ["oversize", "invalid_json"]
     # a finding at the very end of a long text counts too
     assert codes("x" * 150 + " /Users/me/f") == ["machine_path"]

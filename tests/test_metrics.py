@@ -116,3 +116,22 @@ def test_stored_metrics_are_audited(rows):
     assert M.audit_metrics(df, stored, ["seed"], 3).where("not agrees").count() == 0
     off = stored.withColumn("accuracy", F.col("accuracy") + 1e-9)
     assert [r["metric"] for r in M.audit_metrics(df, off, ["seed"], 3).where("not agrees").collect()] == ["accuracy"]
+
+
+@pytest.mark.parametrize("label, p", [(7, [1, 0, 0]), (-1, [1, 0, 0]), (None, [1, 0, 0]), (1, [.9, .9, .9]), (1, [math.nan, 0, 0]), (1, [.5, .5])])
+def test_a_row_outside_the_contract_stops_every_score(rows, label, p):
+    df = M.with_prediction(rows([pred(0, [1, 0, 0]), pred(label, p, 1)], SCHEMA))
+    for score in (M.classification_metrics, M.per_class_metrics, M.confusion_matrix):
+        with pytest.raises(Exception, match="outside the contract"):
+            score(df, ["subject_id"], 3).collect()
+    with pytest.raises(Exception, match="outside the contract"):
+        M.metric_bundle(df, 3).collect()
+
+
+@pytest.mark.parametrize("bad", [math.nan, math.inf, None])
+def test_early_stop_refuses_metrics_that_are_no_numbers(rows, bad):
+    df = rows([("s", 0, .5), ("s", 1, bad), ("s", 2, .9)], "seed string, position long, metric double")
+    with pytest.raises(Exception, match="not finite"):
+        M.best_so_far(df, ["seed"], "position", "metric", 3).collect()
+    with pytest.raises(ValueError):
+        M.best_so_far(df, ["seed"], "position", "metric", 0)

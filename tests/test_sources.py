@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid import constants as C
+from tidegrid.operators import clips
 from tidegrid.operators import features as B
 from tidegrid.operators import telemetry as T
 from tidegrid.plans.guards import ContractError
@@ -222,3 +223,46 @@ def test_staging_uses_the_shared_folder(spark):
     assert shared_folder(spark, "x").startswith(root)
     df = stage(spark.range(10), "numbers")
     assert df.count() == 10 and root in df.inputFiles()[0]
+
+
+@pytest.mark.parametrize("line", ["xx,0,0,0,0,0,0,0,0,0", "16666,0,0,0,0,0", "16666,0,0,0,word,0,0,0,0,0"])
+def test_a_broken_telemetry_line_stops_the_read(spark, tmp_path, line):
+    telemetry_file(tmp_path, "D_Telemetry_A.csv", [0])
+    with open(tmp_path / "D_Telemetry_A.csv", "a") as f:
+        f.write(line + "\n")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        tables.read_telemetry(spark, str(tmp_path)).collect()
+
+
+def test_a_telemetry_file_without_a_session_name_stops_the_read(spark, tmp_path):
+    telemetry_file(tmp_path, "nobody_Telemetry_Z.csv", [0, 1])
+    with pytest.raises(Exception, match="no session in the name"):
+        tables.read_telemetry(spark, str(tmp_path)).collect()
+
+
+def test_a_header_without_samples_is_empty_audio(spark, tmp_path):
+    whole = wav(np.ones((44_100, 2), "<i2"))
+    (tmp_path / "a.wav").write_bytes(whole[:44])
+    facts = files.ingest_clip_facts(spark, str(tmp_path)).collect()[0]
+    assert facts["samples"] == 0 and facts["nframes"] > 0
+    codes = clips.clip_qc(files.ingest_clip_facts(spark, str(tmp_path))).collect()[0]["reason_codes"]
+    assert "EMPTY_AUDIO" in codes and "ZERO_AUDIO" not in codes
+
+
+class Elsewhere:
+    """A session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return Elsewhere.conf
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Elsewhere, "x")

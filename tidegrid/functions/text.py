@@ -10,10 +10,7 @@ from tidegrid.functions.numeric import codes_where
 
 # -- patterns of the text policy (fixed values) ------------------------------
 MACHINE_PATH = r"""(?<![A-Za-z0-9])[A-Za-z]:[\\/][^\s"']+|/(?:home|Users)/[^\s"']+"""
-ACCESS_TOKEN = (
-    r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{32,}"
-    r"|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"
-)
+ACCESS_TOKEN = r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{32,}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"
 
 
 _END = "tidegrid:end-of-text"
@@ -33,12 +30,13 @@ def is_json(text: Column) -> Column:
 
 def text_policy_codes(text: Column, expect_json: Column | None = None,
                       size_limit: int = C.TEXT_SIZE_LIMIT) -> Column:
-    """Codes of one text. An oversize text gets no further check."""
+    """Codes of one text, whatever its size; ``oversize`` is one more code."""
     oversize = F.octet_length(text) > size_limit
     bad_json = ~is_json(text) if expect_json is not None else F.lit(False)
     wanted = expect_json if expect_json is not None else F.lit(False)
-    return F.when(oversize, F.array(F.lit("oversize"))).otherwise(codes_where(
+    return codes_where(
+        ("oversize", oversize),
         ("machine_path", text.rlike(MACHINE_PATH)),
         ("access_token", text.rlike(ACCESS_TOKEN)),
         ("invalid_json", wanted & bad_json),
-    ))
+    )

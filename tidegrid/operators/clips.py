@@ -15,19 +15,23 @@ def clip_qc(facts: DataFrame) -> DataFrame:
     """Flags, blocking reasons, status and primary error of each clip.
 
     ``facts`` has samplerate, channels, sample_width_bytes, nframes,
-    nonzero_samples, clipped_ratio and decode_error ('' when decoded).
+    nonzero_samples, clipped_ratio and decode_error ('' when decoded). Where it also has
+    samples, the number really read, a header without data behind it is empty audio.
     """
+    read = F.col("samples") if "samples" in facts.columns else F.col("nframes")
     measured = F.when(F.col("samplerate") > 0, F.col("nframes") / F.col("samplerate")).otherwise(0.0)
     shortfall = F.when(measured > 0, F.greatest(F.lit(0.0), C.CLIP_SECONDS - measured)).otherwise(C.CLIP_SECONDS)
     observed = F.when(measured > 0, F.least(measured, F.lit(C.CLIP_SECONDS)) / C.CLIP_SECONDS).otherwise(0.0)
-    sixteen_bit = (F.col("nframes") > 0) & (F.col("sample_width_bytes") == C.CLIP_WIDTH)
+    wide = F.col("sample_width_bytes") == C.CLIP_WIDTH
+    empty = (F.col("nframes") == 0) | (wide & (read == 0))
+    sixteen_bit = ~empty & wide
     short = (measured < C.CLIP_SECONDS) & ~(measured > C.CLIP_SECONDS + C.CLIP_SLACK_S)
     minor = short & (shortfall <= C.CLIP_TAIL_S)
     found = [
         ("SAMPLE_RATE_DEVIATION", F.col("samplerate") != C.CLIP_RATE, True),
         ("CHANNELS_NOT_STEREO", F.col("channels") != C.CLIP_CHANNELS, True),
         ("SAMPLE_WIDTH_NOT_16BIT", F.col("sample_width_bytes") != C.CLIP_WIDTH, True),
-        ("EMPTY_AUDIO", F.col("nframes") == 0, True),
+        ("EMPTY_AUDIO", empty, True),
         ("ZERO_AUDIO", sixteen_bit & (F.col("nonzero_samples") == 0), True),
         ("POSSIBLE_CLIPPING", sixteen_bit & (F.col("clipped_ratio") > C.CLIP_PEAK_RATIO), False),
         ("LONGER_THAN_NOMINAL", measured > C.CLIP_SECONDS + C.CLIP_SLACK_S, True),

@@ -22,6 +22,7 @@ class TelemetryDataset:
     subjects: DataFrame
     anomalies: DataFrame
     excluded_sessions: DataFrame
+    unjudged_sessions: DataFrame
 
 
 def build_telemetry_dataset(labels: DataFrame, rows: DataFrame,
@@ -30,10 +31,15 @@ def build_telemetry_dataset(labels: DataFrame, rows: DataFrame,
 
     Steps, audit and windows each feed several branches, so each is written once
     to the shared folder and read back with only the columns a branch needs.
+
+    A session whose clock cannot be audited keeps all its windows, judged as without
+    telemetry, and is named with its error in ``unjudged_sessions``.
     """
     rows = stage(telemetry.clock_steps(rows), "steps")
     audit = stage(telemetry.clock_audit(rows, settings.clock_jump_s), "audit")
-    require_none(audit, F.col("clock_error") != "", "telemetry clock")
+    unjudged = audit.where("clock_error <> ''").select("session_id", "clock_error")
+    audit = audit.where("clock_error = ''")
+    rows = rows.join(unjudged, "session_id", "left_anti")
     lattice = grid.candidate_grid(labels, settings.window_us // 1000)
     judged = stage(telemetry.telemetry_windows(lattice, rows, settings, audit), "windows")
     outside = labels.where(ids.fatigue_split(F.col("subject_id")).isNull()).select("session_id").distinct()
@@ -43,6 +49,7 @@ def build_telemetry_dataset(labels: DataFrame, rows: DataFrame,
         coverage.subject_table(judged),
         telemetry.clock_anomalies(rows, settings.clock_jump_s),
         outside,
+        unjudged,
     )
 
 

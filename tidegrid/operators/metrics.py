@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.numeric import argmax, one_hot, valid_probabilities
 from tidegrid.operators.grid import index_set_is_full
 from tidegrid.plans.chunked import cut, with_running_max
+from tidegrid.plans.guards import ContractError
 
 
 def with_prediction(preds: DataFrame) -> DataFrame:
@@ -37,13 +38,26 @@ def _cell(i: int, j: int) -> str:
     return f"c_{i}_{j}"
 
 
+def _cells(columns: Sequence[str], classes: int) -> list[Column]:
+    """The counts of all cells. The first one stops the query if a row belongs to none.
+
+    A label or prediction outside 0..C-1, a null one or an invalid probability vector would
+    make a row drop out of every metric; it is counted in the same pass and refused.
+    """
+    fits = F.col("label_id").between(0, classes - 1) & F.col("prediction").between(0, classes - 1)
+    if "probabilities" in columns:
+        fits = fits & valid_probabilities(F.col("probabilities"), classes)
+    refused = F.count_if(~F.coalesce(fits, F.lit(False)))
+    stop = F.raise_error(F.concat(F.lit("predictions outside the contract: "), refused.cast("string"))).cast("bigint")
+    counts = {(i, j): F.count_if((F.col("label_id") == i) & (F.col("prediction") == j))
+              for i in range(classes) for j in range(classes)}
+    counts[0, 0] = F.when(refused > 0, stop).otherwise(counts[0, 0])
+    return [count.alias(_cell(i, j)) for (i, j), count in counts.items()]
+
+
 def wide_confusion(preds: DataFrame, by: Sequence[str], classes: int) -> DataFrame:
     """One row per group with the count of every (label, prediction) cell."""
-    cells = [
-        F.count_if((F.col("label_id") == i) & (F.col("prediction") == j)).alias(_cell(i, j))
-        for i in range(classes) for j in range(classes)
-    ]
-    return preds.groupBy(*by).agg(*cells)
+    return preds.groupBy(*by).agg(*_cells(preds.columns, classes))
 
 
 def confusion_matrix(preds: DataFrame, by: Sequence[str], classes: int) -> DataFrame:
@@ -173,16 +187,12 @@ def metric_bundle(preds: DataFrame, classes: int, windows: int = 8, by: Sequence
         "parent_240s": aggregate_parents(preds, classes, windows, by),
     }
     metrics = [c.alias(n) for n, c in metric_columns(classes).items()]
-    cells = [
-        F.count_if((F.col("label_id") == i) & (F.col("prediction") == j)).alias(_cell(i, j))
-        for i in range(classes) for j in range(classes)
-    ]
     out = None
     for unit, table in units.items():
         keys = [F.col(b) for b in by]
         sets = [[*keys], [*keys, F.col("subject_id")]]
         counted = table.groupingSets(sets, *keys, F.col("subject_id")).agg(
-            *cells, F.grouping("subject_id").alias("__all"))
+            *_cells(table.columns, classes), F.grouping("subject_id").alias("__all"))
         rows = counted.select(
             F.lit(unit).alias("unit"), *by,
             F.when(F.col("__all") == 1, "all").otherwise("subject").alias("scope"),
@@ -393,9 +403,16 @@ def best_so_far(history: DataFrame, keys: Sequence[str], order: str, metric: str
     """Best metric per key, the earlier on a tie, stopping when patience runs out.
 
     ``order`` is a dense 0-based position. Rows after the stop do not count,
-    even where the metric rises again.
+    even where the metric rises again. A metric that is null or not finite stops
+    the query: NaN would rank above every number.
     """
+    if patience < 1:
+        raise ContractError("patience must be positive")
     epoch = epoch or order
+    value = F.col(metric)
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    history = history.withColumn(metric, F.when(finite, value).otherwise(
+        F.raise_error(F.concat(F.lit("metric is not finite at "), F.col(order).cast("string"))).cast("double")))
     chunk = cut(order)
     gains = with_running_max(history, keys, [order], chunk, {"__best": F.col(metric)})
     gain = F.col("__best").isNull() | (F.col(metric) > F.col("__best"))

@@ -45,9 +45,14 @@ def stratified_even_sample(rows: DataFrame, label: str, n: int, classes: int = 3
     """``n`` rows split evenly over the labels, evenly spaced in table order.
 
     The wanted ranks follow from each label's row count alone, so one equi-join
-    on (label, rank) picks the rows.
+    on (label, rank) picks the rows. A label with fewer rows than its share, or with
+    none, stops the query: its rows would come twice or be missing.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    held = {r[label]: r["__size"] for r in sizes.where(F.col(label).between(0, classes - 1)).collect()}  # a row per label
+    short = [i for i in range(classes) if held.get(i, 0) < n // classes + (i < n % classes)]
+    if short:
+        raise ContractError(f"too few rows of label {short}")
     quota = F.lit(n // classes) + F.when(F.col(label) < n % classes, 1).otherwise(0)
     last = F.col("__size") - 1
     i, q = F.col("__i"), F.col("__quota")

@@ -98,7 +98,7 @@ def clock_audit(telemetry: DataFrame, threshold_s: float = 1.0) -> DataFrame:
     """One row per session: median step, bad steps, first bad row, trusted end.
 
     ``trust_end_s`` is infinite for a stable clock. ``clock_error`` names a
-    session the audit cannot judge (under two rows, or no positive step).
+    session the audit cannot judge (a row without clock, under two rows, or no positive step).
     """
     steps = clock_steps(telemetry)
     bad = bad_step(threshold_s)
@@ -108,6 +108,7 @@ def clock_audit(telemetry: DataFrame, threshold_s: float = 1.0) -> DataFrame:
         F.min_by("timestamp_us", "row_no").alias("start_us"),
         F.count_if(bad).alias("anomaly_count"),
         F.count_if(F.col("step_us") > 0).alias("positive_steps"),
+        F.count_if(F.col("timestamp_us").isNull()).alias("missing_clocks"),
         first_bad.alias("__bad"),
     )
     middle = exact_median(
@@ -126,7 +127,8 @@ def clock_audit(telemetry: DataFrame, threshold_s: float = 1.0) -> DataFrame:
             F.coalesce(end, F.lit(float("inf"))).alias("trust_end_s"),
             F.when(F.col("anomaly_count") == 0, "stable")
             .otherwise("pending_after_discontinuity").alias("clock_status"),
-            F.when(F.col("source_rows") < 2, "fewer_than_two_rows")
+            F.when(F.col("missing_clocks") > 0, "missing_clock")
+            .when(F.col("source_rows") < 2, "fewer_than_two_rows")
             .when(F.col("positive_steps") == 0, "no_positive_steps")
             .otherwise("").alias("clock_error"),
         )

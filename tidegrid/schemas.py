@@ -21,5 +21,5 @@ BUNDLE = (
 )
 CLIP_FACTS = (
     "source_file string, samplerate int, channels int, sample_width_bytes int, nframes bigint, "
-    "nonzero_samples bigint, clipped_ratio double, decode_error string"
+    "samples bigint, nonzero_samples bigint, clipped_ratio double, decode_error string"
 )

@@ -34,15 +34,17 @@ def build_session(app: str = "tidegrid", master: str | None = None, **extra: str
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name all executors can reach.
 
-    It lies in ``spark.checkpoint.dir`` where the cluster names one. Only where
-    that is unset, as in tests, is a local temporary folder made and set.
+    It lies in ``spark.checkpoint.dir``, which a cluster must name: executors cannot
+    read each other's disks. Only a local master, as in tests, gets a temporary
+    folder of its own, for this call alone.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

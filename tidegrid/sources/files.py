@@ -79,7 +79,7 @@ def ingest_feature_bundles(spark: SparkSession, root: str) -> DataFrame:
 def _clip(payload: bytes) -> dict:
     import numpy as np
 
-    facts = {"samplerate": 0, "channels": 0, "sample_width_bytes": 0, "nframes": 0,
+    facts = {"samplerate": 0, "channels": 0, "sample_width_bytes": 0, "nframes": 0, "samples": 0,
              "nonzero_samples": 0, "clipped_ratio": 0.0, "decode_error": ""}
     try:
         with wave.open(io.BytesIO(payload), "rb") as reader:
@@ -91,7 +91,7 @@ def _clip(payload: bytes) -> dict:
     if facts["sample_width_bytes"] == C.CLIP_WIDTH and raw:
         samples = np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2")
         peaks = np.abs(samples.astype(np.int32)) >= C.CLIP_PEAK
-        facts |= {"nonzero_samples": int(np.count_nonzero(samples)), "clipped_ratio": float(peaks.mean())}
+        facts |= {"samples": len(samples), "nonzero_samples": int(np.count_nonzero(samples)), "clipped_ratio": float(peaks.mean())}
     return facts
 
 

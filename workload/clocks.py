@@ -248,10 +248,7 @@ def telemetry_windows(spark, d):
 @query("telemetry_dataset", f"""WITH j AS ({_JUDGED}), g AS ({sql('v_grid', 'SELECT session_id, window_index, subject_id, split FROM v_grid')})
 SELECT split, qc_status, error, count(*) AS n, count(DISTINCT session_id) AS sessions FROM j JOIN g USING (session_id, window_index) GROUP BY ALL""")
 def telemetry_dataset(spark, d):
-    rows = v_tel(spark, d)
-    # a session of one row has no step to audit; the job would stop at it, so such sessions are judged as without telemetry
-    counted = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("session_id")
-    built = jobs.build_telemetry_dataset(v_session_labels(spark, d), rows.join(counted, "session_id", "left_semi"), S)
+    built = jobs.build_telemetry_dataset(v_session_labels(spark, d), v_tel(spark, d), S)
     return built.windows.groupBy("split", "qc_status", "error").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("sessions"))
 

@@ -246,6 +246,7 @@ def circular_encode(spark, d):
 
 
 _POLICY = r"""list_filter([
+ CASE WHEN octet_length(encode(t)) > 100000 THEN 'oversize' END,
  CASE WHEN regexp_matches(t, '(^|[^A-Za-z0-9])[A-Za-z]:[\\/][^\s"'']+|/(home|Users)/[^\s"'']+') THEN 'machine_path' END,
  CASE WHEN regexp_matches(t, '(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{32,}|-----BEGIN ([A-Z]+ )?PRIVATE KEY-----)') THEN 'access_token' END,
  CASE WHEN j AND NOT json_valid(t) THEN 'invalid_json' END], lambda v: v IS NOT NULL)"""
@@ -254,7 +255,7 @@ _POLICY = r"""list_filter([
 @query("text_policy_scan", rf"""
 WITH t AS (SELECT 'documents' AS origin, doc_id AS id, text AS t, false AS j FROM documents UNION ALL SELECT 'pages', page_id, url || ' ' || html, false FROM pages
  UNION ALL SELECT 'events', event_id, CASE WHEN event_type = 'error' THEN props || ',' ELSE props END, true FROM events),
-c AS (SELECT origin, id, CASE WHEN octet_length(encode(t)) > 100000 THEN ['oversize'] ELSE {_POLICY} END AS codes FROM t)
+c AS (SELECT origin, id, {_POLICY} AS codes FROM t)
 SELECT origin, code, count(*) AS n FROM (SELECT origin, unnest(codes) AS code FROM c) GROUP BY ALL""")
 def text_policy_scan(spark, d):
     docs = table(spark, d, "documents", "text").select(F.lit("documents").alias("origin"), F.col("text").alias("t"), F.lit(False).alias("j"))

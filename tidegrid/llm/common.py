@@ -21,9 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, nothing is computed twice."""
+    """``df`` written to the shared folder and read back: lineage ends here, nothing is computed twice.
+
+    Spark frees the shuffle files of finished jobs when the driver collects garbage; asking for
+    that here keeps one step's shuffle on disk, not those of all steps.
+    """
     path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

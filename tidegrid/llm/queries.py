@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidegrid.llm import (bpe, host_rules, hyperminhash, language_id, line_dedup, nn_descent, packing, sharding, suffix_dedup,
+from tidegrid.llm import (bpe, host_rules, hyperminhash, language_id, line_dedup, nn_descent, oracles, packing, sharding, suffix_dedup,
                           toxicity)
 from tidegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op7_hyperminhash": oracles.HYPERMINHASH,
+    "op8_host_rules": oracles.HOST_RULES,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

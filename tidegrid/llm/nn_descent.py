@@ -223,19 +223,23 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entrie
     measured = lambda pairs: pairs.join(places, "u").join(queries.select("q", F.col("vector").alias("here")), "q").select(
         "q", "u", _distance("here", "there").alias("d"), F.lit(False).alias("opened"))
     near = Window.partitionBy("q").orderBy("d", "u")
-    found = staged(measured(entries.distinct()), "found")
-    for _ in range(steps):
+
+    def turned(found: DataFrame) -> DataFrame:
+        """The nodes remembered, with ``next`` on those to be opened now."""
         ranked = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= remembered)
-        waiting = ranked.where(~F.col("opened") & (F.col("r") <= 2 * beam)).withColumn(
-            "turn", F.row_number().over(near)).where(F.col("turn") <= beam)
-        opening = staged(waiting.select("q", F.col("u").alias("w")), "opening")
+        waiting = ~F.col("opened") & (F.col("r") <= 2 * beam)
+        turn = F.sum(waiting.cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0))
+        return staged(ranked.select("q", "u", "d", "opened", (waiting & (turn <= beam)).alias("next")), "found")
+
+    found = turned(measured(entries.distinct()))
+    for _ in range(steps):
+        opening = found.where("next")
         if opening.limit(1).count() == 0:
             break
-        fresh = opening.join(ways, "w").select("q", F.col("m").alias("u")).distinct().join(found.select("q", "u"), ["q", "u"], "left_anti")
-        kept = ranked.drop("r").join(opening.select("q", F.col("w").alias("u"), F.lit(True).alias("now")), ["q", "u"], "left").select(
-            "q", "u", "d", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        found = staged(kept.union(measured(fresh)), "found")
-    return _top(found.select(F.col("q").alias("v"), "u", "d"), remembered).withColumnRenamed("v", "q")
+        fresh = opening.select("q", F.col("u").alias("w")).join(ways, "w").select("q", F.col("m").alias("u")).distinct().join(
+            found.select("q", "u"), ["q", "u"], "left_anti")
+        found = turned(found.select("q", "u", "d", F.expr("opened or next").alias("opened")).union(measured(fresh)))
+    return found.select("q", "u", "d")
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 10, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, block: int = BLOCK,
@@ -243,7 +247,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, neighbours: int = N
     """query_id, rank, vec_id, score: the ``k`` nearest vectors found for each row where ``is_query`` holds, itself excluded.
 
     Score is the Euclidean distance; ties go to the smaller vec_id. Rows that take no part are
-    named in ``valid_vectors``. A vec_id that comes more than once is a row each time, and
+    named in ``valid_vectors``. Rows that repeat vec_id and vector are one row, and a vec_id is
     never its own neighbour. An empty table gives none.
     """
     vectors = staged(valid_vectors(table), "vectors")

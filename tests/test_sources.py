@@ -201,6 +201,17 @@ def test_predictions_round_trip(spark, tmp_path):
             tables.read_predictions(spark, path, **({"unit": "window_30s", "split": "val", "seed": 11} | kw))
 
 
+def test_prediction_lines(spark, tmp_path):
+    path = tmp_path / "p.jsonl"
+    good = {"sample_id": "a", "subject_id": "D", "label": 1, "prediction": 0, "seed": 3, "split": "test", "other": [1]}
+    path.write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"label": 5}) + "\n")
+    assert [(r["label_id"], r["prediction"], r["seed"]) for r in tables.read_predictions_jsonl(spark, str(path), 6).collect()] == [(1, 0, 3), (5, 0, 3)]
+    for bad in (json.dumps(good | {"label": 6}), json.dumps(good | {"prediction": None}), json.dumps(good | {"subject_id": None}), "{broken", json.dumps(good | {"label": "x"})):
+        path.write_text(json.dumps(good) + "\n" + bad + "\n")
+        with pytest.raises(Exception):
+            tables.read_predictions_jsonl(spark, str(path), 6).collect()
+
+
 def test_id_list(spark, tmp_path):
     (tmp_path / "ids.txt").write_text(" a \n\n  \nb\n")
     (tmp_path / "ids.csv").write_text("x,sample_id\n1,c\n")

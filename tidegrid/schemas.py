@@ -19,6 +19,9 @@ BUNDLE = (
     "support_s array<struct<start:double,end:double>>, observed_fraction array<float>, "
     "read_error string"
 )
+PREDICTION_LINE = (
+    "sample_id string, subject_id string, label bigint, prediction bigint, seed bigint, split string, probabilities array<double>"
+)
 CLIP_FACTS = (
     "source_file string, samplerate int, channels int, sample_width_bytes int, nframes bigint, "
     "samples bigint, nonzero_samples bigint, clipped_ratio double, decode_error string"

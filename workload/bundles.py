@@ -180,3 +180,15 @@ def mean_observed(spark, d):
 def pooled_classifier(spark, d):
     rows = v_tok(spark, d).withColumn("label_id", F.col("label") % 3).withColumnRenamed("vec_id", "sample_id")
     return classifier.pooled_classifier(rows)
+
+
+@query("pooled_classifier_facts", sql("v_tok", """
+SELECT split, label % 3 AS label_id, count(DISTINCT vec_id) AS n, count(DISTINCT vec_id) AS sound FROM v_tok GROUP BY ALL"""))
+def pooled_classifier_facts(spark, d):
+    """Every row scored once; its probabilities add up to one and the prediction is their largest."""
+    scored = pooled_classifier(spark, d)
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    sound = (F.abs(total - 1) < 1e-9) & (F.get(p, F.col("prediction")) == F.array_max(p)) & (F.size(p) == 3)
+    return scored.groupBy("split", "label_id").agg(
+        F.count_distinct("sample_id").alias("n"), F.count_if(sound).alias("sound"))

@@ -224,3 +224,14 @@ def validate_video_features(spark, d):
     return V.validate_video_features(windows, features, children, arrays).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query("read_predictions_jsonl", sql("v_seed", """
+SELECT seed, subject_id, count(*) AS n, count(*) FILTER (WHERE label_id = prediction) AS hits FROM v_seed GROUP BY seed, subject_id"""))
+def read_predictions_jsonl(spark, d):
+    """Predictions as JSON lines, read back with their checks."""
+    path = shared_folder(spark, "prediction_lines")
+    seeds(spark, d).select("subject_id", F.col("label_id").alias("label"), "prediction", "seed", "split").write.json(path)
+    back = tables.read_predictions_jsonl(spark, path, 3)
+    return back.groupBy("seed", "subject_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label_id") == F.col("prediction")).alias("hits"))

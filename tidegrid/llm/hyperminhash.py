@@ -1,10 +1,11 @@
 """Near duplicates by HyperMinHash registers, banded, estimated, then confirmed on full sets.
 
-A set of word shingles is dealt to 128 buckets by the first bits of its hashes. A bucket
-keeps its smallest hash as a count of leading zeros (6 bits) and the 10 bits after the
-first one. Empty buckets borrow from a full one in a fixed order, which keeps the chance
-of equal registers at the similarity of the sets. Four registers are one band: sets of
-similarity 0.85 share none of the 32 bands with a chance of 6e-11.
+A set of word shingles is dealt to 512 buckets by the first bits of its hashes. A bucket
+keeps its smallest hash as a count of leading zeros (4 bits) and the 4 bits after the first
+one. Empty buckets borrow from a full one in a fixed order, which keeps the chance of equal
+registers at the similarity of the sets or above. Eight registers are one band: sets of
+similarity 0.85 share none of the 64 bands with a chance of 1e-9, of 0.8 with 8e-6, while
+sets of 0.3 meet in any with 1 %, so that families of loosely related texts stay apart.
 """
 
 from __future__ import annotations
@@ -19,45 +20,56 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import byte_slices, staged, text_buffer
 from tidegrid.llm.components import components
+from tidegrid.llm.slots import marked, marks
 from tidegrid.llm.textbytes import U64, mix, shingle_sets, sums_by
 
-BUCKETS, BUCKET_BITS, MANTISSA = 128, 7, 10
-BANDS = 32
+BUCKETS, BUCKET_BITS, ZEROS, MANTISSA = 512, 9, 15, 4
+BANDS = 64
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be confirmed.
-SLACK = 5.5
+SLACK = 5.0
 
 
 def registers_of(owner: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """(n, 128) 16-bit registers of sets given as ordered (owner, hash); rows of empty sets mean nothing."""
+    """(n, 512) one-byte registers of sets given as ordered (owner, hash); rows of empty sets mean nothing."""
     bucket = (names >> U64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(names), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
     rest = (names[first] << U64(BUCKET_BITS)) >> U64(11)  # 53 bits that a double holds exactly
     exponent = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
-    zeros = np.minimum(53 - exponent, 63)
+    zeros = np.minimum(53 - exponent, ZEROS).astype(np.uint8)
     below = rest << (64 - exponent).clip(0, 63).astype(U64) << U64(1)  # what follows the leading one
-    value = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (below >> U64(64 - MANTISSA)).astype(np.uint16)
-    table, full = np.zeros((n, BUCKETS), np.uint16), np.zeros((n, BUCKETS), bool)
+    value = (zeros << np.uint8(MANTISSA)) | (below >> U64(64 - MANTISSA)).astype(np.uint8)
+    table, full = np.zeros((n, BUCKETS), np.uint8), np.zeros((n, BUCKETS), bool)
     at = (owner[first], bucket[first])
     table[at], full[at] = value, True
     return _borrow(table, full)
 
 
 @lru_cache(maxsize=1)
-def _donors() -> np.ndarray:
-    """For each bucket the order in which it asks the others."""
+def _asking() -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the order in which it asks the others, and each other's rank in it (by other)."""
     keys = mix(np.arange(BUCKETS * BUCKETS, dtype=U64) + U64(1)).reshape(BUCKETS, BUCKETS)
-    return np.argsort(keys, axis=1)
-
-
-def _borrow(table: np.ndarray, full: np.ndarray) -> np.ndarray:
-    out = table.copy()
-    rows = np.flatnonzero(~full.all(axis=1) & full.any(axis=1))
+    order = np.argsort(keys, axis=1)
+    return order, np.argsort(order, axis=1).T.astype(np.uint16)
+
+
+def _borrow(table: np.ndarray, full: np.ndarray, few: int = 64) -> np.ndarray:
+    """Each empty bucket takes the register of the first full one that it asks."""
+    order, rank = _asking()
+    out, count = table.copy(), full.sum(axis=1)
+    for rows in np.array_split(np.flatnonzero((count > 0) & (count < few)), max(1, len(table) // 128)):
+        if len(rows):  # rank all full buckets
+            width = count[rows].max()
+            held = np.argsort(~full[rows], axis=1, kind="stable")[:, :width]
+            asked = np.where(np.arange(width)[None, :, None] < count[rows][:, None, None], rank[held], np.uint16(65535))
+            donor = np.take_along_axis(held, asked.argmin(axis=1), axis=1)
+            out[rows] = np.where(full[rows], table[rows], np.take_along_axis(table[rows], donor, axis=1))
+    rows = np.flatnonzero((count >= few) & (count < BUCKETS))
     wanting = ~full[rows]
-    for k in range(BUCKETS):
+    for k in range(BUCKETS):  # ask one after the other; soon few are left
         if not len(rows):
             break
-        donor = _donors()[:, k]
+        donor = order[:, k]
         gives = wanting & full[rows][:, donor]
         part = out[rows]
         part[gives] = table[rows][:, donor][gives]
@@ -90,7 +102,7 @@ def sketch(rows: DataFrame, words: int) -> DataFrame:
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """(band, node): a key for each band of four registers."""
+    """(band, node, n): a key for each band of eight registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=U64) + U64(77))
@@ -99,29 +111,30 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 held = np.frombuffer(b"".join(batch.column("registers").to_pylist()), U64).reshape(-1, BANDS)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(mix(held ^ salt).ravel().view(np.int64)),
-                    pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["band", "node"])
+                    *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("node", "n"))], names=["band", "node", "n"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "band long, node long")
+    return nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "registers").mapInArrow(run, "band long, node long, n int")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) whose estimated similarity is not clearly below the threshold.
 
     The share of equal registers less the equal ones that chance gives (truncated hashes of
-    unequal minima collide) estimates Jaccard. Sizes exclude a pair exactly.
+    unequal minima collide) estimates Jaccard. Sizes exclude a pair exactly. The estimate is
+    no surer than the number of shingles or registers allows, whichever is smaller.
     """
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
         F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
-    floor = threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
             big, small = (f(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) for f in (np.maximum, np.minimum))
             ratio = big / small
+            floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(big, BUCKETS))
             chance = 0.1699194871597391 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
             likely = ((left == right).mean(axis=1) - chance) / (1 - chance) >= floor
             yield batch.select(["a", "b"]).filter(pa.array(likely))
@@ -132,7 +145,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = staged(rows.select("row", "text").join(wanted, "row", "left_semi"), "texts")
+    wanted = staged(wanted, "wanted")
+    texts = staged(marked(rows.select("row", "text"), "row", marks(wanted)).join(wanted, "row", "left_semi"), "texts")
     side = lambda s: texts.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +165,49 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of a band's members in different components, each band's pairs of components first, so that a component is never paired with itself."""
-    groups = staged(members.groupBy("band", "component").count(), "groups")
-    several = groups.groupBy("band").count().where("count > 1").select("band")
-    groups = groups.join(several, "band", "left_semi")
-    left = groups.select("band", F.col("component").alias("left"))
-    right = groups.select("band", F.col("component").alias("right"))
-    facing = left.join(right, "band").where(F.col("left") < F.col("right"))
-    a = members.select("band", F.col("component").alias("left"), F.col("node").alias("x"))
-    b = members.select("band", F.col("component").alias("right"), F.col("node").alias("y"))
-    pairs = facing.join(a, ["band", "left"]).join(b, ["band", "right"]).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+BITS = [f"b{k}" for k in range(BUCKETS // 64)]
+
+
+def register_bits(nodes: DataFrame) -> DataFrame:
+    """(node, b0..b7): the last bit of every register, in longs. Unequal registers agree in it half of the time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            longs = np.packbits(held & np.uint8(1), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(c)) for c in longs.T)], names=["node", *BITS])
+
+    return nodes.select("node", "registers").mapInArrow(run, ", ".join(["node long", *(f"{b} long" for b in BITS)]))
+
+
+def _bits_agree(left: str, right: str, smaller: Column, percent: int) -> Column:
+    """Whether as many bits agree as sets of the wanted similarity leave agreeing, less the slack for sets of this size."""
+    alike = percent / 100
+    differ = sum((F.bit_count(F.col(left + b).bitwiseXOR(F.col(right + b))) for b in BITS), F.lit(0))
+    variance = alike * (1 - alike) / (4 * F.least(F.lit(BUCKETS), smaller)) + (1 - alike) / (4 * BUCKETS)
+    return 1 - differ / BUCKETS >= (1 + alike) / 2 - SLACK * F.sqrt(variance)
+
+
+def _across(members: DataFrame, nodes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a band's members in different components whose sizes and register bits fit.
+
+    A band's pairs of components come first, so that a component is never paired with itself; two components of one
+    node each are compared there, inside the join, so that loosely related texts leave no row.
+    """
+    shared = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    held = staged(members.join(shared, "band", "left_semi").join(register_bits(nodes), "node"), "across")
+    groups = staged(held.groupBy("band", "component").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"), *(F.min(b).alias(b) for b in BITS)), "groups")
+    side = lambda s: groups.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("component", "low", "high", "size", *BITS)))
+    several = (F.col("l_size") > 1) | (F.col("r_size") > 1)
+    facing = side("l").join(side("r"), "band").where(
+        (F.col("l_component") < F.col("r_component")) & (100 * F.col("l_high") >= percent * F.col("r_low"))
+        & (100 * F.col("r_high") >= percent * F.col("l_low"))
+        & (several | _bits_agree("l_", "r_", F.least("l_low", "r_low"), percent))).select("band", "l_component", "r_component")
+    one = lambda s: held.select("band", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", *BITS)))
+    pairs = facing.join(one("l"), ["band", "l_component"]).join(one("r"), ["band", "r_component"]).where(
+        (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & _bits_agree("l_", "r_", F.least("l_n", "r_n"), percent)).select(
+        F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -187,8 +232,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = staged(sketched.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
                    .select(F.col("row").alias("node"), "n_shingles", "registers"), "nodes")
     bands = band_keys(nodes)
-    heads = staged(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n"))
-                   .where("n > 1").select("band", "head"), "heads")
+    heads = staged(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("met"))
+                   .where("met > 1").select("band", "head"), "heads")
     members = staged(bands.join(heads, "band"), "members")
     links, tested = None, None
     pairs = members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -198,7 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = found if links is None else links.union(found)
         parts = components(links)
         own = F.coalesce("component", "node").alias("component")
-        pairs = _across(members.join(parts, "node", "left").select("band", "node", own), tested)
+        pairs = _across(members.join(parts, "node", "left").select("band", "node", "n", own), nodes, tested, percent)
     lows = sets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     named = staged(lows.join(least, "component").select("n_shingles", "set_a", "set_b", "component_id"), "named")

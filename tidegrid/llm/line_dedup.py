@@ -21,47 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import byte_slices, staged, text_buffer
+from tidegrid.llm.slots import COUNTS, SLOT_BITS, count_slots, slot_of, slot_table
 from tidegrid.llm.suffix_dedup import keyed
 from tidegrid.llm.textbytes import LOWER, U64, join_names, mix, span_hashes, sums_by, word_spans
 
-SLOT_BITS, BLOCK_BITS = 24, 12
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U64(64 - SLOT_BITS)).astype(np.int32)
-
-
-def slot_table(counts: DataFrame) -> np.ndarray:
-    """Byte codes of the summed counts of (slot, n): 0 none, 1 one, then four steps per doubling. 16 MB whatever the input."""
-
-    def pack(table: pa.Table) -> pa.Table:
-        codes = np.zeros(1 << BLOCK_BITS, np.uint8)
-        n = table.column("n").to_numpy()
-        codes[table.column("slot").to_numpy() & ((1 << BLOCK_BITS) - 1)] = np.where(
-            n < 2, n, np.minimum(255, 2 + np.floor(4 * np.log2(np.maximum(n, 2) / 2))))
-        return pa.table({"block": table.column("block")[:1], "codes": pa.array([codes.tobytes()], pa.binary())})
-
-    blocks = (counts.groupBy("slot").agg(F.sum("n").alias("n"))
-              .withColumn("block", F.shiftright("slot", BLOCK_BITS))
-              .groupBy("block").applyInArrow(pack, "block int, codes binary"))
-    table = np.zeros((1 << SLOT_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
-    for row in blocks.toLocalIterator():
-        table[row["block"]] = np.frombuffer(row["codes"], np.uint8)
-    return table.ravel()
-
-
-def _count_slots(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(slot, n) of all hashes of a task, added up first."""
-    held = np.zeros(1 << SLOT_BITS, np.int32)
-    for hashes in batches:
-        slots, n = np.unique(_slot(hashes), return_counts=True)
-        held[slots] += n.astype(np.int32)
-    slots = np.flatnonzero(held)
-    for at in range(0, len(slots), 1 << 16):
-        some = slots[at: at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], names=["slot", "n"])
-
-
 def word_rarity(docs: DataFrame) -> np.ndarray:
     """The slot table of all words of all whole texts."""
 
@@ -71,46 +34,75 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
                 for part in byte_slices(batch):
                     buffer, offsets = text_buffer(part.column("text"))
                     yield span_hashes(buffer, *word_spans(buffer, offsets)[:2], LOWER)
-        yield from _count_slots(hashes())
+        yield from count_slots(hashes())
 
-    return slot_table(docs.select("text").mapInArrow(run, "slot int, n long"))
+    return slot_table(docs.select("text").mapInArrow(run, COUNTS))
 
 
-def line_sets(buffer: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(line, code, hash) of the distinct words of each line, rare words first, and the text and number of each line with a word."""
+def _words_in_lines(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end and line of each word; text and number of each line that has a word. Lines are numbered through the slice."""
     starts, ends, text = word_spans(buffer, offsets)
-    hashes = span_hashes(buffer, starts, ends, LOWER)
     breaks = np.flatnonzero(buffer == 10)
-    line = np.searchsorted(breaks, starts) + text
-    codes = rarity[_slot(hashes)]
-    order = np.lexsort((hashes, codes, line))
-    line, codes, hashes = line[order], codes[order], hashes[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    line, codes, hashes = line[new], codes[new], hashes[new]
-    numbers, line = np.unique(line, return_inverse=True)
+    at = np.searchsorted(breaks, starts) + text
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    numbers, line = at[new], np.cumsum(new) - 1
     begin = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
     owner = np.searchsorted(begin, numbers, side="right") - 1
-    return line, codes, hashes, owner, numbers - begin[owner]
+    return starts, ends, line, owner, numbers - begin[owner]
+
+
+def _distinct(line: np.ndarray, hashes: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The distinct (line, hash), by line, then by code, then by hash."""
+    rank = hashes if codes is None else (codes.astype(U64) << U64(56)) | (hashes >> U64(8))
+    order = np.lexsort((rank, line))
+    line, hashes = line[order], hashes[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    return line[new], hashes[new], None if codes is None else codes[order][new]
+
+
+def _set_names(line: np.ndarray, hashes: np.ndarray, count: int) -> list[pa.Array]:
+    return [pa.array(sums_by(line, mix(h), count).view(np.int64)) for h in (hashes, hashes ^ U64(0x5DEECE66D))]
 
 
 def _place_name(key: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(join_names(key, line.astype(U64)))
 
 
+#: Bitmaps of a line's words: 128 bits for every line, and 512 more where over ``LONG`` words would fill those.
+LONG = 100
+SHORT_BITS, LONG_BITS = ["b0", "b1"], [f"c{k}" for k in range(8)]
+ALL_BITS = [*SHORT_BITS, *LONG_BITS]
+
+
+def _bitmaps(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """The words of each bitmap, line by line; zero in the long one of short lines."""
+    out = []
+    for place, width in ((hashes & U64(127), 2), (hashes >> U64(8) & U64(511), 8)):
+        bit, word = U64(1) << (place & U64(63)), place >> U64(6)
+        for k in range(width):
+            column = np.bitwise_or.reduceat(np.where(word == U64(k), bit, U64(0)), begin)
+            out.append(column if width == 2 else np.where(n > LONG, column, U64(0)))
+    return [pa.array(c.view(np.int64)) for c in out]
+
+
 def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     """One row per line with a word: its place, size, set name, bitmap and prefix (words and their positions)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    schema = ("key_a long, key_b int, doc_id long, line int, n int, set_a long, set_b long, bits long, "
-              "words array<int>, places array<int>")
+    schema = ("key_a long, key_b int, doc_id long, line int, n int, set_a long, set_b long, "
+              + "".join(f"{b} long, " for b in ALL_BITS) + "words array<int>, places array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
-                line, codes, hashes, owner, number = line_sets(*text_buffer(part.column("text")), shared.value)
+                buffer, offsets = text_buffer(part.column("text"))
+                starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
                 count = len(owner)
                 if not count:
                     continue
+                hashes = span_hashes(buffer, starts, ends, LOWER)
+                line, hashes, codes = _distinct(line, hashes, shared.value[slot_of(hashes)])
                 n = np.bincount(line, minlength=count)
                 begin = np.cumsum(n) - n
                 place = np.arange(len(line)) - begin[line]
@@ -118,10 +110,7 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=count)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(c).take(pa.array(owner)) for c in ("key_a", "key_b", "doc_id")),
-                    pa.array(number, pa.int32()), pa.array(n, pa.int32()),
-                    pa.array(sums_by(line, mix(hashes), count).view(np.int64)),
-                    pa.array(sums_by(line, mix(hashes ^ U64(0x5DEECE66D)), count).view(np.int64)),
-                    pa.array(np.bitwise_or.reduceat(U64(1) << (hashes & U64(63)), begin).view(np.int64)),
+                    pa.array(number, pa.int32()), pa.array(n, pa.int32()), *_set_names(line, hashes, count), *_bitmaps(hashes, begin, n),
                     *(pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (
                         (hashes[prefix] >> U64(32)).astype(np.uint32).view(np.int32), place[prefix]))],
                     names=[f.split()[0] for f in schema.split(", ")])
@@ -129,15 +118,20 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     return docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and bitmap filters on two prefix entries of one word; all are needed for similarity."""
+def _may_match(a: str, b: str, percent: int, placed: bool = True) -> Column:
+    """``a`` is earlier and passes the length, bitmap and (if ``placed``) positional filters on an entry of the same word.
+
+    Similar lines pass all: bits that differ are at most the words in which the lines differ.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    i, j = F.col(f"{a}.place"), F.col(f"{b}.place")
-    upper = F.least(i, j) + F.least(n - i, m - j)
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
-            & ((100 + percent) * upper >= percent * (n + m))
-            & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)))
+    differ = lambda bits: sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
+    near = lambda bits: (100 + percent) * (n + m - differ(bits)) >= 2 * percent * (n + m)
+    passes = ((F.col(f"{a}.id") < F.col(f"{b}.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+              & near(SHORT_BITS) & ((F.least(n, m) <= LONG) | near(LONG_BITS)))
+    if placed:
+        i, j = F.col(f"{a}.place"), F.col(f"{b}.place")
+        passes = passes & ((100 + percent) * (F.least(i, j) + F.least(n - i, m - j)) >= percent * (n + m))
+    return passes
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -147,27 +141,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     are; those that it lets pass by chance fall out in the join.
     """
     wanted = staged(pairs.select(F.col("earlier").alias("id")).union(pairs.select("later")).distinct()
-                    .join(classes.select("id", "first", "set_a", "set_b"), "id"), "wanted")
+                    .join(classes.select("id", "key_a", "line", "set_a", "set_b"), "id"), "wanted")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _count_slots(_place_name(b.column("key_a").to_numpy().view(U64), b.column("line").to_numpy()) for b in batches if b.num_rows)
+        yield from count_slots(_place_name(b.column("key_a").to_numpy().view(U64), b.column("line").to_numpy()) for b in batches if b.num_rows)
 
-    marks = docs.sparkSession.sparkContext.broadcast(slot_table(
-        wanted.select("first.key_a", "first.line").mapInArrow(mark, "slot int, n long")))
+    marked = docs.sparkSession.sparkContext.broadcast(slot_table(
+        wanted.select("key_a", "line").mapInArrow(mark, COUNTS)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(1 << SLOT_BITS, np.uint8)
         for batch in batches:
             for part in byte_slices(batch):
-                line, _, hashes, owner, number = line_sets(*text_buffer(part.column("text")), flat)
-                count = len(owner)
+                buffer, offsets = text_buffer(part.column("text"))
+                starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
                 key = part.column("key_a").to_numpy().view(U64)
-                passes = marks.value[_slot(_place_name(key[owner], number))] > 0
+                passes = marked.value[slot_of(_place_name(key[owner], number))] > 0
+                held, count = passes[line], int(passes.sum())
+                line = (np.cumsum(passes) - 1)[line[held]]
+                line, hashes, _ = _distinct(line, span_hashes(buffer, starts, ends, LOWER)[held])
                 begin = np.searchsorted(line, np.arange(count + 1))
-                names = [sums_by(line, mix(h), count).view(np.int64)[passes] for h in (hashes, hashes ^ U64(0x5DEECE66D))]
                 yield pa.RecordBatch.from_arrays([
-                    *map(pa.array, names), pa.array([hashes[begin[i]: begin[i + 1]].tobytes() for i in np.flatnonzero(passes)], pa.binary())],
-                    names=["set_a", "set_b", "hashes"])
+                    *_set_names(line, hashes, count),
+                    pa.array([hashes[begin[i]: begin[i + 1]].tobytes() for i in range(count)], pa.binary())], names=["set_a", "set_b", "hashes"])
 
     lines = docs.select("key_a", "text").mapInArrow(gather, "set_a long, set_b long, hashes binary")
     found = staged(wanted.join(lines, ["set_a", "set_b"]).select("id", "hashes"), "sets")
@@ -202,27 +197,23 @@ def similar_lines(keyed_docs: DataFrame, percent: int = 80) -> DataFrame:
     earlier ones there, so a family of many variants does not become all its pairs.
     """
     lines = staged(_signatures(keyed_docs, word_rarity(keyed_docs), percent), "lines")
-    classes = staged(lines.groupBy("set_a", "set_b").agg(F.min(F.struct(
-        "doc_id", "line", "key_a", "n", "bits", "words", "places")).alias("first"))
-        .withColumn("id", F.monotonically_increasing_id()), "classes")
-    entries = classes.select(
-        "id", "first.doc_id", "first.line", "first.n", "first.bits", F.explode(F.arrays_zip("first.words", "first.places")).alias("e")
-    ).select("id", "doc_id", "line", "n", "bits", F.col("e.words").alias("word"), F.col("e.places").alias("place"))
-    heads = staged(entries.groupBy("word").agg(
-        F.min(F.struct("doc_id", "line", "id", "n", "bits", "place")).alias("head"), F.count("*").alias("met")).where("met > 1"), "heads")
-    members = staged(entries.join(heads.drop("met"), "word"), "members")
-    before = lambda a, b: F.struct(F.col(f"{a}.doc_id"), F.col(f"{a}.line")) < F.struct(F.col(f"{b}.doc_id"), F.col(f"{b}.line"))
-    first = staged(members.alias("m").where(before("head", "m") & _may_match("head", "m", percent)).select(
-        F.col("head.id").alias("earlier"), F.col("m.id").alias("later")).distinct(), "pairs")
-    gone = staged(_verified(first, classes, keyed_docs, percent), "gone")
-    open_ = members.drop("head").join(gone, F.col("id") == F.col("later"), "left_anti")
-    rest = staged(members.where("id <> head.id").drop("head").alias("e").join(open_.alias("l"), "word").where(
-        before("e", "l") & _may_match("e", "l", percent)).select(
-        F.col("e.id").alias("earlier"), F.col("l.id").alias("later")).distinct(), "pairs")
+    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "n", *ALL_BITS, "words", "places")).alias("f"))
+    classes = staged(first.select("set_a", "set_b", "f.*").repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
+                     .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
+    entries = lambda some: some.select("id", "n", *ALL_BITS, F.explode(F.arrays_zip("words", "places")).alias("e")).select(
+        F.col("e.words").alias("word"), "id", F.col("e.places").alias("place"), "n", *ALL_BITS)
+    met = entries(classes).groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("met")).where("met > 1").select("word", "id")
+    heads = staged(met.join(classes.select("id", "n", *ALL_BITS), "id"), "heads")
+    pairs = lambda joined, a, b, placed: joined.where(_may_match(a, b, percent, placed)).select(
+        F.col(f"{a}.id").alias("earlier"), F.col(f"{b}.id").alias("later")).distinct()
+    tested = staged(pairs(heads.alias("h").join(entries(classes).alias("m"), "word"), "h", "m", False), "pairs")
+    gone = staged(_verified(tested, classes, keyed_docs, percent), "gone")
+    left = classes.join(gone, F.col("id") == F.col("later"), "left_anti")
+    rest = staged(pairs(entries(classes).alias("e").join(entries(left).alias("l"), "word"), "e", "l", True)
+                  .join(tested, ["earlier", "later"], "left_anti"), "pairs")
     gone = gone.union(_verified(rest, classes, keyed_docs, percent))
     judged = staged(classes.join(gone, F.col("id") == F.col("later"), "left").select(
-        "set_a", "set_b", "first.doc_id", F.col("first.line").alias("at"), F.col("later").isNotNull().alias("gone"))
-        .withColumnRenamed("doc_id", "of"), "judged")
+        "set_a", "set_b", F.col("doc_id").alias("of"), F.col("line").alias("at"), F.col("later").isNotNull().alias("gone")), "judged")
     return lines.select("key_a", "key_b", "doc_id", "line", "set_a", "set_b").join(judged, ["set_a", "set_b"]).where(
         F.col("gone") | (F.struct("of", "at") < F.struct("doc_id", "line"))).select("key_a", "key_b", "line")
 
@@ -232,7 +223,7 @@ def remove_similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Lines end at ``\\n``. Lines without a word stay. Order is (doc_id, line number); a null
     doc_id counts as the last one. Rows that repeat doc_id and text are one document and are
-    cut alike; lines at equal places do not remove each other. A null text stays null and has
+    cut alike; unequal lines at one place (a doc_id with two texts) come in a fixed order. A null text stays null and has
     no lines; an emptied text is an empty string, its row stays. Input columns named like the
     results are replaced; other columns are kept.
     """
@@ -250,10 +241,13 @@ def remove_similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             for part in byte_slices(batch):
                 texts, counts, gone = [], [], []
                 for text, places in zip(part.column("text").to_pylist(), part.column("removed").to_pylist()):
-                    lines = [] if text is None else text.split("\n")
                     out = set(places or ())
-                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text)
-                    counts.append(len(lines))
+                    if out:
+                        text_lines = text.split("\n")
+                        texts.append("\n".join(x for i, x in enumerate(text_lines) if i not in out))
+                    else:
+                        texts.append(text)
+                    counts.append(0 if text is None else text.count("\n") + 1)
                     gone.append(len(out))
                 held = {c: part.column(c) for c in columns}
                 held |= {"text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())}

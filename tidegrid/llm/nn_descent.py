@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import staged
 
 #: Neighbours per node; trees of the start; nodes per block; nodes on which the trees are fitted.
-NEIGHBOURS, TREES, BLOCK, SAMPLE = 16, 4, 256, 8192
+NEIGHBOURS, TREES, BLOCK, SAMPLE = 20, 6, 256, 8192
 #: Rounds of descent at most, and the share of changed neighbours under which it stops.
-ROUNDS, CHANGED = 4, 0.02
+ROUNDS, CHANGED = 5, 0.05
 #: Nodes that a query goes on from in one step, nodes it remembers, and steps at most.
-BEAM, REMEMBERED, STEPS = 12, 48, 8
+BEAM, REMEMBERED, STEPS = 150, 600, 8
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:

@@ -126,6 +126,35 @@ def test_neighbours_against_brute_force(spark):
     assert zero == list(range(400, 410))
 
 
+def test_overfull_leaves_are_split_by_planes(spark):
+    """With few sampled nodes a leaf holds many blocks; most true neighbours still meet, which hashing would part."""
+    rng = np.random.default_rng(8)
+    points = (5 * rng.normal(size=(100, 8))[np.arange(6000) % 100] + rng.normal(size=(6000, 8))).astype(np.float32)
+    nodes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "node long, vector array<float>")
+    graph = nn_descent.start_graph(nodes, k=10, trees=3, block=64, sample=64).toArrow()
+    found = collections.defaultdict(set)
+    for v, u in zip(graph.column("v").to_pylist(), graph.column("u").to_pylist(), strict=True):
+        found[v].add(u)
+    d = ((points[:300, None].astype(float) - points[None]) ** 2).sum(axis=2)
+    d[np.arange(300), np.arange(300)] = np.inf
+    best = np.argsort(d, axis=1)[:, :10]
+    assert np.mean([len(found[i] & set(best[i].tolist())) / 10 for i in range(300)]) > 0.5
+    rows = nn_descent.blocks(points, 64, 1)
+    assert sorted(np.concatenate(rows).tolist()) == list(range(6000)) and max(map(len, rows)) <= 128
+    assert max(map(len, nn_descent.blocks(np.ones((1000, 4), np.float32), 64, 1))) <= 128
+
+
+def test_search_goes_on_until_nothing_near_is_unopened(spark):
+    """A chain of nodes: the nearest lie many steps from the entry."""
+    n = 14
+    nodes = spark.createDataFrame([(i, [float(n - i), 1.0]) for i in range(n)], "node long, vector array<float>")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "v long, u long, d double")
+    queries = spark.createDataFrame([(n, [0.0, 1.0])], "q long, vector array<float>")
+    entries = spark.createDataFrame([(n, 0)], "q long, u long")
+    found = nn_descent.greedy_search(queries, nodes, graph, entries, k=2, beam=2, remembered=8)
+    assert found.orderBy("d").first().u == n - 1
+
+
 def test_few_or_no_neighbours(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in nn_descent.neighbour_report(table).collect())

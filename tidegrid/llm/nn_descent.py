@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import staged
 
-#: Neighbours per node; trees of the start; nodes per block; nodes on which the trees are fitted.
+#: Neighbours per node; trees of the start; nodes per block; nodes at least on which the upper part of the trees is fitted.
 NEIGHBOURS, TREES, BLOCK, SAMPLE = 20, 6, 256, 8192
-#: Rounds of descent at most, and the share of changed neighbours under which it stops.
-ROUNDS, CHANGED = 5, 0.05
-#: Nodes that a query goes on from in one step, nodes it remembers, and steps at most.
-BEAM, REMEMBERED, STEPS = 150, 600, 8
+#: Nodes of a leaf that one task splits further, and sampled nodes at least that a leaf is fitted on.
+GROUP, FITTED = 32_768, 32
+#: The share of changed neighbours under which descent stops, and rounds at most, far more than it needs.
+ROUNDS, CHANGED = 30, 0.01
+#: Nodes that a query goes on from in one step, and nodes it remembers.
+BEAM, REMEMBERED = 150, 600
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -65,14 +67,17 @@ class Tree:
         self._grow(sample, leaf, rng, 0)
 
     def _grow(self, sample: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
-        if len(sample) <= leaf or depth > 24:
-            self.leaves += 1
-            return -self.leaves
-        a, b = sample[rng.choice(len(sample), 2, replace=False)]
-        plane = (a - b).astype(np.float32)
-        side = sample @ plane
-        cut = np.float32(np.median(side))
-        if not (side < cut).any():
+        plane = None
+        for _ in range(8 if len(sample) > leaf and depth <= 64 else 0):
+            a, b = sample[rng.choice(len(sample), 2, replace=False)]
+            side = (sample * (a - b)).sum(axis=1)
+            cut = np.float32(np.median(side))
+            if not (side < cut).any() and (side > cut).any():
+                cut = side[side > cut].min()
+            if (side < cut).any():
+                plane = a - b
+                break
+        if plane is None:
             self.leaves += 1
             return -self.leaves
         me = len(self.planes)
@@ -94,6 +99,19 @@ class Tree:
         return -at - 1
 
 
+def blocks(points: np.ndarray, block: int, seed: int) -> list[np.ndarray]:
+    """The rows of ``points`` as leaves of a tree grown on all of them, at most ``2 * block`` each.
+
+    Only vectors that no plane tells apart are cut by their order.
+    """
+    if len(points) <= 2 * block:
+        return [np.arange(len(points))]
+    leaf = Tree(points, 2 * block, seed).leaf_of(points)
+    order = np.argsort(leaf, kind="stable")
+    leaves = np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)
+    return [part for rows in leaves for part in np.array_split(rows, -(-len(rows) // (2 * block)))]
+
+
 def _top(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest (v, u, d) of each v."""
     order = Window.partitionBy("v").orderBy("d", "u")
@@ -101,12 +119,16 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
 
 
 def start_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """(v, u, d) from exact neighbours inside blocks. Trees are fitted on about ``sample`` nodes; a leaf with more than a
-    block's worth of nodes is dealt to several blocks by hash, so a block is bounded at every size."""
+    """(v, u, d) from exact neighbours inside blocks, at every size the leaves of whole trees.
+
+    The upper part of a tree is fitted on about ``sample`` nodes, or more, so that a leaf has ``FITTED`` of
+    them and no more than about ``GROUP`` nodes; the task that gets a leaf grows the tree on, on all its nodes.
+    """
     total = nodes.count()
+    sample = max(sample, -(-FITTED * total // GROUP))
     drawn = nodes.where(F.expr("(xxhash64(node, 5) & 1048575) / 1048576D") < sample / max(1, total)).select("vector")
     points = matrix(drawn.toArrow().column("vector").combine_chunks()) if total else np.zeros((0, 1), np.float32)
-    leaf = max(8, round(block * len(points) / max(1, total)))
+    leaf = max(FITTED, round(block * len(points) / max(1, total)))
     forest = nodes.sparkSession.sparkContext.broadcast([Tree(points, leaf, seed) for seed in range(trees)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,18 +139,20 @@ def start_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, block
                     batch.column("node"), batch.column("vector"), pa.array(np.full(len(held), number), pa.int32()),
                     pa.array(tree.leaf_of(held), pa.int32())], names=["node", "vector", "tree", "leaf"])
 
-    placed = staged(nodes.mapInArrow(place, "node long, vector array<float>, tree int, leaf int"), "leaves")
-    held = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}  # at most trees * sample / 8 rows
-    parts = F.create_map(*(F.lit(x) for (t, at), n in held.items() for x in (t * 1_000_000 + at, -(-n // (2 * block))))) if held else F.create_map()
-    deal = F.pmod(F.xxhash64("node", "tree"), parts[F.col("tree") * 1_000_000 + F.col("leaf")].cast("long")) if held else F.lit(0)
+    placed = nodes.mapInArrow(place, "node long, vector array<float>, tree int, leaf int")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        name = table.column("node").to_numpy()
-        at, d = _nearest(matrix(table.column("vector").combine_chunks()), k) if len(name) > 1 else (np.zeros((len(name), 0), int), np.zeros((len(name), 0)))
-        return pa.table({"v": pa.array(np.repeat(name, at.shape[1])), "u": pa.array(name[at.ravel()]), "d": pa.array(d.ravel().astype(np.float64))})
-
-    edges = placed.withColumn("part", deal).groupBy("tree", "leaf", "part").applyInArrow(meet, "v long, u long, d double")
+        name, points = table.column("node").to_numpy(), matrix(table.column("vector").combine_chunks())
+        order = np.argsort(name)
+        name, points = name[order], points[order]
+        met = [(name[rows], *_nearest(points[rows], k)) for rows in blocks(points, block, table.column("tree")[0].as_py()) if len(rows) > 1]
+        return pa.table({
+            "v": pa.array(np.concatenate([np.zeros(0, np.int64), *(np.repeat(n, at.shape[1]) for n, at, _ in met)])),
+            "u": pa.array(np.concatenate([np.zeros(0, np.int64), *(n[at.ravel()] for n, at, _ in met)])),
+            "d": pa.array(np.concatenate([np.zeros(0), *(d.ravel() for _, _, d in met)]).astype(np.float64))})
+
+    edges = placed.groupBy("tree", "leaf").applyInArrow(meet, "v long, u long, d double")
     return _top(edges.groupBy("v", "u").agg(F.min("d").alias("d")), k)
 
 
@@ -212,11 +236,12 @@ def _distance(a: str, b: str) -> Column:
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: DataFrame, k: int = NEIGHBOURS,
-                  beam: int = BEAM, remembered: int = REMEMBERED, steps: int = STEPS) -> DataFrame:
+                  beam: int = BEAM, remembered: int = REMEMBERED) -> DataFrame:
     """(q, u, d): the nodes found for ``queries`` (q, vector), walking from ``entries`` (q, u), nearest ``remembered`` each.
 
     A step opens, for each query, up to ``beam`` unopened nodes among its nearest, and measures
-    their neighbours; it ends when every query has opened its nearest ``2 * beam``.
+    their neighbours; it ends only when every query has opened its nearest ``2 * beam``. A node once
+    pushed out of those remembered never comes back, so it does end.
     """
     ways = staged(both_ways(graph, k), "ways")
     places = nodes.select(F.col("node").alias("u"), F.col("vector").alias("there"))
@@ -232,10 +257,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entrie
         return staged(ranked.select("q", "u", "d", "opened", (waiting & (turn <= beam)).alias("next")), "found")
 
     found = turned(measured(entries.distinct()))
-    for _ in range(steps):
-        opening = found.where("next")
-        if opening.limit(1).count() == 0:
-            break
+    while (opening := found.where("next")).limit(1).count():
         fresh = opening.select("q", F.col("u").alias("w")).join(ways, "w").select("q", F.col("m").alias("u")).distinct().join(
             found.select("q", "u"), ["q", "u"], "left_anti")
         found = turned(found.select("q", "u", "d", F.expr("opened or next").alias("opened")).union(measured(fresh)))

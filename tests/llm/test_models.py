@@ -59,6 +59,30 @@ def test_toxicity_without_labels(labelled, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_few_rows_of_a_label_still_teach(spark, rare):
+    """Six rows of one label that teach among 594 of the other; the sample of 40 rows keeps all six."""
+    rng, teaching = random.Random(9), [i for i in range(900) if crc(i) % 5]
+    few = set(teaching[50:600:100])
+    rows, labels = [], []
+    for i in range(900):
+        toxic = (i in few or i >= 880) == bool(rare)
+        words = sentence(rng, 30).split()
+        for bad in ["blarg", "zonkhead", "vilefoo"] * toxic:
+            words.insert(rng.randrange(len(words)), bad)
+        rows.append((i, " ".join(words), int(toxic)))
+        if i < 880:
+            labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int").repartition(2)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs.drop("truth"), marks, 40).toPandas()
+    assert set(sample[sample.label == rare].doc_id) == few and len(sample) < 80
+    known = sum(i < 880 for i in teaching)
+    assert 0.5 * known < sample.weight.sum() < 1.7 * known
+    got = toxicity.score_toxicity(docs, marks).where("predicted = truth").count()
+    assert got >= 890
+
+
 def test_disguised_words_show():
     lexicon = toxicity.Lexicon(toxicity._names(["idiot"]), toxicity._names([]))
     names = toxicity.FEATURES

@@ -25,7 +25,7 @@ from tidegrid.llm.characters import code_points, runs, tables, word_names
 from tidegrid.llm.common import byte_slices, staged
 from tidegrid.llm.textbytes import U64, mix
 
-#: Bounds of the fit: labelled rows used, drawn by a hash of doc_id, and words of the lexicon.
+#: Bounds of the fit: labelled rows used, drawn per label by a hash of doc_id, and words of the lexicon.
 LEARN_ROWS, LEXICON_WORDS = 30_000, 5_000
 TREES, DEPTH, STEP = 20, 3, 0.3
 #: Words of the second person in the languages at hand.
@@ -151,7 +151,8 @@ def learn_lexicon(rows: DataFrame, words: int = LEXICON_WORDS) -> Lexicon:
     odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
     counted = rows.select("text", "label").mapInArrow(run, "word string, toxic long, other long").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    listed = counted.where("toxic >= 5").withColumn("odds", odds).where("odds >= 6").orderBy(
+    least = min(5, max(1, toxic // 4))  # with few toxic texts a word need not be in five of them
+    listed = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds >= 6").orderBy(
         F.desc(F.col("toxic") * F.log("odds")), "word").limit(words).collect()
     strong = [r["word"] for r in listed if r["odds"] >= 60]
     return Lexicon(_names(strong), _names([r["word"] for r in listed if r["odds"] < 60]))
@@ -178,40 +179,51 @@ def held_out() -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most about ``rows`` labelled documents that are not held out.
+    """(doc_id, text, label, weight) of at most about ``rows`` labelled documents that are not held out.
 
-    The sample's ids are few by that bound, so they go to the documents, not the texts to the labels.
+    The bound holds per label: half of it at least for either, so all rows of a rare label are taken up to
+    that. ``weight`` is the number of labelled documents a row stands for. The sample's ids are few by the
+    bound, so they go to the documents, not the texts to the labels.
     """
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label"))
-    share = rows / max(1, known.count())
-    drawn = known.where(F.expr("(xxhash64(doc_id) & 1048575) / 1048576D") < share)
-    return staged(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled")
+    there = staged(docs.select("doc_id").join(known, "doc_id"), "known")
+    counts = {r["label"]: r["n"] for r in there.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    few = min(min(counts.get(0, 0), counts.get(1, 0)), rows // 2)
+    share = {label: min(1.0, max(rows // 2, rows - few) / max(1, n)) for label, n in counts.items()}
+    part = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    drawn = there.where(F.expr("(xxhash64(doc_id) & 1048575) / 1048576D") < part).distinct()
+    return staged(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("weight", 1 / part), "labelled")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, trees: int = TREES) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Scores come from the whole text alone; null and empty texts have zero features and the score
-    those get. Labels teach only by rows that are not held out; a quarter of them calibrates.
-    Without both labels the score is their mean, or 0 without any. Repeated rows get equal
+    those get. Labels teach only by rows that are not held out; a quarter of them calibrates, weighted
+    to the shares of the labels. If a label has too few rows for two parts, all rows serve both.
+    Only without both labels is the score their mean, or 0 without any. Repeated rows get equal
     rows. Input columns named like the results are replaced; other columns are kept.
     """
     docs = docs.select(*(c for c in docs.columns if c not in ("score", "predicted")))
     sample = labelled_sample(docs, labels, rows)
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     result = lambda df, score: df.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    if min(seen.get(0, 0), seen.get(1, 0)) < 10:
+    rare = min(seen.get(0, 0), seen.get(1, 0))
+    if not rare:
         return result(docs, F.lit(float(seen.get(1, 0) / max(1, sum(seen.values())))))
     context = docs.sparkSession.sparkContext
     lexicon = context.broadcast(learn_lexicon(sample))
     vector = array_to_vector("features").alias("features")
-    ready = staged(with_features(sample, lexicon).select("doc_id", "label", "features"), "features")
+    ready = staged(with_features(sample, lexicon).select("doc_id", "label", "weight", "features"), "features")
     part = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
-    ordered = ready.repartition(4, "doc_id").sortWithinPartitions("doc_id", "features").select(F.col("label").cast("double"), vector, part.alias("fold"))
-    trees_model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=10, seed=7).fit(ordered.where("fold <> 0"))
-    calibration = trees_model.transform(ordered.where("fold = 0")).select("label", vector_to_array("probability")[1].alias("raw"))
-    smooth = IsotonicRegression(labelCol="label", featuresCol="raw").fit(calibration)
+    ordered = ready.repartition(4, "doc_id").sortWithinPartitions("doc_id", "features").select(F.col("label").cast("double"), "weight", vector, part.alias("fold"))
+    parts = ordered.groupBy("label", (F.col("fold") == 0).alias("apart")).count().collect()
+    split = len(parts) == 4 and min(r["count"] for r in parts) >= 5
+    learning, calibrating = (ordered.where("fold <> 0"), ordered.where("fold = 0")) if split else (ordered, ordered)
+    trees_model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=max(1, min(10, rare // 4)), seed=7).fit(learning)
+    calibration = trees_model.transform(calibrating).select("label", "weight", vector_to_array("probability")[1].alias("raw"))
+    smooth = IsotonicRegression(labelCol="label", featuresCol="raw", weightCol="weight").fit(calibration)
     columns = docs.columns
     featured = with_features(docs, lexicon, "__features").withColumn("__vector", array_to_vector("__features")).drop("__features")
     names = {"probabilityCol": "__probability", "predictionCol": "__class", "rawPredictionCol": "__margin", "featuresCol": "__vector"}

@@ -42,6 +42,15 @@ def test_bad_parents_are_named(rows, data, code):
     assert M.parent_problems(df, 3).first()["code"] == code
 
 
+def test_check_stops_on_a_parent_that_cannot_be_scored(rows):
+    whole = [pred(1, [0, 1, 0], i) for i in range(8)]
+    df = M.with_prediction(rows(whole + [pred(1, [0, 1, 0], i, parent="q") for i in range(7)], SCHEMA))
+    for stopped in (M.aggregate_parents(df, 3, check=True), M.metric_bundle(df, 3, check=True), M.majority_bundle(df, df, 3, check=True)):
+        with pytest.raises(Exception, match="parents outside the contract: q"):
+            stopped.collect()
+    assert M.aggregate_parents(df.where("parent_id = 'p'"), 3, check=True).count() == 1
+
+
 def test_majority_takes_the_smallest_id_on_a_tie(rows):
     df = rows([pred(v, [1, 0, 0]) for v in (2, 2, 1, 1, 0)], SCHEMA)
     assert M.majority_class(df).first()["majority_class"] == 1

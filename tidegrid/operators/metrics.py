@@ -158,9 +158,16 @@ def _parent_groups(preds: DataFrame, classes: int, windows: int, by: Sequence[st
 
 
 def aggregate_parents(preds: DataFrame, classes: int, windows: int = 8,
-                      by: Sequence[str] = ()) -> DataFrame:
-    """Mean class probabilities of every parent that holds each window once."""
-    good = _parent_groups(preds, classes, windows, by).where("__full and __same and __valid")
+                      by: Sequence[str] = (), check: bool = False) -> DataFrame:
+    """Mean class probabilities of every parent that holds each window once.
+
+    Other parents are left to ``parent_problems``; with ``check`` the first one stops the query.
+    """
+    fits = F.expr("__full and __same and __valid")
+    if check:
+        stop = F.raise_error(F.concat(F.lit("parents outside the contract: "), F.col("parent_id").cast("string"))).cast("boolean")
+        fits = F.when(F.coalesce(fits, F.lit(False)), True).otherwise(stop)
+    good = _parent_groups(preds, classes, windows, by).where(fits)
     return with_prediction(good.drop("__full", "__same", "__valid"))
 
 
@@ -177,14 +184,16 @@ def parent_problems(preds: DataFrame, classes: int, windows: int = 8,
 
 # -- bundles and baselines ----------------------------------------------------
 
-def metric_bundle(preds: DataFrame, classes: int, windows: int = 8, by: Sequence[str] = ()) -> DataFrame:
+def metric_bundle(preds: DataFrame, classes: int, windows: int = 8, by: Sequence[str] = (),
+                  check: bool = False) -> DataFrame:
     """Window and parent metrics, over all and per subject, in one table.
 
-    Grouping sets give the overall and per-subject counts in one pass.
+    Grouping sets give the overall and per-subject counts in one pass. With ``check`` a
+    parent that cannot be scored stops the query; without, parents score only where complete.
     """
     units = {
         "window_30s": preds,
-        "parent_240s": aggregate_parents(preds, classes, windows, by),
+        "parent_240s": aggregate_parents(preds, classes, windows, by, check),
     }
     metrics = [c.alias(n) for n, c in metric_columns(classes).items()]
     out = None
@@ -218,13 +227,13 @@ def constant_predictions(table: DataFrame, label: Column, classes: int) -> DataF
     return table.withColumn("probabilities", one_hot(label, classes)).withColumn("prediction", label.cast("int"))
 
 
-def majority_bundle(train: DataFrame, val: DataFrame, classes: int, windows: int = 8) -> DataFrame:
+def majority_bundle(train: DataFrame, val: DataFrame, classes: int, windows: int = 8, check: bool = False) -> DataFrame:
     """The bundle of always calling the most frequent training label.
 
     The label is one value, so it enters as a scalar subquery.
     """
     top = majority_class(train).select("majority_class").scalar()
-    return metric_bundle(constant_predictions(val, top, classes), classes, windows)
+    return metric_bundle(constant_predictions(val, top, classes), classes, windows, check=check)
 
 
 def test_majority(table: DataFrame, classes: int) -> DataFrame:

@@ -70,3 +70,47 @@ v AS (SELECT {_SPREADS} FROM h, m),
 j AS (SELECT source, ({_FAILED}) AS host_failed FROM h, m, v),
 b AS (SELECT c.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(host_failed, false) AS host_failed FROM c LEFT JOIN j ON j.source = c.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept FROM b"""
+
+_HASH60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+_DRAW = _HASH60.format("concat_ws(':', 17, name, shard, bundle, {0})")
+
+
+def _dealt(claims: str, within: str, item: str) -> str:
+    """Every quotient of every claim laid out; the highest ``seats`` of a group, as many as its seats, each item up to its cap."""
+    keys = f"{within}, {item}" if within else item
+    part = f"PARTITION BY {within}" if within else ""
+    return f"""SELECT {keys}, any_value(blocks) AS blocks, count(*) FILTER (WHERE place <= seats) AS quota FROM (
+      SELECT *, row_number() OVER ({part} ORDER BY claim / (2 * k + 1) DESC, {item}) AS place
+      FROM (SELECT *, unnest(range(0, cap)) AS k FROM {claims})) GROUP BY {keys}"""
+
+
+def _before(x: str) -> str:
+    """Words taken before word ``x`` of a bundle: whole rounds, and one block drawn from each of ``rest`` equal stretches of blocks."""
+    block = f"(({x}) // 16)"
+    stretch = f"((({block} + 1) * rest - 1) // blocks)"
+    low, high = f"({stretch} * blocks // rest)", f"(({stretch} + 1) * blocks // rest)"
+    pick = f"({low} + {_DRAW.format(stretch)} % ({high} - {low}))"
+    return f"""(every * ({x}) + CASE WHEN rest = 0 THEN 0 WHEN {block} >= blocks THEN 16 * rest
+      ELSE 16 * ({stretch} + CASE WHEN {pick} < {block} THEN 1 ELSE 0 END) + CASE WHEN {pick} = {block} THEN ({x}) - 16 * {block} ELSE 0 END END)"""
+
+
+SAINTE_LAGUE = rf"""
+WITH t AS (SELECT source, coalesce('s' || source, '') AS name, doc_id, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
+  {_HASH60.format("concat_ws(':', 17, coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))")} AS uid FROM documents),
+s AS (SELECT name, sum(size)::BIGINT AS words, (count(*) + 1023) // 1024 AS bundles,
+  [5, 2, 1][1 + (row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1) % 3] AS weight FROM t GROUP BY name),
+v AS (SELECT *, 2 * words AS cap, 2 * words / weight AS room, ceil(sqrt(bundles))::BIGINT AS shards FROM s),
+l AS (SELECT *, (1.5 * sum(words) OVER () - coalesce(sum(cap) OVER (ORDER BY room, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (ORDER BY room, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
+g AS (SELECT *, least(cap::DOUBLE, (SELECT min_by(level, room) FROM l WHERE level <= room) * weight) AS target FROM l),
+r AS (SELECT t.*, g.words AS source_size, target, uid % shards AS shard, (uid // shards) % ((bundles + shards - 1) // shards) AS bundle FROM t JOIN g USING (name)),
+b AS (SELECT name, shard, bundle, (sum(size)::BIGINT + 15) // 16 AS blocks FROM r GROUP BY ALL HAVING sum(size) > 0),
+h AS (SELECT name, shard, sum(blocks)::BIGINT AS blocks FROM b GROUP BY ALL),
+c1 AS (SELECT name, blocks, target * blocks / words AS claim, 2 * blocks AS cap FROM (SELECT name, sum(blocks)::BIGINT AS blocks FROM b GROUP BY name) JOIN g USING (name)),
+q1 AS ({_dealt("(SELECT *, (SELECT round(sum(claim::DECIMAL(30,6)))::BIGINT FROM c1) AS seats FROM c1)", "", "name")}),
+q2 AS ({_dealt("(SELECT h.name, shard, quota * h.blocks / q1.blocks AS claim, 2 * h.blocks AS cap, quota AS seats, h.blocks FROM h JOIN q1 USING (name))", "name", "shard")}),
+q3 AS ({_dealt("(SELECT b.name, b.shard, bundle, quota * b.blocks / q2.blocks AS claim, 2 * b.blocks AS cap, quota AS seats, b.blocks FROM b JOIN q2 USING (name, shard))", "name, shard", "bundle")}),
+p AS (SELECT r.*, coalesce(blocks, 0) AS blocks, coalesce(quota // blocks, 0) AS every, coalesce(quota % blocks, 0) AS rest,
+  sum(size) OVER (PARTITION BY name, shard, bundle ORDER BY doc_id NULLS FIRST, uid ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  FROM r LEFT JOIN q3 USING (name, shard, bundle))
+SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN {_before("stop")} - {_before("stop - size")} ELSE 0 END)::BIGINT AS taken FROM p"""

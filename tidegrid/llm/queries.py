@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidegrid.llm import (bpe, host_rules, hyperminhash, language_id, line_dedup, nn_descent, oracles, packing, sharding, suffix_dedup,
+from tidegrid.llm import (bpe, host_rules, hyperminhash, language_id, line_dedup, mixing, nn_descent, oracles, packing, sharding, suffix_dedup,
                           toxicity)
 from tidegrid.llm.common import read_table
 
@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {
     "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op7_hyperminhash": oracles.HYPERMINHASH,
     "op8_host_rules": oracles.HOST_RULES,
+    "op11_sainte_lague": oracles.SAINTE_LAGUE,
 }
 
 
@@ -77,6 +78,11 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -114,3 +114,24 @@ p AS (SELECT r.*, coalesce(blocks, 0) AS blocks, coalesce(quota // blocks, 0) AS
   sum(size) OVER (PARTITION BY name, shard, bundle ORDER BY doc_id NULLS FIRST, uid ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM r LEFT JOIN q3 USING (name, shard, bundle))
 SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN {_before("stop")} - {_before("stop - size")} ELSE 0 END)::BIGINT AS taken FROM p"""
+
+_ORDERS = "SELECT a || b || c || d || e AS filter_order, [a, b, c, d, e] AS f FROM x x1(a), x x2(b), x x3(c), x x4(d), x x5(e) WHERE len(list_distinct([a, b, c, d, e])) = 5"
+
+RETRACTION_AUDIT = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_WORDS.format('text')} AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+m AS (SELECT doc_id, part, list_filter([CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+  CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' END,
+  CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > low THEN 'E' END], lambda i: i IS NOT NULL) AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS ({_ORDERS}),
+s AS (SELECT filter_order, f[k] AS name, f[1:k - 1] AS before, k AS step FROM o, range(1, 6) r(k)),
+r AS (SELECT part, filter_order, step, name, n, good, toxic, list_contains(fails, name) AS hit, len(list_intersect(fails, before)) > 0 AS gone, fails = [name] AS lone FROM c, s),
+q AS (SELECT part, filter_order, step, name,
+  (coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0))::BIGINT AS kept, (coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0))::BIGINT AS removed,
+  (coalesce(sum(n) FILTER (WHERE hit AND gone), 0))::BIGINT AS redundant, (coalesce(sum(n) FILTER (WHERE lone), 0))::BIGINT AS unique_fails,
+  (coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0))::BIGINT AS good_lost, (coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0))::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM q"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidegrid.llm import (bpe, host_rules, hyperminhash, language_id, line_dedup, mixing, nn_descent, oracles, packing, sharding, suffix_dedup,
+from tidegrid.llm import (audit, bpe, host_rules, hyperminhash, language_id, line_dedup, mixing, nn_descent, oracles, packing, sharding, suffix_dedup,
                           toxicity)
 from tidegrid.llm.common import read_table
 
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {
     "op7_hyperminhash": oracles.HYPERMINHASH,
     "op8_host_rules": oracles.HOST_RULES,
     "op11_sainte_lague": oracles.SAINTE_LAGUE,
+    "op12_retraction_audit": oracles.RETRACTION_AUDIT,
 }
 
 
@@ -83,6 +84,11 @@ def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_retraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -135,3 +135,18 @@ q AS (SELECT part, filter_order, step, name,
   (coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0))::BIGINT AS good_lost, (coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0))::BIGINT AS toxic_lost
   FROM r GROUP BY ALL)
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM q"""
+
+_TERMS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+DUAL_TREE = f"""
+WITH i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS.format('text')} AS terms FROM benchmark),
+q AS (SELECT item, term, count(*) AS c FROM (SELECT item, unnest(terms) AS term FROM i) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format('text')} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS documents, sum(len(terms))::BIGINT AS words FROM d),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+v AS (SELECT row, doc_id, p.term, floor(1000 * ln((2 * documents + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * documents) // words))) AS value
+  FROM p JOIN f USING (term), s),
+r AS (SELECT item, row, doc_id, sum(c * value)::BIGINT AS score FROM v JOIN q USING (term) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM r WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM o JOIN i USING (item) WHERE place <= 10"""

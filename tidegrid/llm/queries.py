@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidegrid.llm import (audit, bpe, host_rules, hyperminhash, language_id, line_dedup, mixing, nn_descent, oracles, packing, sharding, suffix_dedup,
+from tidegrid.llm import (audit, bpe, host_rules, hyperminhash, language_id, line_dedup, mixing, nn_descent, oracles, packing, ranking, sharding, suffix_dedup,
                           toxicity)
 from tidegrid.llm.common import read_table
 
@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op8_host_rules": oracles.HOST_RULES,
     "op11_sainte_lague": oracles.SAINTE_LAGUE,
     "op12_retraction_audit": oracles.RETRACTION_AUDIT,
+    "op13_dual_tree": oracles.DUAL_TREE,
 }
 
 
@@ -89,6 +90,11 @@ def op12_retraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -53,11 +53,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every run of bytes that are not white space."""
+def word_spans(buffer: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes that are not ``between`` words: white space, if not said otherwise."""
     if not len(buffer):
         return (np.zeros(0, np.int64),) * 3
-    word = ~SPACE[buffer]
+    word = ~between[buffer]
     edge = np.zeros(len(buffer) + 1, bool)
     edge[offsets] = True
     cut = edge[1:-1]

@@ -153,7 +153,7 @@ class Best:
 
 
 def _search(block: Block, leaves: np.ndarray, doc: np.ndarray, known: np.ndarray, best: Best) -> int:
-    """Walks both hierarchies over a dense batch of documents; gives the number of document rows that were scored."""
+    """Walks both hierarchies over a dense batch of documents; gives the number of pairs no bound could rule out."""
     documents, items = _maxima(leaves), block.levels
     steps = max(len(documents), len(items))
     alive = np.ones((1, 1), bool)
@@ -166,6 +166,7 @@ def _search(block: Block, leaves: np.ndarray, doc: np.ndarray, known: np.ndarray
         rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(rows):
             return 0
+        left = int(alive.sum())
         bounds = nodes[rows] @ wanted[columns].T
         width = FAN ** min(step, len(items) - 1)
         weakest = np.minimum.reduceat(best.least, np.arange(0, len(best.least), width))
@@ -174,7 +175,7 @@ def _search(block: Block, leaves: np.ndarray, doc: np.ndarray, known: np.ndarray
         alive[np.ix_(rows, columns)] = passed
     at, of = np.nonzero(passed)
     best.add(columns[of], bounds[at, of].astype(np.int64), doc[rows[at]], known[rows[at]])
-    return len(rows)
+    return left
 
 
 def best_in_tasks(postings: DataFrame, block: Broadcast, least: Broadcast, k: int) -> DataFrame:

@@ -81,12 +81,12 @@ def test_pruning_is_exact_and_prunes(kind):
     """Clustered documents: most are never scored, and the best are those of the full product."""
     rng = np.random.default_rng(4)
     groups, per, width = 64, 64, 200
-    leaves = np.zeros((groups * per, width), kind)
-    for g in range(groups):
-        leaves[g * per: (g + 1) * per, rng.choice(width, 12, replace=False)] = rng.integers(1, 50, (per, 12))
+    leaves, subjects = np.zeros((groups * per, width), kind), [rng.choice(width, 12, replace=False) for _ in range(groups)]
+    for g, subject in enumerate(subjects):
+        leaves[g * per: (g + 1) * per, subject] = rng.integers(10, 50, (per, 12))
     counts = np.zeros((40, width), kind)
-    for r in counts:
-        r[rng.choice(width, 15, replace=False)] = rng.integers(1, 4, 15)
+    for k, r in enumerate(counts):
+        r[subjects[k % groups]] = rng.integers(1, 4, 12)
     counts = counts[ranking._alike_next(counts.astype(float))]
     block = Block(np.arange(40), np.arange(width, dtype=np.uint64), np.ones(width, np.int64), ranking._maxima(counts), 1, 1)
     best, scored = Best(40, 5, np.ones(40, kind)), 0

@@ -30,7 +30,7 @@ BETWEEN[:128] = True
 BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 #: Items and distinct terms of a block; numbers of a dense batch of documents; children of a node.
-BLOCK_ITEMS, BLOCK_TERMS, BATCH_NUMBERS, FAN = 256, 8192, 1 << 21, 8
+BLOCK_ITEMS, BLOCK_TERMS, BATCH_NUMBERS, FAN = 256, 8192, 1 << 21, 4
 #: Share of the documents that set the first bounds. Bounds only spare work; they never change a result.
 FIRST_SHARE = 1 / 64
 TEXT_SLICE = 1 << 20
@@ -178,6 +178,16 @@ def _search(block: Block, leaves: np.ndarray, doc: np.ndarray, known: np.ndarray
     return left
 
 
+def _documents_alike_next(n: np.ndarray, term: np.ndarray, value: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """An order of documents that keeps the bounds of nodes low: by length, by the rarest of their common terms (much the
+    same as the language), by their heaviest term."""
+    common = np.zeros(len(weights), bool)
+    common[np.argsort(weights, kind="stable")[:64]] = True
+    telling = np.maximum.reduceat(np.where(common[term], weights[term] * len(weights) + term, -1), first)
+    heaviest = np.maximum.reduceat(value * len(weights) + term, first) % len(weights)
+    return np.lexsort((heaviest, telling, np.log2(n).astype(int)))
+
+
 def best_in_tasks(postings: DataFrame, block: Broadcast, least: Broadcast, k: int) -> DataFrame:
     """(place of the item in the block, score, doc_id): the best ``k`` documents of each item among those of a task."""
 
@@ -199,9 +209,7 @@ def best_in_tasks(postings: DataFrame, block: Broadcast, least: Broadcast, k: in
             m = 100 - 75 + (75 * batch.column("n").to_numpy() * b.documents) // b.all_terms
             value = b.weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[owner]))
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            # Documents with the same heaviest term lie next to each other, so that nodes have few large coordinates.
-            heaviest = np.maximum.reduceat(value * len(b.terms) + term, first) % len(b.terms)
-            order = np.argsort(heaviest, kind="stable")
+            order = _documents_alike_next(batch.column("n").to_numpy()[owner[first]], term, value, first, b.weights)
             stops = np.append(first[1:], len(owner))
             ids = batch.column("doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)

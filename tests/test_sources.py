@@ -1,6 +1,8 @@
+import csv
 import hashlib
 import io
 import json
+import random
 import wave
 
 import numpy as np
@@ -41,6 +43,89 @@ def test_line_numbers_follow_the_file_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def python_records(path):
+    """(record number, fields) of Python's strict reader, the header being record 1."""
+    with open(path, encoding="utf-8-sig", newline="") as stream:
+        return list(enumerate((r for r in csv.reader(stream, strict=True) if r), start=1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_with_line_breaks_over_many_splits_are_those_of_python(spark, tmp_path, seed):
+    rng = random.Random(seed)
+
+    def field():
+        text = "".join(rng.choice(['a', 'b "', '"', ',', '\n', '\n\n', '\r\n', ' é', 'line', '","', '"\n"']) for _ in range(rng.randrange(6)))
+        if rng.random() < 0.2:
+            return 'un"quo"ted' + rng.choice(["", '"'])
+        return '"' + text.replace('"', '""') + '"' if set(text) & set('",\n\r') or rng.random() < 0.2 else text
+
+    end = ["\n", "\r\n"][seed % 2]
+    files_ = []
+    for k in range(2):
+        path = tmp_path / f"part-{k}.csv"
+        body = "".join(",".join([str(i), field(), field()]) + end + (end if rng.random() < 0.05 else "") for i in range(2500))
+        path.write_bytes(("\ufeff" * (k == 0) + f"k,x,y{end}" + body).encode())
+        files_.append(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = tables.read_manifest(spark, str(tmp_path), ["k"])
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        rows = sorted((r.row_no, r.k, r.x, r.y, r.malformed) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((n, *fields, False) for path in files_ for n, fields in python_records(path) if n > 1)
+    assert any("\n" in r[2] for r in want)
+    assert rows == want
+
+
+def test_a_record_may_reach_over_several_splits(spark, tmp_path):
+    long = "\n".join(f"line {i}, with \"quotes\"" for i in range(800))
+    path = tmp_path / "m.csv"
+    with open(path, "w", newline="") as stream:
+        csv.writer(stream).writerows([["k", "note"], ["a", "1"], ["b", long], ["c", "two\nlines"], ["d", ""]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = tables.read_manifest(spark, str(path)).orderBy("row_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.row_no, r.k, r.note) for r in rows] == [(2, "a", "1"), (3, "b", long), (4, "c", "two\nlines"), (5, "d", "")]
+
+
+@pytest.mark.parametrize("body", ['a,"open\nb,2\n', 'a,"closed" and on\n', 'a,b"\n"x"y,1\n'])
+def test_bad_quotes_stop_the_read(spark, tmp_path, body):
+    path = tmp_path / "m.csv"
+    path.write_text("k,x\n" + body)
+    with pytest.raises(csv.Error):
+        python_records(path)
+    with pytest.raises(Exception, match="bad quotes"):
+        tables.read_manifest(spark, str(path)).collect()
+
+
+def test_text_that_is_no_utf8_stops_the_read(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_bytes(b"k,x\na,\xff\xfe\n")
+    with pytest.raises(Exception, match="UTF"):
+        tables.read_manifest(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("text", ["k,x\n", "k,x", "k,x\n\n\n", '"k","x"\r\n\r\n'])
+def test_a_table_without_records_stops_the_read(spark, tmp_path, text):
+    path = tmp_path / "m.csv"
+    path.write_text(text, newline="")
+    with pytest.raises(ContractError, match="empty"):
+        tables.read_manifest(spark, str(path))
+    path.write_text("")
+    with pytest.raises(ContractError, match="no header"):
+        tables.read_manifest(spark, str(path))
+
+
+def test_a_header_with_a_line_break(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text('k,"two\nlines"\n1,2\n')
+    (row,) = tables.read_manifest(spark, str(path)).collect()
+    assert row["two\nlines"] == "2" and row.row_no == 2
+
+
 def telemetry_file(folder, name, stamps):
     folder.mkdir(parents=True, exist_ok=True)
     lines = [",".join(C.TELEMETRY_HEADER)] + [f"{us},0,0,0,{i},1,2,3,4,5" for i, us in enumerate(stamps)]

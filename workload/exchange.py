@@ -21,17 +21,18 @@ from workload.views import v_tel, v_tok, v_win
 
 @query("read_manifest", """
 SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) FILTER (WHERE o_orderstatus = 'P') AS empty_text,
- (SELECT count(*) + 1 FROM orders) AS last_line, 0::BIGINT AS malformed FROM orders GROUP BY o_orderpriority""")
+ count(*) FILTER (WHERE o_orderstatus = 'F') AS broken_lines, (SELECT count(*) + 1 FROM orders) AS last_line, 0::BIGINT AS malformed
+FROM orders GROUP BY o_orderpriority""")
 def read_manifest(spark, d):
-    """Orders as a CSV manifest in key order: one file, lines numbered again on reading."""
+    """Orders as a CSV manifest in key order, a third of them with a line break inside quotes, numbered again on reading."""
     rows = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").withColumn(
-        "note", F.when(F.col("o_orderstatus") == "P", "").otherwise('say "hi", twice'))
+        "note", F.when(F.col("o_orderstatus") == "P", "").when(F.col("o_orderstatus") == "F", 'two\nlines, "both" noted').otherwise('say "hi", twice'))
     path = sinks.write_csv(rows, shared_folder(spark, "manifest"))
     back = tables.read_manifest(spark, path, ["o_orderkey", "note"])
     lines = back.agg((F.count(F.lit(1)) + 1).alias("n"))
     return back.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("bigint")).alias("keys"), F.count_if(F.col("note") == "").alias("empty_text"),
-        F.count_if("malformed").alias("malformed")).withColumn("last_line", lines.select("n").scalar())
+        F.count_if(F.col("note") == 'two\nlines, "both" noted').alias("broken_lines"), F.count_if("malformed").alias("malformed")).withColumn("last_line", lines.select("n").scalar())
 
 
 @query("telemetry_row_numbers", sql("v_tel", """

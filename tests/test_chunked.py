@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.operators import ordering
-from tidegrid.plans.chunked import cut, number_rows, with_history
+from tidegrid.operators import intervals, ordering
+from tidegrid.plans.chunked import bounded_chunks, cut, digits_of, digits_of_double, number_rows, with_history
 from tidegrid.plans.medians import exact_median
 
 
@@ -85,3 +85,62 @@ def test_hot_key_is_spread_over_tasks(spark, rows):
     assert "__chunk" in plan
     parts = df.withColumn("c", cut("row_no", 100)).repartition(8, "key", "c").groupBy(F.spark_partition_id()).count()
     assert parts.agg(F.max("count")).first()[0] < 2000
+
+
+def clocked(n=6000):
+    """A third of the rows in one key; of those half with one clock, the others spread or within one second."""
+    rng = random.Random(6)
+    out = []
+    for i in range(n):
+        if i % 3:
+            out.append((f"k{rng.randrange(40)}", rng.randrange(10**12), i))
+        elif i % 2:
+            out.append(("hot", 5_000_000_000, i - n // 2))
+        else:
+            out.append(("hot", 7_200_000_000 + rng.randrange(900_000) if i % 4 else rng.randrange(10**12), i))
+    return out
+
+
+def clock_digits():
+    clock = F.col("clock")
+    return [cut(clock, 3_600_000_000), cut(F.pmod(clock, F.lit(3_600_000_000)), 1_000_000), F.pmod(clock, F.lit(1_000_000)), *digits_of(F.col("id"))]
+
+
+@pytest.mark.parametrize("limit", [16, 100, 100_000])
+def test_no_chunk_over_its_rows_with_a_hot_key_and_equal_clocks(rows, limit):
+    df = rows(clocked(), "key string, clock long, id long", 4)
+    parts = bounded_chunks(df, ["key"], clock_digits(), limit)
+    assert parts.count() == df.count()
+    assert parts.groupBy("key", "__part").count().agg(F.max("count")).first()[0] <= limit
+    got = number_rows(parts, ["key"], ["clock", "id"], F.col("__part"), "n")
+    want = df.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("clock", "id")) - 1)
+    pick = lambda d: sorted(tuple(r) for r in d.select("id", "n").collect())
+    assert pick(got) == pick(want)
+
+
+def test_runs_are_deep(rows):
+    """Cells that are cut give about as many chunks as their rows need, not one per value."""
+    df = rows([("hot", i, i) for i in range(20_000)], "key string, clock long, id long")
+    parts = bounded_chunks(df, ["key"], clock_digits(), 1000)
+    assert 20 <= parts.select("__part").distinct().count() <= 45
+
+
+def test_digits_sort_like_their_number(rows):
+    values = [0, 1, -1, 2**63 - 1, -2**63, 65535, 65536, -65536, 10**12]
+    df = rows([(v,) for v in values], "v long")
+    assert [r.v for r in df.orderBy(*digits_of(F.col("v"))).collect()] == sorted(values)
+    reals = [0.0, -0.5, 0.25, 1e9 + 0.125, -1e9 - 0.125, 3.0000001, 3.0]
+    df = rows([(v,) for v in reals], "v double")
+    assert [r.v for r in df.orderBy(*digits_of_double(F.col("v"))).collect()] == sorted(reals)
+
+
+@pytest.mark.parametrize("limit", [8, 1 << 16])
+def test_union_length_with_very_many_close_starts(rows, limit):
+    rng = random.Random(2)
+    data = [("hot", a, a + rng.random() * 0.01) for a in (rng.random() * 3 for _ in range(600))] + [("b", 70000.0 * i, 70000.0 * i + 1) for i in range(9)]
+    got = {r.key: r.covered for r in intervals.covered_length(rows(data, "key string, s double, e double"), ["key"], "s", "e", chunk_rows=limit).collect()}
+    total, reach = 0.0, float("-inf")
+    for _, a, b in sorted(d for d in data if d[0] == "hot"):
+        total += max(0.0, b - max(a, reach))
+        reach = max(reach, b)
+    assert got["hot"] == pytest.approx(total) and got["b"] == 9

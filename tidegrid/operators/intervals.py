@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid import constants as C
-from tidegrid.plans.chunked import with_running_max
+from tidegrid.plans.chunked import CHUNK_ROWS, bounded_chunks, digits_of_double, with_running_max
 
 
 def covered_length(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
-                   chunk_length: int = 1 << 16, out: str = "covered") -> DataFrame:
+                   chunk_length: int = 1 << 16, out: str = "covered", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Length of the union of intervals per key; touching ones merge.
 
     Intervals with one start are folded to the longest first, so copies never
-    travel. Each interval then adds what lies beyond the furthest end before it.
+    travel. Each interval then adds what lies beyond the furthest end before it. Starts are
+    cut by ``chunk_length``, and where more than ``chunk_rows`` lie that close, by their depth.
     """
     folded = intervals.groupBy(*keys, F.col(start).alias("__s")).agg(F.max(end).alias("__e"))
-    chunk = F.floor(F.col("__s") / chunk_length)
-    reach = with_running_max(folded, keys, ["__s"], chunk, {"__reach": F.col("__e")})
+    wide = F.floor(F.col("__s") / chunk_length)
+    parts = bounded_chunks(folded, keys, [wide, *digits_of_double(F.col("__s"))], chunk_rows)
+    reach = with_running_max(parts, keys, ["__s"], F.col("__part"), {"__reach": F.col("__e")})
     added = F.greatest(F.lit(0.0), F.col("__e") - F.greatest(F.col("__s"), F.col("__reach")))
     return reach.groupBy(*keys).agg(F.sum(added.cast("double")).alias(out))
 

@@ -178,31 +178,37 @@ def usable_median(trusted: DataFrame) -> DataFrame:
         "session_id", (F.col("__m") / 1e6).alias("usable_dt_s"))
 
 
+def _token_at(time_s: Column, relative_us: Column, settings: TokenSettings, edges: str) -> tuple[Column, Column]:
+    """Window and token of a stamp."""
+    window = cut(relative_us, settings.window_us)
+    guess = F.call_function("div", F.pmod(relative_us, F.lit(settings.window_us)), F.lit(settings.token_us)).cast("int")
+    if edges == "integer":
+        return window, guess
+    left = window * settings.window_s + guess * settings.token_s
+    right = window * settings.window_s + (guess + 1) * settings.token_s
+    return window, (
+        F.when((time_s < left) & (guess > 0), guess - 1)
+        .when((time_s >= right) & (guess < settings.tokens - 1), guess + 1)
+        .otherwise(guess))
+
+
 def place_rows(trusted: DataFrame, settings: TokenSettings, edges: str = "float") -> DataFrame:
-    """Usable rows with their window and token.
+    """Usable rows with their window and token, and the step from the usable row before.
 
     ``edges='float'`` puts a row by comparing its seconds with the double token
     edges ``start + k*token``, as the contract's arithmetic does; the integer
     place is only the first guess. ``edges='integer'`` keeps the guess.
+
+    The stamp of the row before follows from the step that a row carries, and so does its
+    place: ``step_s`` is null in a window's first row, ``inner_s`` also in a token's.
     """
-    inside = F.pmod("relative_us", F.lit(settings.window_us))
-    rows = (
-        trusted.where(usable())
-        .withColumn("window_no", cut("relative_us", settings.window_us))
-        .withColumn("token_no", F.call_function("div", inside, F.lit(settings.token_us)).cast("int"))
-    )
-    if edges == "integer":
-        return rows.repartition(*KEY)
-    start = F.col("window_no") * settings.window_s
-    left = start + F.col("token_no") * settings.token_s
-    right = start + (F.col("token_no") + 1) * settings.token_s
-    moved = (
-        F.when((F.col("time_s") < left) & (F.col("token_no") > 0), F.col("token_no") - 1)
-        .when((F.col("time_s") >= right) & (F.col("token_no") < settings.tokens - 1), F.col("token_no") + 1)
-        .otherwise(F.col("token_no"))
-    )
-    # Laid out by window: a layout by session alone would keep a hot session whole.
-    return rows.withColumn("token_no", moved).repartition(*KEY)
+    rows = clock_steps(trusted).where(usable())
+    window, token = _token_at(F.col("time_s"), F.col("relative_us"), settings, edges)
+    before_us = F.col("relative_us") - F.col("usable_step_us")
+    before_window, before_token = _token_at(before_us / 1e6, before_us, settings, edges)
+    step = F.when(before_window == window, F.col("time_s") - before_us / 1e6)
+    return rows.withColumns({
+        "window_no": window, "token_no": token, "step_s": step, "inner_s": F.when(before_token == token, step)})
 
 
 def resample_tokens(placed: DataFrame, settings: TokenSettings) -> DataFrame:
@@ -211,13 +217,10 @@ def resample_tokens(placed: DataFrame, settings: TokenSettings) -> DataFrame:
     ``gap_s`` is the largest step of [left edge, rows, right edge]; ``step_s``
     the largest step to the row before in the same window. The first and last
     raw row stay on the token as neighbours for interpolation.
+
+    Every row brings its own step, so a task's rows of a token fold to one summary (first, last,
+    largest steps, sums) and summaries merge in any order: no window is put in order or held whole.
     """
-    rows = W.partitionBy(*KEY).orderBy("relative_us")
-    stepped = (
-        placed.withColumn("__time", F.lag("time_s").over(rows))
-        .withColumn("__token", F.lag("token_no").over(rows))
-    )
-    step = F.col("time_s") - F.col("__time")
     means = []
     for name in ANGLES:
         stem = name.removesuffix("_deg")
@@ -234,12 +237,12 @@ def resample_tokens(placed: DataFrame, settings: TokenSettings) -> DataFrame:
     def row(side: str, time: str) -> Column:
         return F.struct(F.col(time).alias("time_s"), *[F.col(f"__{side}_{n}").alias(n) for n in SIGNALS])
 
-    grouped = stepped.groupBy(*KEY, "token_no").agg(
+    grouped = placed.groupBy(*KEY, "token_no").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("time_s").alias("first_s"),
         F.max("time_s").alias("last_s"),
-        F.max(F.when(F.col("__token") == F.col("token_no"), step)).alias("__inner"),
-        F.max(step).alias("step_s"),
+        F.max("inner_s").alias("__inner"),
+        F.max("step_s").alias("step_s"),
         *means,
         *[F.avg(name).alias(name) for name in LEVELS],
         *edges,

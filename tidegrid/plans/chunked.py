@@ -6,7 +6,8 @@ chunks along its order. The window runs inside (key, chunk); what has to cross
 a chunk border travels through a table with one row per chunk.
 
 ``chunk`` is a column that never decreases along the order, such as the row
-number or the clock cut into fixed lengths. Keys and chunk must not be null.
+number or the clock cut into fixed lengths. Keys and chunk must not be null. Where
+nothing bounds the rows of a fixed length, ``bounded_chunks`` makes the column.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegrid.session import stage
+
 CHUNK_ROWS = 1 << 16
 _CHUNK = "__chunk"
+#: Bits of a digit: a digit has at most 65,536 values, so its values can be put in order in one task.
+DIGIT_BITS = 16
 
 
 def cut(column: Column | str, length: int = CHUNK_ROWS) -> Column:
@@ -27,6 +32,52 @@ def cut(column: Column | str, length: int = CHUNK_ROWS) -> Column:
     return F.call_function("div", column, F.lit(length))
 
 
+def digits_of(column: Column, bits: int = 64) -> list[Column]:
+    """A whole number as digits that sort like it; ``bits`` are its lowest bits that differ (64: any number, negative ones first)."""
+    number = column.cast("bigint")
+    if bits == 64:
+        number = number.bitwiseXOR(F.lit(-(1 << 63)))
+    return [F.shiftrightunsigned(number, at).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)) for at in range((bits - 1) // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS)]
+
+
+def digits_of_double(column: Column) -> list[Column]:
+    """A double as digits that sort like it: its whole part, then 48 bits of the rest."""
+    whole = F.floor(column)
+    rest = column - whole
+    parts = [F.floor(rest * float(1 << DIGIT_BITS * k)).cast("bigint").bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)) for k in (1, 2, 3)]
+    return [*digits_of(whole), *parts]
+
+
+def bounded_chunks(df: DataFrame, keys: Sequence[str], digits: Sequence[Column], limit: int = CHUNK_ROWS,
+                   out: str = "__part") -> DataFrame:
+    """Adds a chunk column of which no value holds over ``limit`` rows of a key, whatever the spread of the rows.
+
+    ``digits`` are whole numbers that sort like the rows, the widest first (hour, microsecond
+    of the hour, digits of an id). Cells of the first digit are counted; a cell over the limit is cut by
+    the next digit into runs of about equal depth, and what is still over the limit by the one after
+    it. Only the counts of such cells are put in order, at most one digit's values at a time. The map is
+    as small as the number of heavy cells; where there are none, the first digit is the chunk. Rows
+    that agree in all digits stay together.
+    """
+    names = [f"__u{i}" for i in range(len(digits))]
+    rows, step, maps = df.withColumns(dict(zip(names, digits))), max(1, limit // 2), []
+    counts = rows.groupBy(*keys, names[0]).agg(F.count(F.lit(1)).alias("__n"))
+    for level in range(1, len(digits)):
+        heavy = stage(counts.where(F.col("__n") > limit).select(*keys, *names[:level]), "heavy")
+        if heavy.isEmpty():
+            break
+        cell = W.partitionBy(*keys, *names[:level]).orderBy(names[level]).rowsBetween(W.unboundedPreceding, -1)
+        inside = rows.join(heavy, [*keys, *names[:level]], "left_semi").groupBy(*keys, *names[: level + 1]).agg(F.count(F.lit(1)).alias("__n"))
+        # A cell deeper than a step gets a run of its own; the others of a run add up to less than two steps.
+        run = 2 * cut(F.coalesce(F.sum("__n").over(cell), F.lit(0)), step) + (F.col("__n") > step).cast("bigint")
+        counts = stage(inside.withColumn(f"__c{level}", run), "chunks")
+        maps.append(counts.drop("__n"))
+    for level, found in enumerate(maps, 1):
+        rows = rows.join(found, [*keys, *names[: level + 1]], "left")
+    runs = [F.coalesce(F.col(f"__c{level}"), F.lit(0)).alias(f"c{level}") for level in range(1, len(maps) + 1)]
+    return rows.withColumn(out, F.struct(F.col(names[0]).alias("c0"), *runs)).drop(*names, *[f"__c{k + 1}" for k in range(len(maps))])
+
+
 def _one(names: Sequence[str]) -> Column:
     # A single primitive column keeps max_by inside the hash aggregate.
     return F.col(names[0]) if len(names) == 1 else F.struct(*names)

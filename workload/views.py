@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid import constants as C
 from tidegrid.functions import ids
 from tidegrid.operators.telemetry import TokenSettings
-from tidegrid.plans.chunked import cut, number_rows
+from tidegrid.plans.chunked import bounded_chunks, cut, digits_of, number_rows
 from workload.registry import micros, table, view
 
 LETTERS = tuple(s for split in C.SPLITS for s in C.FATIGUE_SUBJECTS[split])
@@ -264,8 +264,10 @@ def v_tel(spark: SparkSession, d: str) -> DataFrame:
         (3.6 * k).alias("heading_deg"), (F.col("value") / 10).alias("pitch_deg"), (k / 10.0).alias("roll_deg"),
         F.when((F.col("event_type") == "error") & (k < 20), float("nan")).otherwise(F.col("value")).alias("speed_mps"),
         (10 * F.col("value")).alias("rpm"), (k % 6).cast("double").alias("gear"))
-    hour = cut("timestamp_us", HOUR_US)
-    return number_rows(rows, ["session_id"], ["timestamp_us", "event_id"], hour).drop("event_id")
+    clock = F.col("timestamp_us")
+    parts = bounded_chunks(rows, ["session_id"], [
+        cut(clock, HOUR_US), cut(F.pmod(clock, F.lit(HOUR_US)), 1_000_000), F.pmod(clock, F.lit(1_000_000)), *digits_of(F.col("event_id"))])
+    return number_rows(parts, ["session_id"], ["timestamp_us", "event_id"], F.col("__part")).drop("event_id", "__part")
 
 
 view("v_session_labels", f"""
@@ -305,7 +307,8 @@ SELECT o_custkey AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_o
 def v_hist(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     rows = orders.select(F.col("o_custkey").alias("seed"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("metric"))
-    numbered = number_rows(rows, ["seed"], ["o_orderdate", "o_orderkey"], F.unix_date(F.to_date("o_orderdate")), "position")
+    parts = bounded_chunks(rows, ["seed"], [F.unix_date(F.to_date("o_orderdate")), *digits_of(F.col("o_orderkey"))])
+    numbered = number_rows(parts, ["seed"], ["o_orderdate", "o_orderkey"], F.col("__part"), "position")
     return numbered.select("seed", "position", "metric")
 
 

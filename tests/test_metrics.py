@@ -9,7 +9,7 @@ SCHEMA = "seed int, parent_id string, subject_id string, session_id string, spli
 
 
 def pred(label, p, i=0, parent="p", subject="D", seed=11, split="val"):
-    return (seed, parent, subject, f"{subject}_A", split, i, label, [float(v) for v in p])
+    return (seed, parent, subject, f"{subject}_A", split, i, label, None if p is None else [float(v) for v in p])
 
 
 def test_fixed_and_supported_classes_differ(rows):
@@ -51,6 +51,25 @@ def test_check_stops_on_a_parent_that_cannot_be_scored(rows):
     assert M.aggregate_parents(df.where("parent_id = 'p'"), 3, check=True).count() == 1
 
 
+def test_refused_parents_stand_beside_the_scored(rows):
+    """Two whole parents of D, one of E cut short, one of D that disagrees on its label, one of F without a whole parent."""
+    data = [pred(1, [0, 1, 0], i, parent=p) for p in "ab" for i in range(8)]
+    data += [pred(1, [0, 1, 0], i, parent="c", subject="E") for i in range(8)] + [pred(1, [0, 1, 0], i, parent="d", subject="E") for i in range(7)]
+    data += [pred(1 if i else 2, [0, 1, 0], i, parent="e") for i in range(8)] + [pred(1, [0, 1, 0], 0, parent="f", subject="F")]
+    df = M.with_prediction(rows(data, SCHEMA))
+    judged = {r.parent_id: (r.code, r.prediction) for r in M.judge_parents(df, 3).collect()}
+    assert judged == {"a": ("", 1), "b": ("", 1), "c": ("", 1), "d": ("window_indices", None), "e": ("inconsistent_metadata", None), "f": ("window_indices", None)}
+    got = {(r.scope, r.subject_id): (r.sample_count, r.refused) for r in M.metric_bundle(df, 3).where("unit = 'parent_240s'").collect()}
+    assert got == {("all", ""): (3, 3), ("subject", "D"): (2, 1), ("subject", "E"): (1, 1), ("subject", "F"): (0, 1)}
+    windows = M.metric_bundle(df, 3).where("unit = 'window_30s' and scope = 'all'").first()
+    assert windows.sample_count == len(data) and windows.refused == 0
+
+
+def test_a_parent_without_identity_or_probabilities_is_refused(rows):
+    df = rows([pred(1, [0, 1, 0], i, subject=None) for i in range(8)] + [pred(1, None if i == 2 else [0, 1, 0], i, parent="q") for i in range(8)], SCHEMA)
+    assert {r.parent_id: r.code for r in M.judge_parents(df, 3).collect()} == {"p": "inconsistent_metadata", "q": "probabilities"}
+
+
 def test_majority_takes_the_smallest_id_on_a_tie(rows):
     df = rows([pred(v, [1, 0, 0]) for v in (2, 2, 1, 1, 0)], SCHEMA)
     assert M.majority_class(df).first()["majority_class"] == 1

@@ -38,18 +38,20 @@ def _cell(i: int, j: int) -> str:
     return f"c_{i}_{j}"
 
 
-def _cells(columns: Sequence[str], classes: int) -> list[Column]:
+def _cells(columns: Sequence[str], classes: int, scored: Column | None = None) -> list[Column]:
     """The counts of all cells. The first one stops the query if a row belongs to none.
 
     A label or prediction outside 0..C-1, a null one or an invalid probability vector would
-    make a row drop out of every metric; it is counted in the same pass and refused.
+    make a row drop out of every metric; it is counted in the same pass and refused. Rows that are
+    not ``scored`` belong to no cell; the caller counts them.
     """
+    scored = F.lit(True) if scored is None else scored
     fits = F.col("label_id").between(0, classes - 1) & F.col("prediction").between(0, classes - 1)
     if "probabilities" in columns:
         fits = fits & valid_probabilities(F.col("probabilities"), classes)
-    refused = F.count_if(~F.coalesce(fits, F.lit(False)))
+    refused = F.count_if(scored & ~F.coalesce(fits, F.lit(False)))
     stop = F.raise_error(F.concat(F.lit("predictions outside the contract: "), refused.cast("string"))).cast("bigint")
-    counts = {(i, j): F.count_if((F.col("label_id") == i) & (F.col("prediction") == j))
+    counts = {(i, j): F.count_if(scored & (F.col("label_id") == i) & (F.col("prediction") == j))
               for i in range(classes) for j in range(classes)}
     counts[0, 0] = F.when(refused > 0, stop).otherwise(counts[0, 0])
     return [count.alias(_cell(i, j)) for (i, j), count in counts.items()]
@@ -157,29 +159,44 @@ def _parent_groups(preds: DataFrame, classes: int, windows: int, by: Sequence[st
     )
 
 
+def judge_parents(preds: DataFrame, classes: int, windows: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """Every parent: mean class probabilities and prediction, or ``code``, the first rule it breaks.
+
+    ``code`` is empty for a parent that holds each window once and agrees on its identity; the
+    others have no probabilities and no prediction. One aggregation gives both, so the parents with
+    and without code add up to all there are.
+    """
+    def no(name: str) -> Column:
+        return ~F.coalesce(F.col(name), F.lit(False))
+
+    code = (
+        F.when(no("__full"), "window_indices").when(no("__same"), "inconsistent_metadata")
+        .when(no("__valid"), "probabilities").otherwise("")
+    )
+    judged = _parent_groups(preds, classes, windows, by).withColumn("code", code).drop("__full", "__same", "__valid")
+    scored = F.col("code") == ""
+    return with_prediction(judged.withColumn("probabilities", F.when(scored, F.col("probabilities")))).withColumn(
+        "prediction", F.when(scored, F.col("prediction")))
+
+
 def aggregate_parents(preds: DataFrame, classes: int, windows: int = 8,
                       by: Sequence[str] = (), check: bool = False) -> DataFrame:
     """Mean class probabilities of every parent that holds each window once.
 
-    Other parents are left to ``parent_problems``; with ``check`` the first one stops the query.
+    ``judge_parents`` gives the other parents beside these, ``parent_problems`` alone; with
+    ``check`` the first one stops the query.
     """
-    fits = F.expr("__full and __same and __valid")
+    fits = F.col("code") == ""
     if check:
         stop = F.raise_error(F.concat(F.lit("parents outside the contract: "), F.col("parent_id").cast("string"))).cast("boolean")
-        fits = F.when(F.coalesce(fits, F.lit(False)), True).otherwise(stop)
-    good = _parent_groups(preds, classes, windows, by).where(fits)
-    return with_prediction(good.drop("__full", "__same", "__valid"))
+        fits = F.when(fits, True).otherwise(stop)
+    return judge_parents(preds, classes, windows, by).where(fits).drop("code")
 
 
 def parent_problems(preds: DataFrame, classes: int, windows: int = 8,
                     by: Sequence[str] = ()) -> DataFrame:
     """Parents that cannot be scored, with the first rule they break."""
-    code = (
-        F.when(~F.col("__full"), "window_indices").when(~F.col("__same"), "inconsistent_metadata")
-        .when(~F.col("__valid"), "probabilities")
-    )
-    groups = _parent_groups(preds, classes, windows, by).withColumn("code", code)
-    return groups.where("code is not null").select(*by, "parent_id", "window_count", "code")
+    return judge_parents(preds, classes, windows, by).where("code <> ''").select(*by, "parent_id", "window_count", "code")
 
 
 # -- bundles and baselines ----------------------------------------------------
@@ -188,25 +205,32 @@ def metric_bundle(preds: DataFrame, classes: int, windows: int = 8, by: Sequence
                   check: bool = False) -> DataFrame:
     """Window and parent metrics, over all and per subject, in one table.
 
-    Grouping sets give the overall and per-subject counts in one pass. With ``check`` a
-    parent that cannot be scored stops the query; without, parents score only where complete.
+    Grouping sets give the overall and per-subject counts in one pass, and in the same pass
+    ``refused``, the parents that cannot be scored: with ``sample_count`` they add up to the parents
+    there are, and a subject without a single whole parent still has its row. With ``check`` a parent
+    that cannot be scored stops the query.
     """
-    units = {
-        "window_30s": preds,
-        "parent_240s": aggregate_parents(preds, classes, windows, by, check),
-    }
+    units = {"window_30s": preds, "parent_240s": judge_parents(preds, classes, windows, by)}
     metrics = [c.alias(n) for n, c in metric_columns(classes).items()]
     out = None
     for unit, table in units.items():
         keys = [F.col(b) for b in by]
         sets = [[*keys], [*keys, F.col("subject_id")]]
+        scored, refused = F.lit(True), F.lit(0).cast("bigint")
+        if unit == "parent_240s":
+            scored = F.col("code") == ""
+            refused = F.count_if(~scored)
+            if check:
+                one = F.min(F.when(~scored, F.col("parent_id").cast("string")))
+                stop = F.raise_error(F.concat(F.lit("parents outside the contract: "), one)).cast("bigint")
+                refused = F.when(refused > 0, stop).otherwise(refused)
         counted = table.groupingSets(sets, *keys, F.col("subject_id")).agg(
-            *_cells(table.columns, classes), F.grouping("subject_id").alias("__all"))
+            *_cells(table.columns, classes, scored), refused.alias("refused"), F.grouping("subject_id").alias("__all"))
         rows = counted.select(
             F.lit(unit).alias("unit"), *by,
             F.when(F.col("__all") == 1, "all").otherwise("subject").alias("scope"),
             F.when(F.col("__all") == 1, "").otherwise(F.col("subject_id").cast("string")).alias("subject_id"),
-            *metrics)
+            *metrics, "refused")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -37,13 +37,13 @@ def write_split_manifests(windows: DataFrame, parents: DataFrame, out: str) -> d
 
 
 def export_predictions(preds: DataFrame, run_id: str, unit: str = "window_30s",
-                       names: Sequence[str] = C.FATIGUE_CLASSES) -> DataFrame:
-    """Array probabilities to one named column per class, ids in export order."""
+                       names: Sequence[str] = C.FATIGUE_CLASSES, keep: Sequence[str] = ()) -> DataFrame:
+    """Array probabilities to one named column per class, ids in export order; ``keep`` names columns to leave beside them."""
     lead = [F.lit(run_id).alias("run_id"), "seed", "split"]
     body = (["sample_id", "parent_id", "subject_id", "session_id", "window_index", "label_id"]
             if unit == "window_30s" else ["parent_id", "subject_id", "session_id", "label_id", "window_count"])
     named = [F.get("probabilities", F.lit(i)).alias(f"prob_{n}") for i, n in enumerate(names)]
-    return preds.select(*lead, *body, *named, "prediction")
+    return preds.select(*lead, *body, *named, "prediction", *keep)
 
 
 def export_feature_package(request: DataFrame, features: DataFrame, out: str | None = None) -> DataFrame:

@@ -10,10 +10,10 @@ from tidegrid.operators import metrics as M
 from tidegrid.sources.sinks import export_predictions
 from tidegrid.sources.tables import prediction_table_problems
 from workload.registry import query, rounded, sql, table
-from workload.views import v_hist, v_pred, v_seed
+from workload.views import paired, v_hist, v_pred, v_seed
 
 CLASSES = 3
-WINDOWS = 2  # orders whose lines are numbered exactly 1 and 2 are complete parents
+WINDOWS = 2  # a whole parent is a pair of lines
 NAMES = C.FATIGUE_CLASSES
 
 
@@ -29,10 +29,11 @@ def seeds(spark, d):
 
 PARENTS = """
 SELECT {by} parent_id, min(label_id) AS label_id, min(subject_id) AS subject_id, min(session_id) AS session_id,
-  min(split) AS split, count(*) AS window_count, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2
+  min(split) AS split, count(*) AS window_count, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2,
+  CASE WHEN NOT (count(*) = 2 AND min(window_index) = 0 AND max(window_index) = 1) THEN 'window_indices'
+   WHEN NOT (count(DISTINCT label_id) = 1 AND count(DISTINCT subject_id) = 1 AND count(DISTINCT session_id) = 1 AND count(DISTINCT split) = 1) THEN 'inconsistent_metadata'
+   ELSE '' END AS code
 FROM {src} GROUP BY {by} parent_id
-HAVING count(*) = 2 AND min(window_index) = 0 AND max(window_index) = 1 AND count(DISTINCT window_index) = 2
-  AND count(DISTINCT label_id) = 1 AND count(DISTINCT subject_id) = 1 AND count(DISTINCT session_id) = 1 AND count(DISTINCT split) = 1
 """
 ARGMAX = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
 
@@ -87,14 +88,18 @@ def prediction_problems(spark, d):
     return three.unionByName(label).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("parent_probability_mean", sql("v_pred", f"""
-SELECT parent_id, subject_id, session_id, split, label_id, window_count, round(p0, 6) AS prob_low, round(p1, 6) AS prob_medium,
-  round(p2, 6) AS prob_high, {ARGMAX} AS prediction FROM ({PARENTS.format(by='', src='v_pred')})"""))
+_SCORED = f"""CASE WHEN code = '' THEN round(p0, 6) END AS prob_low, CASE WHEN code = '' THEN round(p1, 6) END AS prob_medium,
+  CASE WHEN code = '' THEN round(p2, 6) END AS prob_high, CASE WHEN code = '' THEN {ARGMAX} END AS prediction, code"""
+
+
+@query("parent_probability_mean", sql("v_pair", f"""
+SELECT parent_id, subject_id, session_id, split, label_id, window_count, {_SCORED} FROM ({PARENTS.format(by='', src='v_pair')})"""))
 def parent_probability_mean(spark, d):
-    parents = M.aggregate_parents(v_pred(spark, d), CLASSES, WINDOWS)
+    """Every pair of lines: its mean, or the rule it breaks."""
+    parents = M.judge_parents(paired(v_pred(spark, d)), CLASSES, WINDOWS)
     named = [F.get("probabilities", F.lit(i)).alias(f"prob_{n}") for i, n in enumerate(NAMES)]
     return rounded(parents.select(
-        "parent_id", "subject_id", "session_id", "split", "label_id", "window_count", *named, "prediction"))
+        "parent_id", "subject_id", "session_id", "split", "label_id", "window_count", *named, "prediction", "code"))
 
 
 @query("parent_problems", sql("v_pred", """
@@ -141,19 +146,30 @@ def per_subject_metrics(spark, d):
     return rounded(M.classification_metrics(preds(spark, d), ["subject_id"], CLASSES))
 
 
+_SCORES = ("accuracy", "macro_f1_fixed_classes", "macro_f1_supported_classes", "balanced_accuracy_supported_classes",
+           "balanced_accuracy_all_classes", "last_class_recall")
+
+
 def _bundle_sql(window: str, parent: str) -> str:
+    """Scores of rows with an empty code; refused rows counted apart, also for subjects that have no other."""
     units = []
-    for unit, src in (("window_30s", window), ("parent_240s", parent)):
-        units.append(f"SELECT * FROM (WITH {per_class_cte(src, '')} SELECT '{unit}' AS unit, 'all' AS scope, '' AS subject_id, {SUMMARY} FROM pc)")
-        units.append(f"SELECT * FROM (WITH {per_class_cte(src, 'subject_id,')} SELECT '{unit}' AS unit, 'subject' AS scope, subject_id, {SUMMARY} FROM pc GROUP BY subject_id)")
+    for unit, src in (("window_30s", f"(SELECT *, '' AS code FROM {window})"), ("parent_240s", parent)):
+        good = f"(SELECT * FROM {src} WHERE code = '')"
+        for scope, by, subject in (("all", "", "''"), ("subject", "subject_id,", "subject_id")):
+            group = f"GROUP BY {subject}" if by else ""
+            scores = ", ".join(f"coalesce(x.{c}, 0.0) AS {c}" for c in _SCORES)
+            units.append(f"""SELECT '{unit}' AS unit, '{scope}' AS scope, r.subject_id, coalesce(x.sample_count, 0) AS sample_count, {scores}, r.refused FROM
+ (SELECT {subject} AS subject_id, count(*) FILTER (WHERE code <> '') AS refused FROM {src} {group}) r LEFT JOIN
+ (SELECT * FROM (WITH {per_class_cte(good, by)} SELECT {subject} AS subject_id, {SUMMARY} FROM pc {group})) x ON x.subject_id = r.subject_id""")
     return "\nUNION ALL ".join(units)
 
 
-@query("metric_bundle", sql("v_pred1", f"""
-WITH par AS (SELECT *, {ARGMAX} AS prediction FROM ({PARENTS.format(by='', src='v_pred')}))
-{_bundle_sql('v_pred1', 'par')}"""))
+@query("metric_bundle", sql("v_pair1", f"""
+WITH par AS (SELECT *, {ARGMAX} AS prediction FROM ({PARENTS.format(by='', src='v_pair1')}))
+{_bundle_sql('v_pair1', 'par')}"""))
 def metric_bundle(spark, d):
-    return rounded(M.metric_bundle(preds(spark, d), CLASSES, WINDOWS))
+    """Scores of lines and of pairs of lines, with the pairs that could not be scored."""
+    return rounded(M.metric_bundle(paired(preds(spark, d)), CLASSES, WINDOWS))
 
 
 @query("majority_class", sql("v_pred", """
@@ -163,14 +179,14 @@ def majority_class(spark, d):
     return M.majority_class(v_pred(spark, d), ["split"])
 
 
-@query("majority_bundle", sql("v_pred", f"""
-WITH top AS (SELECT label_id AS m FROM v_pred WHERE split = 'train' GROUP BY label_id ORDER BY count(*) DESC, label_id LIMIT 1),
+@query("majority_bundle", sql("v_pair", f"""
+WITH top AS (SELECT label_id AS m FROM v_pair WHERE split = 'train' GROUP BY label_id ORDER BY count(*) DESC, label_id LIMIT 1),
 val AS (SELECT v.* EXCLUDE (p0, p1, p2), CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS p0, CASE WHEN m = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS p1,
-  CASE WHEN m = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS p2, m AS prediction FROM v_pred v, top WHERE split = 'val'),
+  CASE WHEN m = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS p2, m AS prediction FROM v_pair v, top WHERE split = 'val'),
 par AS (SELECT *, {ARGMAX} AS prediction FROM ({PARENTS.format(by='', src='val')}))
 {_bundle_sql('val', 'par')}"""))
 def majority_bundle(spark, d):
-    rows = v_pred(spark, d)
+    rows = paired(v_pred(spark, d))
     return rounded(M.majority_bundle(rows.where("split = 'train'"), rows.where("split = 'val'"), CLASSES, WINDOWS))
 
 
@@ -301,13 +317,13 @@ def export_predictions_query(spark, d):
     return export_predictions(seeds(spark, d), "run-1")
 
 
-@query("export_parent_predictions", sql("v_seed", f"""
-WITH par AS ({PARENTS.format(by='seed,', src='v_seed')})
-SELECT 'run-1' AS run_id, seed, split, parent_id, subject_id, session_id, label_id, window_count, round(p0, 6) AS prob_low,
-  round(p1, 6) AS prob_medium, round(p2, 6) AS prob_high, {ARGMAX} AS prediction FROM par"""))
+@query("export_parent_predictions", sql("v_seed_pair", f"""
+WITH par AS ({PARENTS.format(by='seed,', src='v_seed_pair')})
+SELECT 'run-1' AS run_id, seed, split, parent_id, subject_id, session_id, label_id, window_count, {_SCORED} FROM par"""))
 def export_parent_predictions(spark, d):
-    parents = M.aggregate_parents(v_seed(spark, d), CLASSES, WINDOWS, ["seed"])
-    return rounded(export_predictions(parents, "run-1", "parent_240s"))
+    """The export's rows, and beside them the parents it cannot hold with their code."""
+    judged = M.judge_parents(paired(v_seed(spark, d)), CLASSES, WINDOWS, ["seed"])
+    return rounded(export_predictions(judged, "run-1", "parent_240s", keep=("code",)))
 
 
 @query("prediction_table_problems", sql("v_pred1", """

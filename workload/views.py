@@ -93,6 +93,18 @@ def v_pred(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Parents are pairs of lines: every line belongs to one, and what holds no whole pair is a problem that shows.
+_PAIR = "* REPLACE (parent_id * 4 + window_index // 2 AS parent_id, CAST(window_index % 2 AS INT) AS window_index)"
+view("v_pair", f"SELECT {_PAIR} FROM v_pred", "v_pred")
+view("v_pair1", f"SELECT {_PAIR} FROM v_pred1", "v_pred1")
+view("v_seed_pair", f"SELECT {_PAIR} FROM v_seed", "v_seed")
+
+
+def paired(preds: DataFrame) -> DataFrame:
+    line = F.col("window_index")
+    return preds.withColumns({"parent_id": F.col("parent_id") * 4 + F.call_function("div", line, F.lit(2)), "window_index": line % 2})
+
+
 def v_seed(spark: SparkSession, d: str) -> DataFrame:
     """Three runs over the same samples: the probabilities rotate with the seed."""
     p = [F.get("probabilities", F.lit(i)) for i in range(3)]

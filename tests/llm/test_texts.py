@@ -46,13 +46,19 @@ def test_no_rows_no_tokens(empty):
     assert bpe.token_digests(empty, RANKS).count() == 0
 
 
-def test_pieces_have_the_tokenizer_ids(docs, texts):
+SPECIAL = ["<|endoftext|> begins", "ends in <|endoftext|>", "in<|endoftext|>side", "<|endoftext|><|endoftext|><|endoftext|>", "a <|endoftext|> b  <|endoftext|>\n\n c",
+           "<|endoftext|", "|endoftext|> é<|endoftext|>é ", " <|endoftext|><|endoftext", "x " * 400 + "<|endoftext|>" + " y" * 400, "<|endoftext|>"]
+
+
+def test_pieces_have_the_tokenizer_ids(spark, docs, texts):
+    """The library as it is set by default, also where a text holds its special token."""
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
+    odd = [(1000 + k, t) for k, t in enumerate(SPECIAL)]
+    rows = docs.where("doc_id <> 3").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).coalesce(1)
     got = {}
-    for r in packing.token_pieces(docs.where("doc_id <> 3"), VOCABULARY, capacity=300, ids=True).collect():
+    for r in packing.token_pieces(rows, VOCABULARY, capacity=300, ids=True).collect():
         got.setdefault(r.doc_id, []).append(r)
-    for i, text in texts:
+    for i, text in [*texts, *odd]:
         if i == 3:
             continue
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -45,16 +46,21 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(path: str) -> Callable[[list[str]], Iterable[Sequence[int]]]:
-    """Ids of many strings by a tokenizer file, without special tokens.
+def load_tokenizer(path: str) -> tuple[Callable[[list[str]], Iterable[Sequence[int]]], dict[bytes, int]]:
+    """Ids of many strings by a tokenizer file, and its added tokens, which texts are cut at.
 
-    Where the file is plain byte-level BPE whose merges come in the order of their ids, its
+    An added token found in a text has its own id, as the tokenizers library gives it without being
+    told otherwise; one that swallows spaces or needs word borders is refused. Where the file is plain byte-level BPE whose merges come in the order of their ids, its
     vocabulary goes to tiktoken as ranks: the same ids, several times faster. Any other file is
     left to the tokenizers library.
     """
     held = json.loads(Path(path).read_text(encoding="utf-8"))
     model, split = held["model"], held.get("pre_tokenizer") or {}
-    special = {t["content"] for t in held.get("added_tokens", [])}
+    tokens = held.get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    added = {t["content"].encode(): t["id"] for t in tokens}
+    special = {t["content"] for t in tokens}
     vocabulary = {t: i for t, i in model.get("vocab", {}).items() if t not in special} if model.get("type") == "BPE" else {}
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
     numbers = [vocabulary.get(m) for m in merged]
@@ -64,17 +70,24 @@ def load_tokenizer(path: str) -> Callable[[list[str]], Iterable[Sequence[int]]]:
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
         encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: map(encoding.encode_ordinary, texts)
+        return lambda texts: map(encoding.encode_ordinary, texts), added
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: (e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False))
+    return lambda texts: (e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)), added
 
 
-def _chunks(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that the tokenizer's pattern never crosses: cut before a space or line break that follows a letter or digit.
+def _added_places(raw: bytes, offsets: np.ndarray, added: dict[bytes, int]) -> list[int]:
+    """Both ends of every added token in the texts, the longer one where two begin alike."""
+    if not any(content in raw for content in added):
+        return []
+    pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    return [at for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for found in pattern.finditer(raw, low, high) for at in found.span()]
+
+
+def _chunks(buffer: np.ndarray, offsets: np.ndarray, places: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that the tokenizer's pattern never crosses: cut at ``places`` and before a space or line break that follows a letter or digit.
 
     Letters counted here are the ASCII ones and the two-byte ones of Latin-1; leaving others out makes longer spans only.
     """
@@ -83,7 +96,10 @@ def _chunks(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     latin[1:] = (buffer[:-1] == 0xC3) & (buffer[1:] != 0x97) & (buffer[1:] != 0xB7)
     cut = np.zeros(n + 1, bool)
     cut[1:n] = ((buffer[1:] == 32) | (buffer[1:] == 10)) & (_ALNUM[buffer] | latin)[:-1]
+    for low, high in zip(places[::2], places[1::2]):
+        cut[low: high] = False  # an added token stays whole
     cut[offsets] = True
+    cut[np.array(places, np.int64)] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.append(starts[1:], n)
 
@@ -92,7 +108,9 @@ def encode_all(buffer: np.ndarray, offsets: np.ndarray, tokenizer, known: dict[b
     """Ids of all texts behind each other and the number of ids of each; each distinct chunk is encoded once."""
     if not len(buffer):
         return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
-    starts, ends = _chunks(buffer, offsets)
+    encode, added = tokenizer
+    raw = buffer.tobytes()
+    starts, ends = _chunks(buffer, offsets, _added_places(raw, offsets, added))
     names, others = span_hashes(buffer, starts, ends), span_hashes(buffer, starts, ends, _OTHER)
     codes, _ = pd.factorize(names)
     first = np.zeros(codes.max() + 1, np.int64)
@@ -101,14 +119,14 @@ def encode_all(buffer: np.ndarray, offsets: np.ndarray, tokenizer, known: dict[b
         codes, _ = pd.factorize(pd.MultiIndex.from_arrays([names, others]))
         first = np.zeros(codes.max() + 1, np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-    raw = buffer.tobytes()
     texts = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
     if len(known) > REMEMBERED:
         known.clear()
+    known.update((content, array("I", [number]).tobytes()) for content, number in added.items())
     new = [t for t in texts if t not in known]
     for at in range(0, len(new), 20_000):
         some = new[at: at + 20_000]
-        for text, found in zip(some, tokenizer([t.decode() for t in some])):
+        for text, found in zip(some, encode([t.decode() for t in some])):
             known[text] = array("I", found).tobytes()
     parts = [known[t] for t in texts]
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4

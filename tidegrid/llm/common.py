@@ -32,6 +32,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads again; what was made of them has to be staged itself."""
+    for table in tables:
+        session = table.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(session._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is evaluated once however often the body names it."""
     return F.transform(F.array(value), body)[0]

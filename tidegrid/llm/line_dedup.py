@@ -20,20 +20,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import byte_slices, staged, text_buffer
+from tidegrid.llm.common import byte_slices, dropped, staged, text_buffer
 from tidegrid.llm.slots import COUNTS, SLOT_BITS, count_slots, slot_of, slot_table
 from tidegrid.llm.suffix_dedup import keyed
 from tidegrid.llm.textbytes import LOWER, U64, join_names, mix, span_hashes, sums_by, word_spans
 
+#: Text bytes handled at once: a slice needs some seventy times its size for a moment.
+SLICE = 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """All batches in small slices; at the end the task gives its pooled memory back."""
+    for batch in batches:
+        yield from byte_slices(batch, column, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 def word_rarity(docs: DataFrame) -> np.ndarray:
     """The slot table of all words of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for part in byte_slices(batch):
-                    buffer, offsets = text_buffer(part.column("text"))
-                    yield span_hashes(buffer, *word_spans(buffer, offsets)[:2], LOWER)
+            for part in _slices(batches):
+                buffer, offsets = text_buffer(part.column("text"))
+                yield span_hashes(buffer, *word_spans(buffer, offsets)[:2], LOWER)
         yield from count_slots(hashes())
 
     return slot_table(docs.select("text").mapInArrow(run, COUNTS))
@@ -94,40 +104,51 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
               + "".join(f"{b} long, " for b in ALL_BITS) + "words array<int>, places array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch):
-                buffer, offsets = text_buffer(part.column("text"))
-                starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
-                count = len(owner)
-                if not count:
-                    continue
-                hashes = span_hashes(buffer, starts, ends, LOWER)
-                line, hashes, codes = _distinct(line, hashes, shared.value[slot_of(hashes)])
-                n = np.bincount(line, minlength=count)
-                begin = np.cumsum(n) - n
-                place = np.arange(len(line)) - begin[line]
-                prefix = (place < (n - -(-percent * n // 100) + 1)[line]) & (codes > 1)
-                at = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=count)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(c).take(pa.array(owner)) for c in ("key_a", "key_b", "doc_id")),
-                    pa.array(number, pa.int32()), pa.array(n, pa.int32()), *_set_names(line, hashes, count), *_bitmaps(hashes, begin, n),
-                    *(pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (
-                        (hashes[prefix] >> U64(32)).astype(np.uint32).view(np.int32), place[prefix]))],
-                    names=[f.split()[0] for f in schema.split(", ")])
+        for part in _slices(batches):
+            buffer, offsets = text_buffer(part.column("text"))
+            starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
+            count = len(owner)
+            if not count:
+                continue
+            hashes = span_hashes(buffer, starts, ends, LOWER)
+            line, hashes, codes = _distinct(line, hashes, shared.value[slot_of(hashes)])
+            n = np.bincount(line, minlength=count)
+            begin = np.cumsum(n) - n
+            place = np.arange(len(line)) - begin[line]
+            prefix = (place < (n - -(-percent * n // 100) + 1)[line]) & (codes > 1)
+            at = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=count)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                *(part.column(c).take(pa.array(owner)) for c in ("key_a", "key_b", "doc_id")),
+                pa.array(number, pa.int32()), pa.array(n, pa.int32()), *_set_names(line, hashes, count), *_bitmaps(hashes, begin, n),
+                *(pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (
+                    (hashes[prefix] >> U64(32)).astype(np.uint32).view(np.int32), place[prefix]))],
+                names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(run, schema)
 
 
+def _near(a: str, b: str, bits: list[str], percent: int) -> Column:
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
+    return (100 + percent) * (n - differ) >= 2 * percent * n
+
+
+def _near_on_long_maps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (earlier, later, long) pairs that also pass on the wide bitmaps, which only long lines have."""
+    wide = classes.where(F.col("n") > LONG).select("id", "n", *LONG_BITS)
+    kept = (pairs.where("long").join(wide.alias("a"), F.col("earlier") == F.col("a.id")).join(wide.alias("b"), F.col("later") == F.col("b.id"))
+            .where(_near("a", "b", LONG_BITS, percent)).select("earlier", "later"))
+    return pairs.where("not long").select("earlier", "later").union(kept)
+
+
 def _may_match(a: str, b: str, percent: int, placed: bool = True) -> Column:
     """``a`` is earlier and passes the length, bitmap and (if ``placed``) positional filters on an entry of the same word.
 
     Similar lines pass all: bits that differ are at most the words in which the lines differ.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = lambda bits: sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
-    near = lambda bits: (100 + percent) * (n + m - differ(bits)) >= 2 * percent * (n + m)
-    passes = ((F.col(f"{a}.id") < F.col(f"{b}.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
-              & near(SHORT_BITS) & ((F.least(n, m) <= LONG) | near(LONG_BITS)))
+    near = lambda bits: _near(a, b, bits, percent)
+    passes = (F.col(f"{a}.id") < F.col(f"{b}.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near(SHORT_BITS)
     if placed:
         i, j = F.col(f"{a}.place"), F.col(f"{b}.place")
         passes = passes & ((100 + percent) * (F.least(i, j) + F.least(n - i, m - j)) >= percent * (n + m))
@@ -150,28 +171,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         wanted.select("key_a", "line").mapInArrow(mark, COUNTS)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch):
-                buffer, offsets = text_buffer(part.column("text"))
-                starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
-                key = part.column("key_a").to_numpy().view(U64)
-                passes = marked.value[slot_of(_place_name(key[owner], number))] > 0
-                held, count = passes[line], int(passes.sum())
-                line = (np.cumsum(passes) - 1)[line[held]]
-                line, hashes, _ = _distinct(line, span_hashes(buffer, starts, ends, LOWER)[held])
-                begin = np.searchsorted(line, np.arange(count + 1))
-                yield pa.RecordBatch.from_arrays([
-                    *_set_names(line, hashes, count),
-                    pa.array([hashes[begin[i]: begin[i + 1]].tobytes() for i in range(count)], pa.binary())], names=["set_a", "set_b", "hashes"])
+        for part in _slices(batches):
+            buffer, offsets = text_buffer(part.column("text"))
+            starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
+            key = part.column("key_a").to_numpy().view(U64)
+            passes = marked.value[slot_of(_place_name(key[owner], number))] > 0
+            held, count = passes[line], int(passes.sum())
+            line = (np.cumsum(passes) - 1)[line[held]]
+            line, hashes, _ = _distinct(line, span_hashes(buffer, starts, ends, LOWER)[held])
+            begin = np.searchsorted(line, np.arange(count + 1))
+            yield pa.RecordBatch.from_arrays([
+                *_set_names(line, hashes, count),
+                pa.array([hashes[begin[i]: begin[i + 1]].tobytes() for i in range(count)], pa.binary())], names=["set_a", "set_b", "hashes"])
 
     lines = docs.select("key_a", "text").mapInArrow(gather, "set_a long, set_b long, hashes binary")
     found = staged(wanted.join(lines, ["set_a", "set_b"]).select("id", "hashes"), "sets")
     side = lambda s: found.select(F.col("id").alias(s), F.col("hashes").alias(f"h_{s}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, "h_earlier"):
             owners, names = [], []
             for c in ("h_earlier", "h_later"):
                 names.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), U64))
@@ -196,25 +214,37 @@ def similar_lines(keyed_docs: DataFrame, percent: int = 80) -> DataFrame:
     class of each of its prefix words; only classes that match none are tested against all
     earlier ones there, so a family of many variants does not become all its pairs.
     """
-    lines = staged(_signatures(keyed_docs, word_rarity(keyed_docs), percent), "lines")
-    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "n", *ALL_BITS, "words", "places")).alias("f"))
-    classes = staged(first.select("set_a", "set_b", "f.*").repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
-                     .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
-    entries = lambda some: some.select("id", "n", *ALL_BITS, F.explode(F.arrays_zip("words", "places")).alias("e")).select(
-        F.col("e.words").alias("word"), "id", F.col("e.places").alias("place"), "n", *ALL_BITS)
+    signed = staged(_signatures(keyed_docs, word_rarity(keyed_docs), percent), "signed")
+    lines = staged(signed.select("key_a", "key_b", "doc_id", "line", "set_a", "set_b"), "lines")
+    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "key_b")).alias("f")).select("set_a", "set_b", "f.*")
+    kept = ["doc_id", "line", "key_a", "n", *ALL_BITS, "words", "places"]
+    classes = staged(signed.join(first, ["set_a", "set_b", "doc_id", "line", "key_a", "key_b"], "left_semi").select("set_a", "set_b", "key_b", *kept).dropDuplicates(
+        ["set_a", "set_b", "doc_id", "line", "key_a", "key_b"]).repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
+        .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
+    dropped(signed)
+    light = ["n", *SHORT_BITS]
+    entries = lambda some: some.select("id", *light, F.explode(F.arrays_zip("words", "places")).alias("e")).select(
+        F.col("e.words").alias("word"), "id", F.col("e.places").alias("place"), *light)
     met = entries(classes).groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("met")).where("met > 1").select("word", "id")
-    heads = staged(met.join(classes.select("id", "n", *ALL_BITS), "id"), "heads")
-    pairs = lambda joined, a, b, placed: joined.where(_may_match(a, b, percent, placed)).select(
-        F.col(f"{a}.id").alias("earlier"), F.col(f"{b}.id").alias("later")).distinct()
+    heads = staged(met.join(classes.select("id", *light), "id"), "heads")
+
+    def pairs(joined: DataFrame, a: str, b: str, placed: bool) -> DataFrame:
+        long = (F.col(f"{a}.n") > LONG) & (F.col(f"{b}.n") > LONG)
+        near = joined.where(_may_match(a, b, percent, placed)).select(F.col(f"{a}.id").alias("earlier"), F.col(f"{b}.id").alias("later"), long.alias("long"))
+        return _near_on_long_maps(staged(near.distinct(), "near"), classes, percent)
+
     tested = staged(pairs(heads.alias("h").join(entries(classes).alias("m"), "word"), "h", "m", False), "pairs")
+    dropped(heads)
     gone = staged(_verified(tested, classes, keyed_docs, percent), "gone")
     left = classes.join(gone, F.col("id") == F.col("later"), "left_anti")
     rest = staged(pairs(entries(classes).alias("e").join(entries(left).alias("l"), "word"), "e", "l", True)
                   .join(tested, ["earlier", "later"], "left_anti"), "pairs")
+    dropped(tested)
     gone = gone.union(_verified(rest, classes, keyed_docs, percent))
     judged = staged(classes.join(gone, F.col("id") == F.col("later"), "left").select(
         "set_a", "set_b", F.col("doc_id").alias("of"), F.col("line").alias("at"), F.col("later").isNotNull().alias("gone")), "judged")
-    return lines.select("key_a", "key_b", "doc_id", "line", "set_a", "set_b").join(judged, ["set_a", "set_b"]).where(
+    dropped(classes, rest)
+    return lines.join(judged, ["set_a", "set_b"]).where(
         F.col("gone") | (F.struct("of", "at") < F.struct("doc_id", "line"))).select("key_a", "key_b", "line")
 
 

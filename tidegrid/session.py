@@ -16,6 +16,9 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Streaming state on disk, not on the heap: it grows with the keys ever seen.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Recording the Python line of every column call costs more than the calls.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

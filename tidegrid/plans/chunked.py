@@ -63,9 +63,10 @@ def bounded_chunks(df: DataFrame, keys: Sequence[str], digits: Sequence[Column],
     rows, step, maps = df.withColumns(dict(zip(names, digits))), max(1, limit // 2), []
     counts = rows.groupBy(*keys, names[0]).agg(F.count(F.lit(1)).alias("__n"))
     for level in range(1, len(digits)):
-        heavy = stage(counts.where(F.col("__n") > limit).select(*keys, *names[:level]), "heavy")
+        heavy = counts.where(F.col("__n") > limit).select(*keys, *names[:level])
         if heavy.isEmpty():
             break
+        heavy = stage(heavy, "heavy")
         cell = W.partitionBy(*keys, *names[:level]).orderBy(names[level]).rowsBetween(W.unboundedPreceding, -1)
         inside = rows.join(heavy, [*keys, *names[:level]], "left_semi").groupBy(*keys, *names[: level + 1]).agg(F.count(F.lit(1)).alias("__n"))
         # A cell deeper than a step gets a run of its own; the others of a run add up to less than two steps.

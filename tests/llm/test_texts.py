@@ -1,5 +1,6 @@
 """Encoding, packing, repeated strings, lines and near duplicates against plain Python."""
 
+import itertools
 import hashlib
 import re
 import zlib
@@ -209,3 +210,27 @@ def test_registers_keep_similarity():
         table = hyperminhash.registers_of(owner, np.concatenate(sets), 2)
         true = size / (size + 2 * max(1, size // 10))
         assert abs((table[0] == table[1]).mean() - true) < 0.25
+
+
+def test_blocks_of_a_band_meet_like_all_pairs(spark):
+    """Components larger than a block, one-node components, and bands that many share."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, 512), dtype=np.uint8)
+    table = np.repeat(base, 15, axis=0)
+    edits = rng.random(table.shape) < rng.choice([0.02, 0.1, 0.3], len(table))[:, None]
+    table[edits] = rng.integers(0, 256, edits.sum())
+    part = [(k // 15) * 15 if k % 15 < 9 else k for k in range(len(table))]
+    size = [int(s) for s in rng.integers(300, 400, len(table))]
+    nodes = spark.createDataFrame([(k, size[k], bytearray(table[k].tobytes())) for k in range(len(table))],
+                                  "node long, n_shingles long, registers binary")
+    parts = spark.createDataFrame(list(enumerate(part)), "node long, component long")
+    members = hyperminhash.band_keys(nodes).join(parts, "node").select("band", "node", "n", "component")
+    longs, want = table.view(np.uint64), set()
+    for a, b in itertools.combinations(range(len(table)), 2):
+        fits = part[a] != part[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (longs[a] == longs[b]).any()
+        if fits and hyperminhash._likely(np.array([(table[a] == table[b]).mean()]), np.array([size[a]]), np.array([size[b]]), 0.8)[0]:
+            want.add((a, b))
+    assert len(want) > 50
+    for block in (4, 128):
+        got = [tuple(r) for r in hyperminhash._across(members, nodes, 80, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

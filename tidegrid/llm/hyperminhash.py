@@ -116,6 +116,15 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "registers").mapInArrow(run, "band long, node long, n int")
 
 
+def _likely(same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the share of equal registers leaves the similarity of two sets not clearly below the threshold."""
+    big, small = np.maximum(n_a, n_b), np.minimum(n_a, n_b)
+    ratio = big / small
+    floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(big, BUCKETS))
+    chance = 0.1699194871597391 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    return (same - chance) / (1 - chance) >= floor
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) whose estimated similarity is not clearly below the threshold.
 
@@ -132,11 +141,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
-            big, small = (f(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) for f in (np.maximum, np.minimum))
-            ratio = big / small
-            floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(big, BUCKETS))
-            chance = 0.1699194871597391 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
-            likely = ((left == right).mean(axis=1) - chance) / (1 - chance) >= floor
+            likely = _likely((left == right).mean(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(likely))
 
     return sized.mapInArrow(run, "a long, b long")
@@ -165,50 +170,73 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-BITS = [f"b{k}" for k in range(BUCKETS // 64)]
+def _blocks(members: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(band, own, block, low, high, held): the members of bands with several components in blocks of about ``size``.
 
+    A component with ``size`` members or more of a band has blocks of its own, named in ``own``, so that it is
+    never compared with itself; the rest of the band shares blocks, dealt by hash.
+    """
+    parts = staged(members.groupBy("band", "component").agg(F.count("*").alias("count")), "parts")
+    large = F.col("count") >= size
+    bands = parts.groupBy("band").agg(
+        F.sum(F.when(large, 0).otherwise(F.col("count"))).alias("rest"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    plan = staged(parts.join(bands.select("band", "rest"), "band").select(
+        "band", "component", F.when(large, F.col("component")).alias("own"),
+        F.ceil(F.when(large, F.col("count")).otherwise(F.col("rest")) / size).alias("blocks")), "plan")
+    placed = members.join(plan, ["band", "component"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return placed.join(nodes.select("node", "registers"), "node").groupBy("band", "own", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("node", "component", "n", "registers")).alias("held"))
+
+
+def _across(members: DataFrame, nodes: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """The likely (a, b), each once, among a band's members in different components.
+
+    Block meets block; sizes and registers are compared inside the task, and a pair comes out of the first band
+    it shares alone, so loosely related texts leave no row.
+    """
+    blocks = staged(_blocks(members, nodes, block), "blocks")
+    side = lambda s: blocks.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("own", "block", "low", "high", "held")))
+    order = lambda s: F.struct(F.coalesce(f"{s}_own", F.lit(-1)), F.col(f"{s}_block"))
+    facing = side("l").join(side("r"), "band").where(
+        (order("l") <= order("r")) & F.coalesce(F.col("l_own") != F.col("r_own"), F.lit(True))
+        & (100 * F.col("l_high") >= percent * F.col("r_low")) & (100 * F.col("r_high") >= percent * F.col("l_low"))).select(
+        "band", (order("l") == order("r")).alias("self"), "l_held", "r_held")
 
-def register_bits(nodes: DataFrame) -> DataFrame:
-    """(node, b0..b7): the last bit of every register, in longs. Unequal registers agree in it half of the time."""
+    def parts(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+        held = column.flatten()
+        node, component, n = (held.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n"))
+        ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+        return ends, node, component, n, text_buffer(held.field("registers"))[0].view(U64).reshape(-1, BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = mix(np.arange(BANDS, dtype=U64) + U64(77))
         for batch in batches:
-            held = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            longs = np.packbits(held & np.uint8(1), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(c)) for c in longs.T)], names=["node", *BITS])
-
-    return nodes.select("node", "registers").mapInArrow(run, ", ".join(["node long", *(f"{b} long" for b in BITS)]))
-
-
-def _bits_agree(left: str, right: str, smaller: Column, percent: int) -> Column:
-    """Whether as many bits agree as sets of the wanted similarity leave agreeing, less the slack for sets of this size."""
-    alike = percent / 100
-    differ = sum((F.bit_count(F.col(left + b).bitwiseXOR(F.col(right + b))) for b in BITS), F.lit(0))
-    variance = alike * (1 - alike) / (4 * F.least(F.lit(BUCKETS), smaller)) + (1 - alike) / (4 * BUCKETS)
-    return 1 - differ / BUCKETS >= (1 + alike) / 2 - SLACK * F.sqrt(variance)
-
-
-def _across(members: DataFrame, nodes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a band's members in different components whose sizes and register bits fit.
-
-    A band's pairs of components come first, so that a component is never paired with itself; two components of one
-    node each are compared there, inside the join, so that loosely related texts leave no row.
-    """
-    shared = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-    held = staged(members.join(shared, "band", "left_semi").join(register_bits(nodes), "node"), "across")
-    groups = staged(held.groupBy("band", "component").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"), *(F.min(b).alias(b) for b in BITS)), "groups")
-    side = lambda s: groups.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("component", "low", "high", "size", *BITS)))
-    several = (F.col("l_size") > 1) | (F.col("r_size") > 1)
-    facing = side("l").join(side("r"), "band").where(
-        (F.col("l_component") < F.col("r_component")) & (100 * F.col("l_high") >= percent * F.col("r_low"))
-        & (100 * F.col("r_high") >= percent * F.col("l_low"))
-        & (several | _bits_agree("l_", "r_", F.least("l_low", "r_low"), percent))).select("band", "l_component", "r_component")
-    one = lambda s: held.select("band", F.col("component").alias(f"{s}_component"), *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", *BITS)))
-    pairs = facing.join(one("l"), ["band", "l_component"]).join(one("r"), ["band", "r_component"]).where(
-        (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & _bits_agree("l_", "r_", F.least("l_n", "r_n"), percent)).select(
-        F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+            if not batch.num_rows:
+                continue
+            keys, alone = batch.column("band").to_numpy().view(U64), batch.column("self").to_numpy(zero_copy_only=False)
+            left, right = parts(batch.column("l_held")), parts(batch.column("r_held"))
+            out = [np.zeros((0, 2), np.int64)]
+            for row in range(batch.num_rows):
+                (node_l, part_l, n_l, reg_l), (node_r, part_r, n_r, reg_r) = (
+                    [values[ends[row]: ends[row + 1]] for values in rest] for ends, *rest in (left, right))
+                fit = (part_l[:, None] != part_r) & (100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r))
+                if alone[row]:
+                    fit &= node_l[:, None] < node_r
+                i, j = np.nonzero(fit)
+                for at in range(0, len(i), 4096):
+                    a, b = i[at: at + 4096], j[at: at + 4096]
+                    shared = reg_l[a] == reg_r[b]
+                    first = shared.argmax(axis=1)
+                    here = shared.any(axis=1) & (mix(reg_l[a, first] ^ salt[first]) == keys[row])
+                    a, b = a[here], b[here]
+                    same = (reg_l[a].view(np.uint8) == reg_r[b].view(np.uint8)).mean(axis=1)
+                    likely = _likely(same, n_l[a], n_r[b], percent / 100)
+                    pair = np.stack((node_l[a[likely]], node_r[b[likely]]), axis=1)
+                    out.append(np.sort(pair, axis=1))
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return facing.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -235,15 +263,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     heads = staged(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("met"))
                    .where("met > 1").select("band", "head"), "heads")
     members = staged(bands.join(heads, "band"), "members")
-    links, tested = None, None
-    pairs = members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    for _ in range(2):
-        tested = staged(pairs, "pairs")
-        found = staged(confirmed(staged(estimated(tested, nodes, percent / 100), "likely"), rows, words, percent), "found")
-        links = found if links is None else links.union(found)
-        parts = components(links)
-        own = F.coalesce("component", "node").alias("component")
-        pairs = _across(members.join(parts, "node", "left").select("band", "node", "n", own), nodes, tested, percent)
+    tested = staged(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = staged(confirmed(staged(estimated(tested, nodes, percent / 100), "likely"), rows, words, percent), "found")
+    own = F.coalesce("component", "node").alias("component")
+    apart = staged(members.join(components(links), "node", "left").select("band", "node", "n", own), "apart")
+    others = staged(_across(apart, nodes, percent).join(tested, ["a", "b"], "left_anti"), "others")
+    parts = components(links.union(staged(confirmed(others, rows, words, percent), "found")))
     lows = sets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     named = staged(lows.join(least, "component").select("n_shingles", "set_a", "set_b", "component_id"), "named")

@@ -207,7 +207,7 @@ def test_registers_keep_similarity():
         own = rng.integers(0, 2**64, (2, max(1, size // 10)), dtype=np.uint64)
         sets = [np.unique(np.concatenate((shared, o))) for o in own]
         owner = np.concatenate([np.full(len(s), k) for k, s in enumerate(sets)])
-        table = hyperminhash.registers_of(owner, np.concatenate(sets), 2)
+        table, _ = hyperminhash.registers_of(owner, np.concatenate(sets), 2)
         true = size / (size + 2 * max(1, size // 10))
         assert abs((table[0] == table[1]).mean() - true) < 0.25
 
@@ -221,16 +221,36 @@ def test_blocks_of_a_band_meet_like_all_pairs(spark):
     table[edits] = rng.integers(0, 256, edits.sum())
     part = [(k // 15) * 15 if k % 15 < 9 else k for k in range(len(table))]
     size = [int(s) for s in rng.integers(300, 400, len(table))]
-    nodes = spark.createDataFrame([(k, size[k], bytearray(table[k].tobytes())) for k in range(len(table))],
-                                  "node long, n_shingles long, registers binary")
+    full = np.repeat(np.packbits(rng.random(base.shape) < 0.9, axis=1), 15, axis=0)
+    nodes = spark.createDataFrame([(k, size[k], bytearray(table[k].tobytes()), bytearray(full[k].tobytes())) for k in range(len(table))],
+                                  "node long, n_shingles long, registers binary, full binary")
     parts = spark.createDataFrame(list(enumerate(part)), "node long, component long")
     members = hyperminhash.band_keys(nodes).join(parts, "node").select("band", "node", "n", "component")
     longs, want = table.view(np.uint64), set()
     for a, b in itertools.combinations(range(len(table)), 2):
-        fits = part[a] != part[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (longs[a] == longs[b]).any()
-        if fits and hyperminhash._likely(np.array([(table[a] == table[b]).mean()]), np.array([size[a]]), np.array([size[b]]), 0.8)[0]:
+        left, right = ((np.array([size[k]]), longs[[k]], full[[k]].view(np.uint64)) for k in (a, b))
+        if part[a] != part[b] and (longs[a] == longs[b]).any() and hyperminhash._likely(left, right, 80)[0]:
             want.add((a, b))
     assert len(want) > 50
     for block in (4, 128):
         got = [tuple(r) for r in hyperminhash._across(members, nodes, 80, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("size", [3, 20, 60, 300, 2000])
+def test_no_similar_pair_is_ruled_out_by_its_registers(size):
+    """Differing own registers never count more than the shingles that are not shared."""
+    rng = np.random.default_rng(size)
+    ruled = 0
+    for alone in range(0, max(2, size // 3), max(1, size // 40)):
+        shared = rng.integers(0, 2**64, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((shared, rng.integers(0, 2**64, alone, dtype=np.uint64)))) for _ in range(2)]
+        owner = np.repeat([0, 1], [len(s) for s in sets])
+        table, full = hyperminhash.registers_of(owner, np.concatenate(sets), 2)
+        bits, longs = np.packbits(full, axis=1).view(np.uint64), table.view(np.uint64)
+        left, right = ((np.array([len(sets[k])]), longs[[k]], bits[[k]]) for k in (0, 1))
+        likely = hyperminhash._likely(left, right, 85)[0]
+        true = 100 * size / (size + 2 * alone)
+        assert likely or true < 85
+        ruled += not likely
+    assert ruled or size < 20

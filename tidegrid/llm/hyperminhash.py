@@ -27,10 +27,15 @@ BUCKETS, BUCKET_BITS, ZEROS, MANTISSA = 512, 9, 15, 4
 BANDS = 64
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be confirmed.
 SLACK = 5.0
+#: Sizes of sets, their registers and the bits of the own ones, both as longs.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def registers_of(owner: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """(n, 512) one-byte registers of sets given as ordered (owner, hash); rows of empty sets mean nothing."""
+def registers_of(owner: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 512) one-byte registers of sets given as ordered (owner, hash), and which are the bucket's own.
+
+    Rows of empty sets mean nothing.
+    """
     bucket = (names >> U64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(names), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
@@ -42,7 +47,7 @@ def registers_of(owner: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
     table, full = np.zeros((n, BUCKETS), np.uint8), np.zeros((n, BUCKETS), bool)
     at = (owner[first], bucket[first])
     table[at], full[at] = value, True
-    return _borrow(table, full)
+    return _borrow(table, full), full
 
 
 @lru_cache(maxsize=1)
@@ -81,8 +86,8 @@ def _borrow(table: np.ndarray, full: np.ndarray, few: int = 64) -> np.ndarray:
 
 
 def sketch(rows: DataFrame, words: int) -> DataFrame:
-    """Per row of (row, text): n_shingles, a 128-bit name of its set (two longs), and its registers."""
-    schema = "row long, n_shingles long, set_a long, set_b long, registers binary"
+    """Per row of (row, text): n_shingles, a 128-bit name of its set (two longs), its registers, and a bit for each that is no borrowed one."""
+    schema = "row long, n_shingles long, set_a long, set_b long, registers binary, full binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +95,14 @@ def sketch(rows: DataFrame, words: int) -> DataFrame:
                 n = part.num_rows
                 owner, names = shingle_sets(*text_buffer(part.column("text")), words)
                 count = np.bincount(owner, minlength=n)
-                table = registers_of(owner, names, n)
+                table, full = registers_of(owner, names, n)
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array(count, pa.int64()),
                     pa.array(sums_by(owner, mix(names), n).view(np.int64)),
                     pa.array(sums_by(owner, mix(names ^ U64(0x5DEECE66D)), n).view(np.int64)),
-                    pa.array([r.tobytes() for r in table], pa.binary())],
-                    names=["row", "n_shingles", "set_a", "set_b", "registers"])
+                    pa.array([r.tobytes() for r in table], pa.binary()),
+                    pa.array([r.tobytes() for r in np.packbits(full, axis=1)], pa.binary())],
+                    names=["row", "n_shingles", "set_a", "set_b", "registers", "full"])
 
     return rows.select("row", "text").mapInArrow(run, schema)
 
@@ -116,33 +122,42 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("n_shingles").cast("int").alias("n"), "registers").mapInArrow(run, "band long, node long, n int")
 
 
-def _likely(same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the share of equal registers leaves the similarity of two sets not clearly below the threshold."""
-    big, small = np.maximum(n_a, n_b), np.minimum(n_a, n_b)
+def _longs(column: pa.Array, width: int) -> np.ndarray:
+    return text_buffer(column)[0].view(U64).reshape(-1, width)
+
+
+def _likely(left: Side, right: Side, percent: int) -> np.ndarray:
+    """Whether sets may be as similar as wanted, row by row of (n, registers, full).
+
+    Where the own registers of a bucket differ, or only one set has any, the smaller of the two least hashes is
+    in one set alone. So many buckets, so many shingles at least that are not shared: this bound is exact, and
+    sharp for small sets. Then the share of equal registers less the equal ones that chance gives (truncated
+    hashes of unequal minima collide) estimates Jaccard, no surer than the number of shingles or registers allows.
+    """
+    (n_a, reg_a, full_a), (n_b, reg_b, full_b) = left, right
+    big, small, threshold = np.maximum(n_a, n_b), np.minimum(n_a, n_b), percent / 100
+    unequal = reg_a.view(np.uint8).reshape(-1, BUCKETS) != reg_b.view(np.uint8).reshape(-1, BUCKETS)
+    both, either = full_a & full_b, full_a ^ full_b
+    apart = np.bitwise_count((np.packbits(unequal, axis=1).view(U64) & both) | either).sum(axis=1, dtype=np.int64)
     ratio = big / small
     floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(big, BUCKETS))
     chance = 0.1699194871597391 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
-    return (same - chance) / (1 - chance) >= floor
+    near = (1 - unequal.mean(axis=1) - chance) / (1 - chance) >= floor
+    return near & (100 * small >= percent * big) & ((100 + percent) * apart <= (100 - percent) * (big + small))
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose estimated similarity is not clearly below the threshold.
-
-    The share of equal registers less the equal ones that chance gives (truncated hashes of
-    unequal minima collide) estimates Jaccard. Sizes exclude a pair exactly. The estimate is
-    no surer than the number of shingles or registers allows, whichever is smaller.
-    """
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
+def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sizes and registers leave them likely."""
+    side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n_shingles", "registers", "full")))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
+        100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
-            likely = _likely((left == right).mean(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(likely))
+            if batch.num_rows:
+                left, right = ((batch.column(f"n_shingles_{s}").to_numpy(), _longs(batch.column(f"registers_{s}"), BANDS),
+                                _longs(batch.column(f"full_{s}"), BUCKETS // 64)) for s in "ab")
+                yield batch.select(["a", "b"]).filter(pa.array(_likely(left, right, percent)))
 
     return sized.mapInArrow(run, "a long, b long")
 
@@ -184,8 +199,8 @@ def _blocks(members: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         "band", "component", F.when(large, F.col("component")).alias("own"),
         F.ceil(F.when(large, F.col("count")).otherwise(F.col("rest")) / size).alias("blocks")), "plan")
     placed = members.join(plan, ["band", "component"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return placed.join(nodes.select("node", "registers"), "node").groupBy("band", "own", "block").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("node", "component", "n", "registers")).alias("held"))
+    return placed.join(nodes.select("node", "registers", "full"), "node").groupBy("band", "own", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("node", "component", "n", "registers", "full")).alias("held"))
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int, block: int = 128) -> DataFrame:
@@ -206,7 +221,7 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int, block: int = 128
         held = column.flatten()
         node, component, n = (held.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n"))
         ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
-        return ends, node, component, n, text_buffer(held.field("registers"))[0].view(U64).reshape(-1, BANDS)
+        return ends, node, component, n, _longs(held.field("registers"), BANDS), _longs(held.field("full"), BUCKETS // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=U64) + U64(77))
@@ -217,7 +232,7 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int, block: int = 128
             left, right = parts(batch.column("l_held")), parts(batch.column("r_held"))
             out = [np.zeros((0, 2), np.int64)]
             for row in range(batch.num_rows):
-                (node_l, part_l, n_l, reg_l), (node_r, part_r, n_r, reg_r) = (
+                (node_l, part_l, n_l, reg_l, full_l), (node_r, part_r, n_r, reg_r, full_r) = (
                     [values[ends[row]: ends[row + 1]] for values in rest] for ends, *rest in (left, right))
                 fit = (part_l[:, None] != part_r) & (100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r))
                 if alone[row]:
@@ -229,8 +244,7 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int, block: int = 128
                     first = shared.argmax(axis=1)
                     here = shared.any(axis=1) & (mix(reg_l[a, first] ^ salt[first]) == keys[row])
                     a, b = a[here], b[here]
-                    same = (reg_l[a].view(np.uint8) == reg_r[b].view(np.uint8)).mean(axis=1)
-                    likely = _likely(same, n_l[a], n_r[b], percent / 100)
+                    likely = _likely((n_l[a], reg_l[a], full_l[a]), (n_r[b], reg_r[b], full_r[b]), percent)
                     pair = np.stack((node_l[a[likely]], node_r[b[likely]]), axis=1)
                     out.append(np.sort(pair, axis=1))
             found = np.concatenate(out)
@@ -258,13 +272,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = staged(sketched.where("n_shingles > 0").join(rows.select("row", "doc_id"), "row")
                   .groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "sets")
     nodes = staged(sketched.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
-                   .select(F.col("row").alias("node"), "n_shingles", "registers"), "nodes")
+                   .select(F.col("row").alias("node"), "n_shingles", "registers", "full"), "nodes")
     bands = band_keys(nodes)
     heads = staged(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("met"))
                    .where("met > 1").select("band", "head"), "heads")
     members = staged(bands.join(heads, "band"), "members")
     tested = staged(members.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = staged(confirmed(staged(estimated(tested, nodes, percent / 100), "likely"), rows, words, percent), "found")
+    links = staged(confirmed(staged(estimated(tested, nodes, percent), "likely"), rows, words, percent), "found")
     own = F.coalesce("component", "node").alias("component")
     apart = staged(members.join(components(links), "node", "left").select("band", "node", "n", own), "apart")
     others = staged(_across(apart, nodes, percent).join(tested, ["a", "b"], "left_anti"), "others")

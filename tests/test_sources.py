@@ -362,3 +362,21 @@ class Elsewhere:
 def test_a_cluster_must_name_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Elsewhere, "x")
+
+
+def test_a_set_of_outputs_appears_whole_or_not_at_all(spark, tmp_path):
+    good = spark.createDataFrame([("x", 1, "a"), ("x", 1, "a"), ("y", 2, None)], "part string, k long, v string")
+    bad = good.select("k", F.raise_error(F.lit("broken")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_set({"first": (good, ["part"]), "second": (good, []), "third": (bad, [])}, str(tmp_path / "set"))
+    assert list(tmp_path.iterdir()) == []
+    paths = sinks.write_set({"first": (good, ["part"]), "none": (good.where("false"), [])}, str(tmp_path / "set"))
+    assert [p.name for p in tmp_path.iterdir()] == ["set"] and spark.read.parquet(paths["first"]).count() == 3
+    with pytest.raises(ContractError, match="exists"):
+        sinks.write_set({"first": (good, [])}, str(tmp_path / "set"))
+    check = {r.output: (r.expected, r.found, r.same) for r in sinks.check_set(spark, str(tmp_path / "set"), {"first": good.schema, "none": good.schema}).collect()}
+    assert check == {"first": (3, 3, True), "none": (0, 0, True)}
+    sinks.write_new(good.limit(1), str(tmp_path / "more"))
+    next((tmp_path / "more").glob("*.parquet")).rename(tmp_path / "set" / "none" / "extra.parquet")
+    after = sinks.check_set(spark, str(tmp_path / "set"), {"none": good.schema}).where("output = 'none'").first()
+    assert (after.expected, after.found, after.same) == (0, 1, False)

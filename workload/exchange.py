@@ -161,6 +161,19 @@ def write_split_manifests(spark, d):
     return out
 
 
+@query("split_manifest_contents", sql("v_win", """
+WITH p AS (SELECT parent_id, list_sort(list(window_index)) = [0,1,2,3,4,5,6,7] AND bool_and(valid) AS c FROM v_win GROUP BY parent_id), n AS (
+SELECT 'windows' AS output, count(*) AS n FROM v_win WHERE valid UNION ALL SELECT 'parents', count(*) FROM p WHERE c
+UNION ALL SELECT 'excluded', count(*) FROM v_win WHERE NOT valid UNION ALL SELECT 'complete_parents', count(*) FROM p WHERE c)
+SELECT output, n AS expected, n AS found, true AS same FROM n"""))
+def split_manifest_contents(spark, d):
+    """The four outputs of a set, read back and held against the rows and checksums of its manifest."""
+    windows, out = v_win(spark, d), shared_folder(spark, "splits")
+    parents = grid.parent_manifest(windows)
+    sinks.write_split_manifests(windows, parents, out)
+    return sinks.check_set(spark, out, {"windows": windows.schema, "excluded": windows.schema, "parents": parents.schema, "complete_parents": parents.schema})
+
+
 # -- S16, S17, S19 ------------------------------------------------------------------------------
 
 @query("export_feature_package", sql("v_tok", """

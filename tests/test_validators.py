@@ -90,6 +90,26 @@ def test_rules_across_rows(rows):
     assert validate(rows, conflict) == [("PARENT_LABEL_CONFLICT", 3, ""), ("PARENT_LABEL_CONFLICT", 4, "")]
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_rules_across_rows_do_not_depend_on_chunks(rows, chunk):
+    """One subject and one sample id hold most rows; errors come from plain loops over the rows."""
+    spots = [(f"s{i % 3 or i}", "D" if i % 4 else "E", i // 6, i // 4 % 2 + i % 5 // 4, "train" if i % 7 else "val") for i in range(40)]
+    data = [(n, s, who, f"{who}_A", split, "video", time, None, parent, float(score))
+            for n, (s, who, time, score, split) in enumerate(spots) for parent in [time // 2]]
+    state = rows(data, "row_no long, sample_id string, subject_id string, session_id string, split string, modality string, "
+                       "p_window_start_ms long, __at int, p_label_start_ms long, p_kss_score double")
+    want, last = [], {}
+    for n, s, who, session, split, _, time, _, parent, score in data:
+        for code, key, value in [("DUPLICATE_SAMPLE_ID", (s,), None), ("SUBJECT_SPLIT_LEAKAGE", (who,), split),
+                                 ("PARENT_LABEL_CONFLICT", (who, session, parent), score), ("DUPLICATE_WINDOW", (who, session, time), None)]:
+            if (code, key) in last and (value is None or last[code, key] != value):
+                want.append((code, n, ""))
+            last[code, key] = value
+    assert len({w[0] for w in want}) == 4
+    got = V._order_errors(state, V.metadata_rules("fatigue"), "fatigue", chunk)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_leakage_only_counts_rows_that_got_that_far(rows):
     leak = windows(3)
     leak[1]["split"] = leak[2]["split"] = "val"

@@ -23,8 +23,9 @@ from tidegrid.operators.features import (
     bundle_rules, descriptor_rules, fixed_grid_codes, telemetry_value_codes, time_support_codes, union_ratio,
 )
 from tidegrid.operators.grid import full_grid_check, index_set_is_full, stride_check
-from tidegrid.operators.ordering import changed_from_previous, flag_repeats
+from tidegrid.operators.ordering import flag_repeats
 from tidegrid.operators.pairing import child_binding, id_set_difference
+from tidegrid.plans.chunked import CHUNK_ROWS, cut, with_history
 from tidegrid.plans.guards import ContractError, LockedSplitError
 from tidegrid.plans.rules import Rule, broken_rows, first_broken, passed, rule_name
 from tidegrid.session import stage
@@ -180,33 +181,65 @@ def validate_metadata(rows: DataFrame, task: str, bundles: DataFrame | None = No
     if task == "fatigue":
         kept += ["p_label_start_ms", "p_kss_score"]
     state = stage(judged.select(*kept), "verdicts")
-    bad = state.where("__at is not null")
-    errors.append(_error(bad, "INVALID_ROW", rule_name(F.col("__at"), rules)))
-    got = lambda name: state.where(passed("__at", name, rules))
-    errors.append(_error(
-        flag_repeats(got("identity_fields"), ["sample_id"]).where("is_repeat"), "DUPLICATE_SAMPLE_ID"))
-    errors.append(_error(
-        changed_from_previous(got("split"), ["subject_id"], "split").where("changed"), "SUBJECT_SPLIT_LEAKAGE"))
+    errors += [_row_errors(state, rules, task), _order_errors(state, rules, task)]
     if task == "fatigue":
-        wrong = ~F.coalesce(ids.fatigue_split(F.col("subject_id")) == F.col("split"), F.lit(False))
-        errors.append(_error(got("split").where(wrong), "WRONG_ULDD_SPLIT"))
-        mapped = got("kss_mapping")
-        errors.append(_error(changed_from_previous(
-            mapped, ["subject_id", "session_id", "p_label_start_ms"], "p_kss_score").where("changed"),
-            "PARENT_LABEL_CONFLICT"))
-        errors.append(_error(flag_repeats(
-            mapped, ["subject_id", "session_id", "p_window_start_ms"]).where("is_repeat"), "DUPLICATE_WINDOW"))
-        odd = stride_check(mapped, ["subject_id", "session_id"], "p_window_start_ms").where("not regular")
+        odd = stride_check(state.where(passed("__at", "kss_mapping", rules)), ["subject_id", "session_id"], "p_window_start_ms").where("not regular")
         errors.append(_file_error("NONSTANDARD_STRIDE", odd))
-    kinds = got("modality").agg(F.count_distinct("modality").alias("n"))
-    errors.append(_file_error("MIXED_MODALITIES", kinds.where("n > 1")))
-    errors.append(_file_error("EMPTY_METADATA", rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0")))
+    kind = F.when(passed("__at", "modality", rules), F.col("modality"))
+    whole = state.agg(F.count(F.lit(1)).alias("n"), F.min(kind).alias("low"), F.max(kind).alias("high"))
+    facts = F.array(F.when(F.col("low") != F.col("high"), "MIXED_MODALITIES"), F.when(F.col("n") == 0, "EMPTY_METADATA"))
+    errors.append(whole.select(F.explode(F.array_compact(facts)).alias("code")).select(
+        "code", F.lit(None).cast("bigint").alias("row_no"), F.lit("").alias("rule")))
     out = errors[0]
     for part in errors[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _row_errors(state: DataFrame, rules: Sequence[Rule], task: str) -> DataFrame:
+    """Errors that a row shows by itself."""
+
+    def error(when: Column, code: str, rule: Column) -> Column:
+        return F.when(when, F.struct(F.lit(code).alias("code"), F.col("row_no").cast("bigint").alias("row_no"), rule.alias("rule")))
+
+    found = [error(F.col("__at").isNotNull(), "INVALID_ROW", rule_name(F.col("__at"), rules))]
+    if task == "fatigue":
+        wrong = ~F.coalesce(ids.fatigue_split(F.col("subject_id")) == F.col("split"), F.lit(False))
+        found.append(error(passed("__at", "split", rules) & wrong, "WRONG_ULDD_SPLIT", F.lit("")))
+    return state.select(F.inline(F.array_compact(F.array(*found))))
+
+
+def _order_errors(state: DataFrame, rules: Sequence[Rule], task: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Errors against the row before with the same key, the rules told apart by a tag, in one layout of the rows.
+
+    A key is a tag, two names and a time; cut by row number, so no key fills a task. A
+    ``value`` is what must not change along the key; where any second row is an error, it is null in both.
+    """
+    none, text = F.lit(None).cast("double"), F.lit("")
+    split = F.array_position(F.array(*[F.lit(s) for s in C.SPLITS]), F.col("split")).cast("double")
+    checks = [
+        ("DUPLICATE_SAMPLE_ID", "identity_fields", F.col("sample_id"), text, F.lit(0), none),
+        ("SUBJECT_SPLIT_LEAKAGE", "split", F.col("subject_id"), text, F.lit(0), split),
+    ]
+    if task == "fatigue":
+        place = (F.col("subject_id"), F.col("session_id"))
+        checks += [
+            ("PARENT_LABEL_CONFLICT", "kss_mapping", *place, F.col("p_label_start_ms"), F.col("p_kss_score")),
+            ("DUPLICATE_WINDOW", "kss_mapping", *place, F.col("p_window_start_ms"), none),
+        ]
+    entries = [
+        F.when(passed("__at", after, rules), F.struct(
+            F.lit(tag).alias("tag"), one.alias("one"), two.alias("two"), time.cast("bigint").alias("time"),
+            F.col("row_no").cast("bigint").alias("row_no"), value.alias("value")))
+        for tag, (_, after, one, two, time, value) in enumerate(checks)
+    ]
+    laid_out = state.select(F.inline(F.array_compact(F.array(*entries))))
+    seen = with_history(laid_out, ["tag", "one", "two", "time"], ["row_no"], cut("row_no", chunk_rows), ["row_no", "value"], "before")
+    broken = F.col("before.row_no").isNotNull() & F.coalesce(F.col("before.value") != F.col("value"), F.col("value").isNull())
+    code = F.get(F.array(*[F.lit(c[0]) for c in checks]), F.col("tag"))
+    return seen.where(broken).select(code.alias("code"), "row_no", F.lit("").alias("rule"))
+
+
 def validation_report(errors: DataFrame) -> DataFrame:
     """PASS or FAIL with the number of errors per code, in one row."""
     return errors.groupBy("code").agg(F.count(F.lit(1)).alias("n")).agg(

@@ -25,6 +25,25 @@ def test_parent_with_one_invalid_window(rows):
     assert got["qc_reason_codes"] == ["A", "B"] and got["subject_id"] == "D"
 
 
+def test_known_codes_are_merged_as_bits(rows):
+    data = [window(i, parent=p, codes=[c for k, c in enumerate(C.WINDOW_REASONS) if (i * 7 + p) % (k + 3) == 0] * (1 + i % 2))
+            for p in range(9) for i in range(8)]
+    data.append((*window(0, parent=20)[:-1], None))
+    plain, bits = (grid.parent_manifest(rows(data, WINDOW), known=k) for k in (None, C.WINDOW_REASONS))
+    assert sorted(plain.collect(), key=str) == sorted(bits.collect(), key=str)
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+    for codes in (["OTHER"], [C.UNUSABLE_GAP, "OTHER"], [None]):
+        with pytest.raises(Exception, match="code outside the list"):
+            grid.parent_manifest(rows([window(0, codes=codes)], WINDOW), known=C.WINDOW_REASONS).collect()
+
+
+def test_windows_without_a_parent_are_counted(rows):
+    lost = window(3)
+    got = grid.parent_manifest(rows([window(0), (*lost[:2], None, *lost[3:])], WINDOW))
+    assert {(r["parent_id"], r["subject_id"], r["window_count"]) for r in got.collect()} == {("D-p0", "D", 1), (None, None, 1)}
+
+
 @pytest.mark.parametrize("indices,complete", [
     (range(8), True), (range(7), False), ([0, 1, 2, 3, 4, 5, 6, 6], False), ([0, 1, 2, 3, 4, 5, 6, 8], False), ([*range(8), 7], False)])
 def test_index_set(rows, indices, complete):

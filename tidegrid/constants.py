@@ -55,6 +55,7 @@ CLOCK_PENDING = "CLOCK_MAPPING_PENDING_AFTER_DISCONTINUITY"
 RAW_COVERAGE_LOW = "RAW_COVERAGE_BELOW_95_PERCENT"
 FEATURE_COVERAGE_LOW = "FEATURE_COVERAGE_BELOW_95_PERCENT"
 UNUSABLE_GAP = "CONTINUOUS_UNUSABLE_GAP_EXCEEDS_1S"
+WINDOW_REASONS = (SOURCE_MISSING, CLOCK_PENDING, RAW_COVERAGE_LOW, FEATURE_COVERAGE_LOW, UNUSABLE_GAP)
 
 SYNC_ALIGNED = "provider_documented_aligned"
 SYNC_MISMATCH = "unverified_duration_mismatch"

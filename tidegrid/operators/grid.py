@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid import constants as C
@@ -91,13 +92,26 @@ def index_set_is_full(index: Column, size: int) -> Column:
         (F.count(F.lit(1)) == size) & (bits == (1 << size) - 1), F.lit(False))
 
 
-def merged_codes(codes: Column) -> Column:
-    """Aggregate: sorted union of code arrays.
+def merged_codes(codes: Column, known: Sequence[str] | None = None) -> Column:
+    """Aggregate: sorted union of code arrays; null arrays add nothing.
 
-    The buffer holds distinct arrays of a small fixed code list, so its size
-    does not grow with the group.
+    With ``known`` (up to 62 codes) the buffer is one number with a bit per code, and
+    a code outside the list, null too, stops the query. Without it the buffer holds the distinct arrays.
     """
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(codes))))
+    if known is None:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(codes))))
+    names = sorted(set(known))
+    if len(names) > 62:
+        raise ValueError("a mask holds at most 62 codes")
+    mask = F.lit(0).cast("bigint")
+    for i, name in enumerate(names):
+        mask = mask + F.when(F.array_contains(codes, name), F.lit(1 << i)).otherwise(F.lit(0))
+    listed = F.array(*[F.lit(n) for n in names])
+    # Most arrays name each code once, and then as many as there are bits: only others are searched for unknown codes.
+    sound = (F.size(codes) == F.bit_count(mask)) | (F.size(F.array_except(codes, listed)) == 0)
+    text = F.concat(F.lit("code outside the list: "), F.to_json(codes))
+    merged = F.bit_or(F.when(codes.isNull(), F.lit(0).cast("bigint")).when(sound, mask).otherwise(F.raise_error(text).cast("bigint")))
+    return F.array_compact(F.array(*[F.when(merged.bitwiseAND(F.lit(1 << i)) != 0, name) for i, name in enumerate(names)]))
 
 
 _PARENT_IDENTITY = (
@@ -108,25 +122,27 @@ _PARENT_IDENTITY = (
 
 def parent_manifest(windows: DataFrame, parent: str = "parent_id", order: str = "row_no",
                     size: int = C.WINDOWS_PER_PARENT,
-                    identity: Sequence[str] = _PARENT_IDENTITY) -> DataFrame:
+                    identity: Sequence[str] = _PARENT_IDENTITY, known: Sequence[str] | None = None) -> DataFrame:
     """One row per parent: identity of its first row, counts, completeness, reasons.
 
-    Needs ``window_index``, ``valid`` (boolean) and ``qc_reason_codes`` (array).
+    Needs ``window_index``, ``valid`` (boolean) and ``qc_reason_codes`` (array, of the codes in ``known`` if given).
+    The aggregate holds numbers only if the codes are known. The first rows are found apart from it, one per parent
+    and task before the shuffle, and both sides meet where the parents already are. Windows without a
+    parent (null) form one row without identity.
     """
     full = index_set_is_full(F.col("window_index"), size)
-    return (
-        windows.groupBy(parent).agg(
-            F.min_by(F.struct(*identity), F.col(order)).alias("__first"),
-            F.count(F.lit(1)).alias("window_count"),
-            F.count_if(F.col("valid")).alias("valid_window_count"),
-            full.alias("__full"),
-            merged_codes(F.col("qc_reason_codes")).alias("qc_reason_codes"),
-        )
-        .select(
-            parent, "__first.*", "window_count", "valid_window_count",
-            (F.col("__full") & (F.col("valid_window_count") == size)).alias("complete_for_240s"),
-            "qc_reason_codes",
-        )
+    facts = windows.groupBy(parent).agg(
+        F.count(F.lit(1)).alias("window_count"),
+        F.count_if(F.col("valid")).alias("valid_window_count"),
+        full.alias("__full"),
+        merged_codes(F.col("qc_reason_codes"), known).alias("qc_reason_codes"),
+    )
+    place = F.row_number().over(W.partitionBy(parent).orderBy(F.col(order).asc_nulls_last()))
+    first = windows.select(parent, order, *[c for c in identity if c not in (parent, order)]).withColumn("__place", place).where("__place = 1")
+    return facts.join(first.select(parent, F.struct(*identity).alias("__first")), parent, "left").select(
+        parent, "__first.*", "window_count", "valid_window_count",
+        (F.col("__full") & (F.col("valid_window_count") == size)).alias("complete_for_240s"),
+        "qc_reason_codes",
     )
 
 

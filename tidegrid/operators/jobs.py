@@ -45,7 +45,7 @@ def build_telemetry_dataset(labels: DataFrame, rows: DataFrame,
     outside = labels.where(ids.fatigue_split(F.col("subject_id")).isNull()).select("session_id").distinct()
     return TelemetryDataset(
         judged,
-        grid.parent_manifest(judged, order="window_start_ms"),
+        grid.parent_manifest(judged, order="window_start_ms", known=C.WINDOW_REASONS),
         coverage.subject_table(judged),
         telemetry.clock_anomalies(rows, settings.clock_jump_s),
         outside,

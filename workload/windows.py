@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegrid import constants as C
 from tidegrid.operators import coverage, grid, jobs, ordering
 from tidegrid.operators.metrics import majority_class
 from tidegrid.operators.pairing import pair_modalities
@@ -64,7 +65,7 @@ SELECT parent_id, subject_id, session_id, split, label_start_ms, label_end_ms, k
   list_sort(list(window_index)) = [0,1,2,3,4,5,6,7] AND count(*) FILTER (WHERE valid) = 8 AS complete_for_240s,
   coalesce(array_to_string(list_sort(list_distinct(flatten(list(qc_reason_codes)))), ';'), '') AS qc_reason_codes FROM v_win GROUP BY ALL"""))
 def parent_manifest(spark, d):
-    return grid.parent_manifest(v_win(spark, d)).withColumn("qc_reason_codes", F.array_join("qc_reason_codes", ";"))
+    return grid.parent_manifest(v_win(spark, d), known=C.WINDOW_REASONS).withColumn("qc_reason_codes", F.array_join("qc_reason_codes", ";"))
 
 
 _PAIRED = """
@@ -100,7 +101,7 @@ def complete8_eligibility(spark, d):
 @query("merge_reasons", sql("v_win", """
 SELECT subject_id, array_to_string(list_sort(list_distinct(flatten(list(qc_reason_codes)))), ';') AS codes FROM v_win GROUP BY subject_id"""))
 def merge_reasons(spark, d):
-    return v_win(spark, d).groupBy("subject_id").agg(grid.merged_codes(F.col("qc_reason_codes")).alias("c")).select(
+    return v_win(spark, d).groupBy("subject_id").agg(grid.merged_codes(F.col("qc_reason_codes"), C.WINDOW_REASONS).alias("c")).select(
         "subject_id", F.array_join("c", ";").alias("codes"))
 
 

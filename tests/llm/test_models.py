@@ -110,6 +110,18 @@ def test_languages_of_held_out_rows(spark, empty):
     assert language_id.language_report(empty.drop("score", "kept")).count() == 0
 
 
+def test_languages_of_rows_without_an_id_and_of_repeated_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(SYLLABLES[lang].split()) * 2 for _ in range(20)), lang)
+            for i, lang in enumerate(sorted(SYLLABLES) * 40)]
+    rows += [rows[5]] * 3 + [(None, rows[6][1], rows[6][2]), (None, None, None)]
+    got = language_id.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    again = [r for r in got if r.doc_id == 5]
+    assert len(again) == 4 and len({(r.lang_pred, r.score) for r in again}) == 1
+    assert sorted(r.lang_pred for r in got if r.doc_id is None) == sorted([rows[6][2], "und"])
+
+
 def test_kneser_ney_shares_add_up(spark):
     """Over all next characters seen anywhere, a context's probabilities stay under one and near it."""
     rows = spark.createDataFrame([(1, "x", "abab abba baab abc cab"), (2, "x", "bca acb")], "doc_id long, lang string, text string")
@@ -186,6 +198,15 @@ def test_few_or_no_neighbours(spark):
     assert nn_descent.neighbour_report(table.limit(0)).count() == 0
 
 
+def test_vectors_that_take_no_part(spark):
+    """Null, zero, empty and non-finite vectors are neither queries nor candidates; so are rows without an id."""
+    nan, inf = float("nan"), float("inf")
+    bad = [None, [0.0, 0.0], [], [None, 1.0], [nan, 1.0], [inf, 1.0]]
+    rows = [(0, [1.0, 0.0]), (7, [3.0, 4.0]), (None, [1.0, 0.0]), *[(200 + i, v) for i, v in enumerate(bad)], (300, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in nn_descent.neighbour_report(table).collect()) == [(0, 1, 7, 20 ** 0.5)]
+
+
 def counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

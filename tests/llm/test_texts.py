@@ -43,6 +43,14 @@ def test_long_texts_are_cut_only_where_no_match_spans(texts):
             assert bpe.encode_text(encoding, public_tokenizers.PATTERN, text, size) == encoding.encode_ordinary(text)
 
 
+def test_columns_named_like_the_ids_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "one two", "old", 5), (None, None, "old", 6)], "doc_id long, text string, ids string, decoded int")
+    encoded = bpe.encode(rows, RANKS)
+    assert sorted(encoded.columns) == ["decoded", "doc_id", "ids"]  # the text is left out, as documented
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(encoded, RANKS).collect()}
+    assert got == {1: b"one two", None: b""}
+
+
 def test_no_rows_no_tokens(empty):
     assert bpe.token_digests(empty, RANKS).count() == 0
 

@@ -31,7 +31,7 @@ BEAM, REMEMBERED = 150, 600
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, vector) without null, zero or empty vectors and those with null or non-finite components.
+    """(vec_id, vector) without null ids, without null, zero or empty vectors and those with null or non-finite components.
 
     Vectors of another length than the most frequent one (the longer, if tied) take no part. Extra columns are left.
     """

@@ -6,6 +6,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidegrid.operators import features as B
 from tidegrid.operators import telemetry as T
 from tidegrid.plans.guards import ContractError
 from tidegrid.session import shared_folder, stage
-from tidegrid.sources import files, sinks, tables
+from tidegrid.sources import files, records, sinks, tables
 
 
 def test_manifest_with_mark_blank_and_short_lines(spark, tmp_path):
@@ -119,6 +120,35 @@ def test_a_table_without_records_stops_the_read(spark, tmp_path, text):
         tables.read_manifest(spark, str(path))
 
 
+def test_lines_stay_in_the_tasks_that_read_them(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("k,x\n" + "".join(f'{i},"two\nlines"\n' for i in range(50)))
+    table = tables.read_manifest(spark, str(path))
+    assert table.where("malformed").count() == 0 and table.count() == 50
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "__line" not in plan
+
+
+def test_a_record_that_grows_too_long_comes_in_pieces(monkeypatch):
+    monkeypatch.setattr(records, "RECORD_LIMIT", 40)
+    lines = [b'1,"open', *[b"0123456789"] * 20, b'end",z', b"2,b"]
+    flags = [(line.count(b'"') == 1, line.count(b'"') == 0) for line in lines]
+
+    def batches():
+        for at in range(0, len(lines), 3):
+            n = len(lines[at: at + 3])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(["f"] * n), pa.array([0] * n), pa.array([o for o, _ in flags[at: at + 3]]), pa.array([s for _, s in flags[at: at + 3]]),
+                pa.array([False] * n), pa.array([False] * n), pa.array([0] * n), pa.array(lines[at: at + 3], pa.binary())],
+                names=["__file", "__block", "__opens", "__stays", "__blank", "__quoted", "__records", "value"])
+
+    whole = [r for b in records._gather(True)(batches()) for r in b.to_pylist()]
+    pieces = [r for b in records._gather(False)(batches()) for r in b.to_pylist()]
+    assert [(r["record_no"], r["record"]) for r in whole] == [(2, b"2,b")]
+    assert {r["record_no"] for r in pieces} == {1} and [r["__piece"] for r in pieces] == list(range(len(pieces)))
+    assert b"\n".join(r["record"] for r in pieces) == b"\n".join(lines[:-1]) and max(len(r["record"]) for r in pieces) < 80
+
+
 def test_a_header_with_a_line_break(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text('k,"two\nlines"\n1,2\n')

@@ -129,6 +129,14 @@ def test_lines_stay_in_the_tasks_that_read_them(spark, tmp_path):
     assert "RepartitionByExpression" not in plan and "__line" not in plan
 
 
+def test_compressed_tables_are_read_back(spark, rows, tmp_path):
+    df = rows([(i, f'{i}\n"x"' if i % 3 else "") for i in range(200)], "k int, note string")
+    path = sinks.write_csv(df, str(tmp_path / "out"), "gzip")
+    assert list((tmp_path / "out").glob("*.csv.gz")) and not list((tmp_path / "out").glob("*.csv"))
+    back = tables.read_manifest(spark, path, ["k", "note"], numbered=False)
+    assert sorted((int(r.k), r.note, r.malformed) for r in back.collect()) == [(i, f'{i}\n"x"' if i % 3 else "", False) for i in range(200)]
+
+
 def test_a_record_that_grows_too_long_comes_in_pieces(monkeypatch):
     monkeypatch.setattr(records, "RECORD_LIMIT", 40)
     lines = [b'1,"open', *[b"0123456789"] * 20, b'end",z', b"2,b"]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -79,6 +80,22 @@ def test_pieces_have_the_tokenizer_ids(spark, docs, texts):
         assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
 
 
+def test_texts_to_pack_are_encoded_in_small_slices(spark, monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    seen, encode_all = [], packing.encode_all
+    monkeypatch.setattr(packing, "encode_all", lambda buffer, *rest: (seen.append(len(buffer)), encode_all(buffer, *rest))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([f"text {i} " * 9000 for i in range(60)])], names=["doc_id", "text"])
+    rows = [r for b in packing.token_pieces(Docs(), VOCABULARY)(iter([batch])) for r in b.to_pylist()]
+    assert sum(seen) == sum(len(t) for t in batch.column("text").to_pylist()) and max(seen) <= 1 << 20
+    assert {r["doc_id"] for r in rows} == set(range(60))
+
+
 def test_packing_is_gapless_and_tight(spark):
     rng = np.random.default_rng(3)
     sizes = np.concatenate((rng.integers(1, 65, 3000), [64] * 40, [33] * 200)).tolist()

@@ -14,6 +14,8 @@ from tidegrid.session import shared_folder
 
 #: Text bytes handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
+#: The same where every byte takes some seventy bytes of arrays for a moment.
+SMALL_SLICE = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +69,10 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """All batches in small slices; at the end the task gives its pooled memory back."""
+    for batch in batches:
+        yield from byte_slices(batch, column, SMALL_SLICE)
+    pa.default_memory_pool().release_unused()

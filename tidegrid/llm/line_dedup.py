@@ -20,28 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import byte_slices, dropped, staged, text_buffer
+from tidegrid.llm.common import byte_slices, dropped, small_slices, staged, text_buffer
 from tidegrid.llm.slots import COUNTS, SLOT_BITS, count_slots, slot_of, slot_table
 from tidegrid.llm.suffix_dedup import keyed
 from tidegrid.llm.textbytes import LOWER, U64, join_names, mix, span_hashes, sums_by, word_spans
 
-#: Text bytes handled at once: a slice needs some seventy times its size for a moment.
-SLICE = 1 << 20
-
-
-def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """All batches in small slices; at the end the task gives its pooled memory back."""
-    for batch in batches:
-        yield from byte_slices(batch, column, SLICE)
-    pa.default_memory_pool().release_unused()
-
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
     """The slot table of all words of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes() -> Iterator[np.ndarray]:
-            for part in _slices(batches):
+            for part in small_slices(batches):
                 buffer, offsets = text_buffer(part.column("text"))
                 yield span_hashes(buffer, *word_spans(buffer, offsets)[:2], LOWER)
         yield from count_slots(hashes())
@@ -104,7 +94,7 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
               + "".join(f"{b} long, " for b in ALL_BITS) + "words array<int>, places array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in small_slices(batches):
             buffer, offsets = text_buffer(part.column("text"))
             starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
             count = len(owner)
@@ -171,7 +161,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         wanted.select("key_a", "line").mapInArrow(mark, COUNTS)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in small_slices(batches):
             buffer, offsets = text_buffer(part.column("text"))
             starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
             key = part.column("key_a").to_numpy().view(U64)
@@ -189,7 +179,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     side = lambda s: found.select(F.col("id").alias(s), F.col("hashes").alias(f"h_{s}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, "h_earlier"):
+        for batch in small_slices(batches, "h_earlier"):
             owners, names = [], []
             for c in ("h_earlier", "h_later"):
                 names.append(np.frombuffer(b"".join(batch.column(c).to_pylist()), U64))

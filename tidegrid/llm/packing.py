@@ -25,14 +25,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import byte_slices, staged, text_buffer
+from tidegrid.llm.common import small_slices, staged, text_buffer
 from tidegrid.llm.textbytes import BYTE, mix, span_hashes
 
 CAPACITY = 2048
 #: Items that one task packs, about; and groups that meet in the next round.
 GROUP_ITEMS, FAN_IN = 50_000, 8
 #: Encoded chunks that a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _OTHER = mix(BYTE)
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -147,26 +147,25 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = load_tokenizer(tokenizer_file), {}
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for part in byte_slices(batch):
-                flat, count = encode_all(*text_buffer(part.column("text")), tokenizer, known)
-                raw, at = flat.tobytes(), 0
-                rows: list[tuple] = []
-                for i, n in enumerate(count.tolist()):
-                    own = raw[4 * at: 4 * (at + n)] + tail
-                    at, total = at + n, n + 1
-                    pieces = -(-total // capacity)
-                    end = total - capacity * (pieces - 1)
-                    start = 0
-                    for piece in range(pieces):
-                        held = own[4 * start: 4 * end]
-                        rows.append((i, piece, start, end - start, zlib.crc32(held), held))
-                        start, end = end, end + capacity
-                of, *columns = zip(*rows)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array(c, kind) for c, kind in zip(columns[: 4 + ids], kinds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns],
-                                                 names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids])
+        for part in small_slices(batches):
+            flat, count = encode_all(*text_buffer(part.column("text")), tokenizer, known)
+            raw, at = flat.tobytes(), 0
+            rows: list[tuple] = []
+            for i, n in enumerate(count.tolist()):
+                own = raw[4 * at: 4 * (at + n)] + tail
+                at, total = at + n, n + 1
+                pieces = -(-total // capacity)
+                end = total - capacity * (pieces - 1)
+                start = 0
+                for piece in range(pieces):
+                    held = own[4 * start: 4 * end]
+                    rows.append((i, piece, start, end - start, zlib.crc32(held), held))
+                    start, end = end, end + capacity
+            of, *columns = zip(*rows)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(columns[: 4 + ids], kinds)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns],
+                                             names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

@@ -186,6 +186,43 @@ def test_similar_lines_go(docs, texts, empty):
     assert line_dedup.remove_similar_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 67, 80, 95])
+def test_similar_sets_share_a_key_of_their_prefixes(percent):
+    """Random sets with the most differences allowed, over words of all rarities; a word seen once is never common."""
+    rng = np.random.default_rng(percent)
+    for _ in range(3000):
+        n = int(rng.integers(1, 40))
+        pool = rng.permutation(200).astype(np.uint64) + np.uint64(1 << 40)
+        code_of = rng.choice(rng.choice([1, 2, 20, 30, 31, 60], 3), 200)
+        m = int(rng.integers(n, 100 * n // percent + 1))
+        most = (100 * (n + m)) // (100 + percent)
+        common = -(-percent * (n + m) // (100 + percent))
+        if common > min(n, m, most):
+            continue
+        both = pool[:common]
+        code_of[:common] = np.maximum(code_of[:common], 2)
+        sides = [np.r_[0:common, common: n], np.r_[0:common, n: n + m - common]]
+        keys = []
+        for at in sides:
+            line, hashes, codes = line_dedup._distinct(np.zeros(len(at), int), pool[at], code_of[at].astype(np.uint8))
+            once, some = np.array([(codes <= 1).sum()]), np.array([((codes > 1) & (codes <= line_dedup.SOME)).sum()])
+            held = np.arange(len(at)) <= line_dedup._prefix(np.array([len(at)]), once, some, percent, percent < 67)[0]
+            keys.append(set(line_dedup._keys(line, hashes, codes, percent < 67)[held & (codes > 1)].tolist()))
+        assert keys[0] & keys[1], (n, m, len(both))
+
+
+def test_lines_that_meet_no_similar_one_are_done_early(spark):
+    """Lines over the same twenty words share words, but few share two or three that are neighbours in rarity."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{rng.integers(0, 4000)}" for _ in range(20)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[0], "x " + lines[1]])], "doc_id long, text string")
+    rows = suffix_dedup.keyed(docs)
+    signed = line_dedup.staged(line_dedup._signatures(rows, line_dedup.word_rarity(rows), 80), "signed")
+    active = {r.doc_id for r in line_dedup._active(signed).collect()}
+    assert {0, 1, 400, 401} <= active and len(active) < 40
+    assert {r.doc_id for r in line_dedup.remove_similar_lines(docs).where("n_removed > 0").collect()} == {400, 401}
+
+
 def sets_of(texts, k):
     for text in texts:
         w = words(text)

@@ -1,9 +1,12 @@
 """Removal of lines similar to an earlier line: an exact set-similarity join over all lines.
 
-A line is the set of its words (A-Z folded). Words are ordered from rare to frequent; two
-lines of Jaccard similarity p share a word among the first n - ceil(p * n) + 1 of each
-(prefix filter). Pairs that meet there pass the length, positional and bitmap filters, which
-lose no similar pair, and are then verified on their full sets.
+A line is the set of its words (A-Z folded), ordered from rare to frequent. Its keys are runs
+of neighbouring words in that order, two words long or, from a frequent word on, three. Two
+lines of Jaccard similarity p differ in few words, and each such word breaks only the keys
+around it: so they share one of the first keys of each (prefix filter, ``_prefix``). Lines
+that share none with another set and have no copy are done after one aggregation. Pairs that
+meet pass the length and bitmap filters, which lose no similar pair, and are then verified on
+their full sets.
 
 Rarity comes from a table of fixed size: each word adds to one of 2**24 slots, and a slot
 holds one byte, about four steps per doubling. Any order of words gives the exact result; a
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import byte_slices, dropped, small_slices, staged, text_buffer
-from tidegrid.llm.slots import COUNTS, SLOT_BITS, count_slots, slot_of, slot_table
+from tidegrid.llm.slots import COUNTS, count_slots, marks, slot_of, slot_table
 from tidegrid.llm.suffix_dedup import keyed
 from tidegrid.llm.textbytes import LOWER, U64, join_names, mix, span_hashes, sums_by, word_spans
 
@@ -52,6 +55,21 @@ def _words_in_lines(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return starts, ends, line, owner, numbers - begin[owner]
 
 
+def _line_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, text and number of every line, those without a word too."""
+    breaks = np.flatnonzero(buffer == 10)
+    count = np.diff(np.searchsorted(breaks, offsets)) + 1
+    owner = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    starts, ends = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
+    last = np.cumsum(count) - 1
+    inner = np.ones(len(owner), bool)
+    inner[last] = False
+    starts[number == 0], starts[number > 0] = offsets[:-1], breaks + 1
+    ends[last], ends[inner] = offsets[1:], breaks
+    return starts, ends, owner, number
+
+
 def _distinct(line: np.ndarray, hashes: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """The distinct (line, hash), by line, then by code, then by hash."""
     rank = hashes if codes is None else (codes.astype(U64) << U64(56)) | (hashes >> U64(8))
@@ -70,28 +88,53 @@ def _place_name(key: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(join_names(key, line.astype(U64)))
 
 
-#: Bitmaps of a line's words: 128 bits for every line, and 512 more where over ``LONG`` words would fill those.
-LONG = 100
-SHORT_BITS, LONG_BITS = ["b0", "b1"], [f"c{k}" for k in range(8)]
-ALL_BITS = [*SHORT_BITS, *LONG_BITS]
+#: A bitmap of 256 bits of a line's words.
+BITS = ["b0", "b1", "b2", "b3"]
+#: Slot codes of words seen once, and of the words (up to about 256 times) that begin a key of two words.
+ONCE, SOME = 1, 30
 
 
-def _bitmaps(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-    """The words of each bitmap, line by line; zero in the long one of short lines."""
-    out = []
-    for place, width in ((hashes & U64(127), 2), (hashes >> U64(8) & U64(511), 8)):
-        bit, word = U64(1) << (place & U64(63)), place >> U64(6)
-        for k in range(width):
-            column = np.bitwise_or.reduceat(np.where(word == U64(k), bit, U64(0)), begin)
-            out.append(column if width == 2 else np.where(n > LONG, column, U64(0)))
-    return [pa.array(c.view(np.int64)) for c in out]
+def _bitmaps(hashes: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """The words of each bitmap, line by line."""
+    place = hashes & U64(255)
+    bit, word = U64(1) << (place & U64(63)), place >> U64(6)
+    return [pa.array(np.bitwise_or.reduceat(np.where(word == U64(k), bit, U64(0)), begin).view(np.int64)) for k in range(len(BITS))]
+
+
+def _keys(line: np.ndarray, hashes: np.ndarray, codes: np.ndarray, short: bool) -> np.ndarray:
+    """The key that begins at each word: the word alone if ``short`` or seen once, else with one or two words after it.
+
+    Behind the last word of a line come end marks, equal in all lines.
+    """
+    if short:
+        return hashes
+    after, owner = np.concatenate((hashes, np.zeros(2, U64))), np.concatenate((line, [-1, -1]))
+    second = np.where(owner[1:-1] == line, after[1:-1], U64(1))
+    third = np.where(owner[2:] == line, after[2:], U64(1))
+    two = join_names(hashes, second)
+    return np.where(codes <= ONCE, hashes, np.where(codes <= SOME, two, join_names(two, third)))
+
+
+def _prefix(n: np.ndarray, once: np.ndarray, some: np.ndarray, percent: int, short: bool) -> np.ndarray:
+    """How many of the first keys of a line a similar line can lack at most; it shares one of those and the next.
+
+    Of the words of a line up to ``100 - percent`` % are missing in a similar one, and the fewer, the more words
+    that one has in between. A missing word breaks the keys that hold it (1, 2 or 3), a word in between one key
+    less; above 67 % a longer partner never breaks more than the shortest, whose words are all shared.
+    """
+    lost = n * (100 - percent)
+    if short:
+        return lost // 100
+    rest = lost - 100 * once
+    return np.where(rest < 0, lost, np.where(2 * rest < 100 * some, 100 * once + 2 * rest, 100 * once - 50 * some + 3 * rest)) // 100
 
 
 def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """One row per line with a word: its place, size, set name, bitmap and prefix (words and their positions)."""
+    """One row per line with a word: its place, size, set name, bitmap and the keys of its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     schema = ("key_a long, key_b int, doc_id long, line int, n int, set_a long, set_b long, "
-              + "".join(f"{b} long, " for b in ALL_BITS) + "words array<int>, places array<int>")
+              + "".join(f"{b} long, " for b in BITS) + "names array<long>")
+    short = percent < 67
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
@@ -105,44 +148,56 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
             n = np.bincount(line, minlength=count)
             begin = np.cumsum(n) - n
             place = np.arange(len(line)) - begin[line]
-            prefix = (place < (n - -(-percent * n // 100) + 1)[line]) & (codes > 1)
+            once = np.bincount(line[codes <= ONCE], minlength=count)
+            some = np.bincount(line[codes <= SOME], minlength=count) - once
+            prefix = (place <= _prefix(n, once, some, percent, short)[line]) & (codes > ONCE)
             at = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=count)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 *(part.column(c).take(pa.array(owner)) for c in ("key_a", "key_b", "doc_id")),
-                pa.array(number, pa.int32()), pa.array(n, pa.int32()), *_set_names(line, hashes, count), *_bitmaps(hashes, begin, n),
-                *(pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (
-                    (hashes[prefix] >> U64(32)).astype(np.uint32).view(np.int32), place[prefix]))],
+                pa.array(number, pa.int32()), pa.array(n, pa.int32()), *_set_names(line, hashes, count), *_bitmaps(hashes, begin),
+                pa.ListArray.from_arrays(at, pa.array(_keys(line, hashes, codes, short)[prefix].view(np.int64)))],
                 names=[f.split()[0] for f in schema.split(", ")])
 
     return docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _near(a: str, b: str, bits: list[str], percent: int) -> Column:
-    n = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
-    return (100 + percent) * (n - differ) >= 2 * percent * n
+def _active(signed: DataFrame) -> DataFrame:
+    """The lines that have a copy or share a key with another set, with those keys; by chance some others.
+
+    The rest, most lines, are the first of their kind and meet no similar one.
+    """
+    def met(half: int) -> DataFrame:
+        mine = F.col("name").bitwiseAND(1) == half
+        names = signed.select(F.explode("names").alias("name"), "set_a").where(mine).select("name", F.hash("set_a", "name").alias("member")).union(
+            signed.select(F.col("set_b").alias("name"), F.hash("key_a", "line").alias("member")).where(mine))
+        return staged(names.groupBy("name").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high").select("name"), "met")
+
+    found = marks(met(0).union(met(1)))  # one after the other, so that half of all names lie on disk at once
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lambda names: found.value[slot_of(mix(names.to_numpy().view(U64)))] > 0
+        for batch in batches:
+            lists = batch.column("names")
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            held = known(flat)
+            left = np.bincount(np.repeat(np.arange(batch.num_rows), sizes)[held], minlength=batch.num_rows)
+            at = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
+            fewer = pa.ListArray.from_arrays(at, flat.filter(pa.array(held)))
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:-1], fewer], names=batch.schema.names)
+            yield rows.filter(pa.array((left > 0) | known(batch.column("set_b"))))
 
-def _near_on_long_maps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The (earlier, later, long) pairs that also pass on the wide bitmaps, which only long lines have."""
-    wide = classes.where(F.col("n") > LONG).select("id", "n", *LONG_BITS)
-    kept = (pairs.where("long").join(wide.alias("a"), F.col("earlier") == F.col("a.id")).join(wide.alias("b"), F.col("later") == F.col("b.id"))
-            .where(_near("a", "b", LONG_BITS, percent)).select("earlier", "later"))
-    return pairs.where("not long").select("earlier", "later").union(kept)
+    return signed.mapInArrow(run, signed.schema)
 
 
-def _may_match(a: str, b: str, percent: int, placed: bool = True) -> Column:
-    """``a`` is earlier and passes the length, bitmap and (if ``placed``) positional filters on an entry of the same word.
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """``a`` is earlier and passes the length and bitmap filters.
 
-    Similar lines pass all: bits that differ are at most the words in which the lines differ.
+    Similar lines pass: bits that differ are at most the words in which the lines differ.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    near = lambda bits: _near(a, b, bits, percent)
-    passes = (F.col(f"{a}.id") < F.col(f"{b}.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near(SHORT_BITS)
-    if placed:
-        i, j = F.col(f"{a}.place"), F.col(f"{b}.place")
-        passes = passes & ((100 + percent) * (F.least(i, j) + F.least(n - i, m - j)) >= percent * (n + m))
-    return passes
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
+    return ((F.col(f"{a}.id") < F.col(f"{b}.id")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -163,19 +218,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
             buffer, offsets = text_buffer(part.column("text"))
-            starts, ends, line, owner, number = _words_in_lines(buffer, offsets)
+            starts, ends, owner, number = _line_spans(buffer, offsets)
             key = part.column("key_a").to_numpy().view(U64)
             passes = marked.value[slot_of(_place_name(key[owner], number))] > 0
-            held, count = passes[line], int(passes.sum())
-            line = (np.cumsum(passes) - 1)[line[held]]
-            line, hashes, _ = _distinct(line, span_hashes(buffer, starts, ends, LOWER)[held])
-            begin = np.searchsorted(line, np.arange(count + 1))
+            count, sizes = int(passes.sum()), (ends - starts)[passes]
+            places = np.concatenate(([0], np.cumsum(sizes)))
+            buffer = buffer[np.repeat(starts[passes] - places[:-1], sizes) + np.arange(places[-1])]
+            starts, ends, line = word_spans(buffer, places)
+            line, hashes, _ = _distinct(line, span_hashes(buffer, starts, ends, LOWER))
+            begin = np.searchsorted(line, np.arange(count + 1)).astype(np.int32) * 8
             yield pa.RecordBatch.from_arrays([
-                *_set_names(line, hashes, count),
-                pa.array([hashes[begin[i]: begin[i + 1]].tobytes() for i in range(count)], pa.binary())], names=["set_a", "set_b", "hashes"])
+                part.column("key_a").take(pa.array(owner[passes])), pa.array(number[passes], pa.int32()), *_set_names(line, hashes, count),
+                pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(begin), pa.py_buffer(hashes)])],
+                names=["key_a", "line", "set_a", "set_b", "hashes"])
 
-    lines = docs.select("key_a", "text").mapInArrow(gather, "set_a long, set_b long, hashes binary")
-    found = staged(wanted.join(lines, ["set_a", "set_b"]).select("id", "hashes"), "sets")
+    lines = docs.select("key_a", "text").mapInArrow(gather, "key_a long, line int, set_a long, set_b long, hashes binary")
+    found = staged(wanted.join(lines, ["key_a", "line", "set_a", "set_b"]).select("id", "hashes").dropDuplicates(["id"]), "sets")
     side = lambda s: found.select(F.col("id").alias(s), F.col("hashes").alias(f"h_{s}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,37 +263,40 @@ def similar_lines(keyed_docs: DataFrame, percent: int = 80) -> DataFrame:
     earlier ones there, so a family of many variants does not become all its pairs.
     """
     signed = staged(_signatures(keyed_docs, word_rarity(keyed_docs), percent), "signed")
-    lines = staged(signed.select("key_a", "key_b", "doc_id", "line", "set_a", "set_b"), "lines")
-    first = lines.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "key_b")).alias("f")).select("set_a", "set_b", "f.*")
-    kept = ["doc_id", "line", "key_a", "n", *ALL_BITS, "words", "places"]
-    classes = staged(signed.join(first, ["set_a", "set_b", "doc_id", "line", "key_a", "key_b"], "left_semi").select("set_a", "set_b", "key_b", *kept).dropDuplicates(
-        ["set_a", "set_b", "doc_id", "line", "key_a", "key_b"]).repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
-        .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
+    active = staged(_active(signed), "active")
     dropped(signed)
-    light = ["n", *SHORT_BITS]
-    entries = lambda some: some.select("id", *light, F.explode(F.arrays_zip("words", "places")).alias("e")).select(
-        F.col("e.words").alias("word"), "id", F.col("e.places").alias("place"), *light)
-    met = entries(classes).groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("met")).where("met > 1").select("word", "id")
+    first = active.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "key_b")).alias("f"))
+    place = F.struct("doc_id", "line")
+    judged = staged(active.join(first, ["set_a", "set_b"]).select(
+        *(c for c in active.columns if c != "names"), (F.struct("f.doc_id", "f.line") < place).alias("copy"),
+        F.when(F.col("f") == F.struct("doc_id", "line", "key_a", "key_b"), F.col("names")).alias("names")), "judged")
+    dropped(active)
+    kept = ["set_a", "set_b", "key_a", "line", "n", *BITS, "names"]
+    classes = staged(judged.where(F.size("names") > 0).dropDuplicates(["set_a", "set_b"]).select("doc_id", *kept)
+                     .repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
+                     .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
+    light = ["n", *BITS]
+    entries = lambda some: some.select("names", F.posexplode("names").alias("at", "name"), "id", *light).withColumn(
+        "before", F.slice("names", F.lit(1), F.col("at"))).drop("names", "at")
+    met = entries(classes).groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("met")).where("met > 1").select("name", "id")
     heads = staged(met.join(classes.select("id", *light), "id"), "heads")
 
-    def pairs(joined: DataFrame, a: str, b: str, placed: bool) -> DataFrame:
-        long = (F.col(f"{a}.n") > LONG) & (F.col(f"{b}.n") > LONG)
-        near = joined.where(_may_match(a, b, percent, placed)).select(F.col(f"{a}.id").alias("earlier"), F.col(f"{b}.id").alias("later"), long.alias("long"))
-        return _near_on_long_maps(staged(near.distinct(), "near"), classes, percent)
+    def pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
+        return joined.where(_may_match(a, b, percent)).select(F.col(f"{a}.id").alias("earlier"), F.col(f"{b}.id").alias("later")).distinct()
 
-    tested = staged(pairs(heads.alias("h").join(entries(classes).alias("m"), "word"), "h", "m", False), "pairs")
+    tested = staged(pairs(heads.alias("h").join(entries(classes).alias("m"), "name"), "h", "m"), "pairs")
     dropped(heads)
     gone = staged(_verified(tested, classes, keyed_docs, percent), "gone")
     left = classes.join(gone, F.col("id") == F.col("later"), "left_anti")
-    rest = staged(pairs(entries(classes).alias("e").join(entries(left).alias("l"), "word"), "e", "l", True)
+    first_shared = ~F.arrays_overlap("e.before", "l.before")  # a pair comes out once, however many keys it shares
+    rest = staged(pairs(entries(classes).alias("e").join(entries(left).alias("l"), "name").where(_may_match("e", "l", percent) & first_shared), "e", "l")
                   .join(tested, ["earlier", "later"], "left_anti"), "pairs")
     dropped(tested)
-    gone = gone.union(_verified(rest, classes, keyed_docs, percent))
-    judged = staged(classes.join(gone, F.col("id") == F.col("later"), "left").select(
-        "set_a", "set_b", F.col("doc_id").alias("of"), F.col("line").alias("at"), F.col("later").isNotNull().alias("gone")), "judged")
+    late = gone.union(_verified(rest, classes, keyed_docs, percent))
+    sets = staged(classes.join(late, F.col("id") == F.col("later"), "left_semi").select("set_a", "set_b"), "gone")
     dropped(classes, rest)
-    return lines.join(judged, ["set_a", "set_b"]).where(
-        F.col("gone") | (F.struct("of", "at") < F.struct("doc_id", "line"))).select("key_a", "key_b", "line")
+    out = ["key_a", "key_b", "line"]
+    return judged.where("copy").select(*out).union(judged.where("not copy").join(sets, ["set_a", "set_b"], "left_semi").select(*out))
 
 
 def remove_similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -172,10 +172,14 @@ def _active(signed: DataFrame) -> DataFrame:
             signed.select(F.col("set_b").alias("name"), F.hash("key_a", "line").alias("member")).where(mine))
         return staged(names.groupBy("name").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high").select("name"), "met")
 
-    found = marks(met(0).union(met(1)))  # one after the other, so that half of all names lie on disk at once
+    shared = met(0).union(met(1))  # one after the other, so that half of all names lie on disk at once
+    found, turned = marks(shared), marks(shared.select(F.bitwise_not("name")))  # few names pass two tables by chance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lambda names: found.value[slot_of(mix(names.to_numpy().view(U64)))] > 0
+        def known(column: pa.Array) -> np.ndarray:
+            name = column.to_numpy().view(U64)
+            return (found.value[slot_of(mix(name))] > 0) & (turned.value[slot_of(mix(~name))] > 0)
+
         for batch in batches:
             lists = batch.column("names")
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())

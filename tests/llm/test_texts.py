@@ -223,6 +223,35 @@ def test_lines_that_meet_no_similar_one_are_done_early(spark):
     assert {r.doc_id for r in line_dedup.remove_similar_lines(docs).where("n_removed > 0").collect()} == {400, 401}
 
 
+def test_keys_of_one_set_alone_are_never_written(spark, monkeypatch):
+    """Of all keys of all lines, only those that two sets hold are staged; exactly their lines and copies go on."""
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"w{rng.integers(0, 900)}" for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[0], "x " + lines[1]])], "doc_id long, text string")
+    rows = suffix_dedup.keyed(docs)
+    signed = line_dedup._signatures(rows, line_dedup.word_rarity(rows), 80)
+    held, copies = {}, {}
+    for r in signed.collect():
+        copies.setdefault(r.set_a, set()).add(r.doc_id)
+        for name in r.names:
+            held.setdefault(name, set()).add(r.set_a)
+    shared = [sets for sets in held.values() if len(sets) > 1]
+    want = {i for s in set().union(*shared) for i in copies[s]} | {i for some in copies.values() if len(some) > 1 for i in some}
+    written, staged = [], line_dedup.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        if "names" in df.columns:
+            written.append(sum(len(r.names or ()) for r in out.select("names").collect()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    assert {r.doc_id for r in line_dedup._active(signed).collect()} == want
+    removed = line_dedup.remove_similar_lines(docs).where("n_removed > 0")
+    assert {r.doc_id for r in removed.collect()} == {300, 301}
+    assert max(written) <= sum(map(len, shared)) < sum(map(len, held.values())) / 4
+
+
 def sets_of(texts, k):
     for text in texts:
         w = words(text)

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import byte_slices, dropped, small_slices, staged, text_buffer
-from tidegrid.llm.slots import COUNTS, count_slots, marks, slot_of, slot_table
+from tidegrid.llm.slots import COUNTS, count_slots, slot_of, slot_table
 from tidegrid.llm.suffix_dedup import keyed
 from tidegrid.llm.textbytes import LOWER, U64, join_names, mix, span_hashes, sums_by, word_spans
 
@@ -90,6 +91,8 @@ def _place_name(key: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 #: A bitmap of 256 bits of a line's words.
 BITS = ["b0", "b1", "b2", "b3"]
+#: Keys that a task gathers before it deals them out.
+ENTRIES = 1 << 18
 #: Slot codes of words seen once, and of the words (up to about 256 times) that begin a key of two words.
 ONCE, SOME = 1, 30
 
@@ -161,36 +164,79 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     return docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _active(signed: DataFrame) -> DataFrame:
-    """The lines that have a copy or share a key with another set, with those keys; by chance some others.
+def _packed(signed: DataFrame, buckets: int) -> DataFrame:
+    """The names of all sets, dealt to buckets: 48 bits of a name and 48 of its set, twelve bytes an entry.
 
-    The rest, most lines, are the first of their kind and meet no similar one.
+    Lines that follow each other closely and have one set give its names once.
     """
-    def met(half: int) -> DataFrame:
-        mine = F.col("name").bitwiseAND(1) == half
-        names = signed.select(F.explode("names").alias("name"), "set_a").where(mine).select("name", F.hash("set_a", "name").alias("member")).union(
-            signed.select(F.col("set_b").alias("name"), F.hash("key_a", "line").alias("member")).where(mine))
-        return staged(names.groupBy("name").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high").select("name"), "met")
-
-    shared = met(0).union(met(1))  # one after the other, so that half of all names lie on disk at once
-    found, turned = marks(shared), marks(shared.select(F.bitwise_not("name")))  # few names pass two tables by chance
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def known(column: pa.Array) -> np.ndarray:
-            name = column.to_numpy().view(U64)
-            return (found.value[slot_of(mix(name))] > 0) & (turned.value[slot_of(mix(~name))] > 0)
-
+        def flushed() -> pa.RecordBatch:
+            sets, sizes, names = (np.concatenate(x) for x in zip(*held))
+            first = np.zeros(len(sets), bool)
+            first[np.unique(sets, return_index=True)[1]] = True
+            kept = np.repeat(first, sizes)
+            name, of = names[kept], np.repeat(sets, sizes)[kept] >> U64(16)
+            bucket = ((name & U64(0xFFFF)) * U64(buckets) >> U64(16)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, name, of = bucket[order], name[order] >> U64(16), of[order]
+            rows = np.stack([name, name >> U64(32) | of >> U64(32) << U64(16), of], axis=1).astype(np.uint32)  # the low halves
+            begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+            at = (12 * np.append(begin, len(bucket))).astype(np.int32)
+            entries = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(rows)])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), entries], names=["bucket", "entries"])
+
+        held, count = [], 0
         for batch in batches:
             lists = batch.column("names")
-            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            held = known(flat)
-            left = np.bincount(np.repeat(np.arange(batch.num_rows), sizes)[held], minlength=batch.num_rows)
-            at = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
-            fewer = pa.ListArray.from_arrays(at, flat.filter(pa.array(held)))
-            rows = pa.RecordBatch.from_arrays([*batch.columns[:-1], fewer], names=batch.schema.names)
-            yield rows.filter(pa.array((left > 0) | known(batch.column("set_b"))))
+            held.append((batch.column("set_a").to_numpy().view(U64), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(U64)))
+            count += len(held[-1][2])
+            if count >= ENTRIES:
+                yield flushed()
+                held, count = [], 0
+        if count:
+            yield flushed()
+
+    return signed.select("set_a", "names").mapInArrow(run, "bucket int, entries binary")
+
+
+def _shared_names(table: pa.Table) -> pa.Table:
+    """(name, of, many) of the names in a bucket that two sets or more hold; ``many``: three or more."""
+    rows = np.frombuffer(text_buffer(table.column("entries").combine_chunks())[0], np.uint32).reshape(-1, 3).astype(U64)
+    name = rows[:, 0] | (rows[:, 1] & U64(0xFFFF)) << U64(32)
+    order = np.argsort(name)
+    twice = np.diff(name[order]) == 0
+    some = order[np.append(twice, False) | np.insert(twice, 0, False)]
+    name, of = name[some], rows[some, 2] | rows[some, 1] >> U64(16) << U64(32)
+    name, of, _ = _distinct(name, of)
+    begin = np.flatnonzero(np.diff(name, prepend=~name[:1]))
+    sets = np.diff(np.append(begin, len(name)))
+    sets = np.repeat(sets, sets)
+    name = name << U64(16) | U64(table.column("bucket")[0].as_py())
+    kept = sets > 1
+    return pa.table({"name": name[kept].view(np.int64), "of": of[kept].view(np.int64), "many": sets[kept] > 2})
 
-    return signed.mapInArrow(run, signed.schema)
+
+def _active(signed: DataFrame) -> DataFrame:
+    """The lines that have a copy or share a key with another set, the rest being the first of their kind that meet no similar one.
+
+    ``copy``: an earlier line has the same set. The first line of a set has the keys (``names``) that its set shares, in one
+    order for all, and those of them that three sets or more share (``open``). ``signed`` is run twice, so that
+    its keys, most of them found nowhere else, never lie on disk beside what is made of them.
+    """
+    buckets = min(1 << 16, 16 * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = staged(_packed(signed, buckets).groupBy("bucket").applyInArrow(_shared_names, "name long, of long, many boolean"), "entries")
+    lines = staged(signed.drop("names"), "lines")
+    place = F.struct("doc_id", "line", "key_a", "key_b")
+    kinds = lines.groupBy("set_a", "set_b").agg(F.min(place).alias("f"), F.count("*").alias("lines"))
+    met = entries.groupBy("of").agg(F.array_sort(F.collect_list("name")).alias("names"), F.array_sort(F.collect_list(F.when(F.col("many"), F.col("name")))).alias("open"))
+    facts = staged(kinds.join(met, F.shiftrightunsigned("set_a", 16) == F.col("of"), "left").where("lines > 1 or of is not null")
+                   .select("set_a", "set_b", "f", "names", "open"), "facts")
+    dropped(entries)
+    of_first = lambda c: F.when(F.col("f") == place, F.col(c)).alias(c)
+    active = staged(lines.join(facts, ["set_a", "set_b"]).select(
+        *lines.columns, (F.struct("f.doc_id", "f.line") < F.struct("doc_id", "line")).alias("copy"), of_first("names"), of_first("open")), "active")
+    dropped(lines, facts)
+    return active
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -207,24 +253,28 @@ def _may_match(a: str, b: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The distinct ``later`` of (earlier, later) pairs of classes that are similar on their full sets.
 
-    A slot table of the places wanted, of fixed size, lets most other lines stay where they
-    are; those that it lets pass by chance fall out in the join.
+    Two slot tables of the places wanted, of fixed size, let most other lines stay where they
+    are; those that pass both by chance fall out in the join.
     """
     wanted = staged(pairs.select(F.col("earlier").alias("id")).union(pairs.select("later")).distinct()
                     .join(classes.select("id", "key_a", "line", "set_a", "set_b"), "id"), "wanted")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from count_slots(_place_name(b.column("key_a").to_numpy().view(U64), b.column("line").to_numpy()) for b in batches if b.num_rows)
+    def table(turned: bool) -> Broadcast:
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = (_place_name(b.column("key_a").to_numpy().view(U64), b.column("line").to_numpy()) for b in batches if b.num_rows)
+            yield from count_slots(mix(~x) if turned else x for x in names)
+
+        return docs.sparkSession.sparkContext.broadcast(slot_table(wanted.select("key_a", "line").mapInArrow(mark, COUNTS)))
 
-    marked = docs.sparkSession.sparkContext.broadcast(slot_table(
-        wanted.select("key_a", "line").mapInArrow(mark, COUNTS)))
+    marked, turned = table(False), table(True)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
             buffer, offsets = text_buffer(part.column("text"))
             starts, ends, owner, number = _line_spans(buffer, offsets)
             key = part.column("key_a").to_numpy().view(U64)
-            passes = marked.value[slot_of(_place_name(key[owner], number))] > 0
+            place = _place_name(key[owner], number)
+            passes = (marked.value[slot_of(place)] > 0) & (turned.value[slot_of(mix(~place))] > 0)
             count, sizes = int(passes.sum()), (ends - starts)[passes]
             places = np.concatenate(([0], np.cumsum(sizes)))
             buffer = buffer[np.repeat(starts[passes] - places[:-1], sizes) + np.arange(places[-1])]
@@ -264,25 +314,17 @@ def similar_lines(keyed_docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines with equal sets are one class. Of a class only its first line can be the first of its
     kind; it goes too if an earlier class is similar. Each class is tested against the first
     class of each of its prefix words; only classes that match none are tested against all
-    earlier ones there, so a family of many variants does not become all its pairs.
+    earlier ones there, so a family of many variants does not become all its pairs. Where two
+    sets share a key, the first test was all of it.
     """
-    signed = staged(_signatures(keyed_docs, word_rarity(keyed_docs), percent), "signed")
-    active = staged(_active(signed), "active")
-    dropped(signed)
-    first = active.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line", "key_a", "key_b")).alias("f"))
-    place = F.struct("doc_id", "line")
-    judged = staged(active.join(first, ["set_a", "set_b"]).select(
-        *(c for c in active.columns if c != "names"), (F.struct("f.doc_id", "f.line") < place).alias("copy"),
-        F.when(F.col("f") == F.struct("doc_id", "line", "key_a", "key_b"), F.col("names")).alias("names")), "judged")
-    dropped(active)
-    kept = ["set_a", "set_b", "key_a", "line", "n", *BITS, "names"]
+    judged = _active(_signatures(keyed_docs, word_rarity(keyed_docs), percent))
+    kept = ["set_a", "set_b", "key_a", "line", "n", *BITS, "names", "open"]
     classes = staged(judged.where(F.size("names") > 0).dropDuplicates(["set_a", "set_b"]).select("doc_id", *kept)
                      .repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line", "set_a", "set_b")
                      .withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of the lines
     light = ["n", *BITS]
-    entries = lambda some: some.select("names", F.posexplode("names").alias("at", "name"), "id", *light).withColumn(
-        "before", F.slice("names", F.lit(1), F.col("at"))).drop("names", "at")
-    met = entries(classes).groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("met")).where("met > 1").select("name", "id")
+    entries = lambda some: some.select(F.explode("names").alias("name"), "id", *light)
+    met = entries(classes).groupBy("name").agg(F.min("id").alias("id"))
     heads = staged(met.join(classes.select("id", *light), "id"), "heads")
 
     def pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
@@ -292,8 +334,10 @@ def similar_lines(keyed_docs: DataFrame, percent: int = 80) -> DataFrame:
     dropped(heads)
     gone = staged(_verified(tested, classes, keyed_docs, percent), "gone")
     left = classes.join(gone, F.col("id") == F.col("later"), "left_anti")
+    more = lambda some: some.select("open", F.posexplode("open").alias("at", "name"), "id", *light).withColumn(
+        "before", F.slice("open", F.lit(1), F.col("at"))).drop("open", "at")
     first_shared = ~F.arrays_overlap("e.before", "l.before")  # a pair comes out once, however many keys it shares
-    rest = staged(pairs(entries(classes).alias("e").join(entries(left).alias("l"), "name").where(_may_match("e", "l", percent) & first_shared), "e", "l")
+    rest = staged(pairs(more(classes).alias("e").join(more(left).alias("l"), "name").where(_may_match("e", "l", percent) & first_shared), "e", "l")
                   .join(tested, ["earlier", "later"], "left_anti"), "pairs")
     dropped(tested)
     late = gone.union(_verified(rest, classes, keyed_docs, percent))

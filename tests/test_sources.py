@@ -137,6 +137,26 @@ def test_compressed_tables_are_read_back(spark, rows, tmp_path):
     assert sorted((int(r.k), r.note, r.malformed) for r in back.collect()) == [(i, f'{i}\n"x"' if i % 3 else "", False) for i in range(200)]
 
 
+def test_compressed_files_hold_a_bounded_number_of_records(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_RECORDS", 30)
+    path = sinks.write_csv(rows([(i, f"{i}\nx") for i in range(200)], "k int, note string").coalesce(1), str(tmp_path / "out"), "gzip")
+    assert len(list((tmp_path / "out").glob("*.csv.gz"))) == 7
+    back = tables.read_manifest(spark, path, ["k", "note"])
+    assert sorted((int(r.k), r.note) for r in back.collect()) == [(i, f"{i}\nx") for i in range(200)]
+    assert {r.row_no for r in back.collect()} == set(range(2, 32))
+
+
+def test_the_video_hand_off_is_written_compressed(spark, rows, tmp_path, monkeypatch):
+    from workload import exchange
+
+    rows([(i, 100.0 * i) for i in range(1, 101)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(exchange, "shared_folder", lambda spark, label: str(tmp_path / label))
+    found = {r.source: (r.n, r.ids) for r in exchange.read_video_source(spark, str(tmp_path)).collect()}
+    assert found == {"windows30": (100, 100), "windows5": (598, 598), "features": (98, 98)}
+    files = [p.name for p in (tmp_path / "video").rglob("part-*")]
+    assert files and all(name.endswith(".csv.gz") for name in files)
+
+
 def test_a_record_that_grows_too_long_comes_in_pieces(monkeypatch):
     monkeypatch.setattr(records, "RECORD_LIMIT", 40)
     lines = [b'1,"open', *[b"0123456789"] * 20, b'end",z', b"2,b"]

@@ -285,22 +285,64 @@ def assign_split(rows: DataFrame, splits: DataFrame, strict: bool = False) -> Da
 
 # -- video windows and their children -----------------------------------------
 
+def _near(id: Column, stretch: int) -> Column:
+    """A number that ids share if they have one stem and start in one stretch of time. Equal ids have equal numbers, whatever they look like."""
+    tail = F.substring_index(id, "_", -2)
+    cut = F.call_function("div", F.substring_index(tail, "_", 1).try_cast("bigint"), F.lit(stretch))
+    stem = F.substring(id, F.lit(1), F.length(id) - F.length(tail))
+    return F.when(cut.isNotNull(), F.xxhash64(stem, cut)).when(id.isNotNull(), F.xxhash64(id))
+
+
+def _by_id(left: DataFrame, right: DataFrame, id: str, right_id: str, stretch: int) -> DataFrame:
+    """Left join on equal ids, dealt by ``_near``.
+
+    What neighbours in time have in common lies together in the shuffle and is packed away there: rows take a
+    fraction of the bytes. A stretch holds eight ids or so of a session, each of which meets the others. The
+    ids are compared as a range, since Spark would deal rows by ids that it knows to be equal.
+    """
+    mine, theirs = f"__near_{id}", f"__near_{right_id}"
+    left = left if mine in left.columns else left.withColumn(mine, _near(F.col(id), stretch))
+    right = right if theirs in right.columns else right.withColumn(theirs, _near(F.col(right_id), stretch))
+    return left.join(right, (F.col(mine) == F.col(theirs)) & F.col(id).between(F.col(right_id), F.col(right_id)), "left")
+
+
+#: Stretches of the ids of windows (in ms) and of their children (in us): a parent, a window.
+_PARENT, _WINDOW = C.PARENT_MS, C.WINDOW_MS * 1000
+
+
+def _short(kids: Column, window_id: Column) -> Column:
+    """The listed children of a window as a text that is equal for equal lists of one window: the list, or a sign where it is the one that follows from the id."""
+    start = F.substring_index(F.substring_index(window_id, "_", -2), "_", 1).try_cast("bigint")
+    session = F.regexp_extract(window_id, r"\Avideo30__(.*)__\d+_\d+\z", 1)
+    return F.when(kids == F.array_join(ids.video_child_ids(session, start), "|"), "=").otherwise(F.concat(F.lit("!"), kids))
+
+
+def _listed(rows: DataFrame, id: str) -> DataFrame:
+    """Adds ``kids``, the listed children in short: long texts stay out of the shuffle."""
+    return rows.withColumn("kids", _short(F.col("video_subwindow_ids"), F.col(id)))
+
+
+def _out_of_order() -> Column:
+    return F.split("video_subwindow_ids", r"\|") != ids.video_child_ids(F.col("session_id"), F.col("window_start_ms"))
+
+
 def child_binding(windows: DataFrame, features: DataFrame, children: DataFrame) -> DataFrame:
     """Codes of each 30 s row against its feature row and six ordered children.
 
     All findings are reported, first those of the row, then per position. A
     window has exactly six expected children, so gathering them is bounded.
     """
-    w = windows.join(prefixed(features, "f_"), F.col("sample_id") == F.col("f_sample_id"), "left")
+    listed = _listed(windows, "sample_id").withColumn("out_of_order", _out_of_order())
+    w = _by_id(listed, prefixed(_listed(features, "sample_id"), "f_"), "sample_id", "f_sample_id", _PARENT)
     start, end = F.col("window_start_ms"), F.col("window_end_ms")
     expected = ids.video_child_ids(F.col("session_id"), start)
     own = codes_where(
         ("source_30s_duration", end - start != C.WINDOW_MS),
         ("source_30s_id", F.col("sample_id") != ids.video_window_id(F.col("session_id"), start, end)),
         ("source_subject_session", ~F.startswith("session_id", F.concat("subject_id", F.lit("_")))),
-        ("source_5s_order_or_identity", F.split("video_subwindow_ids", r"\|") != expected),
+        ("source_5s_order_or_identity", F.col("out_of_order")),
         ("source_feature_sample_id", F.col("f_sample_id").isNull()),
-        ("source_feature_subwindow_ids", F.col("f_video_subwindow_ids") != F.col("video_subwindow_ids")),
+        ("source_feature_subwindow_ids", F.col("f_kids") != F.col("kids")),
         ("source_feature_member", F.col("f_relative_path") != F.concat(F.lit("features_30s/"), "sample_id", F.lit(".npz"))),
         ("source_feature_shape_or_dtype", (F.col("f_feature_shape") != "[6,96]") | (F.col("f_feature_dtype") != "float32")),
     )
@@ -308,7 +350,7 @@ def child_binding(windows: DataFrame, features: DataFrame, children: DataFrame)
     # Both sides are large, and an exploded side looks smaller to the optimizer
     # than it is, so it must not be taken for a broadcast.
     right = prefixed(children, "c_").hint("merge")
-    joined = wide.join(right, F.col("child_id") == F.col("c_sample_id"), "left")
+    joined = _by_id(wide, right, "child_id", "c_sample_id", _WINDOW)
     pos = F.col("position").cast("string")
     found = F.col("c_sample_id").isNotNull()
 
@@ -338,23 +380,19 @@ def child_binding(windows: DataFrame, features: DataFrame, children: DataFrame)
 def pair_binding(pairs: DataFrame, windows: DataFrame, features: DataFrame, children: DataFrame) -> DataFrame:
     """Codes of each pair row against the source window and feature it names."""
     bound = child_binding(windows, features, children).withColumnsRenamed({"sample_id": "__wid", "codes": "__child"})
-    joined = (
-        pairs
-        .join(prefixed(windows, "w_"), F.col("video_sample_id") == F.col("w_sample_id"), "left")
-        .join(prefixed(features, "f_"), F.col("video_sample_id") == F.col("f_sample_id"), "left")
-        .join(bound, F.col("video_sample_id") == F.col("__wid"), "left")
-    )
+    joined = _listed(pairs, "video_sample_id").withColumn("out_of_order", _out_of_order())
+    for table, id in ((prefixed(_listed(windows, "sample_id"), "w_"), "w_sample_id"), (prefixed(features, "f_"), "f_sample_id"), (bound, "__wid")):
+        joined = _by_id(joined, table, "video_sample_id", id, _PARENT)
     start, end = F.col("window_start_ms"), F.col("window_end_ms")
     head = codes_where(
         ("pair_video_sample_id", F.col("video_sample_id") != ids.video_window_id(F.col("session_id"), start, end)),
-        ("pair_video_5s_order_or_identity",
-         F.split("video_subwindow_ids", r"\|") != ids.video_child_ids(F.col("session_id"), start)),
+        ("pair_video_5s_order_or_identity", F.col("out_of_order")),
     )
     missing = F.col("w_sample_id").isNull() | F.col("f_sample_id").isNull()
     body = codes_where(
         *[(f"pair_video_{f}", ~same_value(F.col(f), F.col(f"w_{f}"), field_kind(f), 1e-6, 0.0))
           for f in C.PAIR_WINDOW_FIELDS],
-        ("pair_video_subwindow_ids", F.col("video_subwindow_ids") != F.col("w_video_subwindow_ids")),
+        ("pair_video_subwindow_ids", F.col("kids") != F.col("w_kids")),
         ("pair_video_source_invalid", ~F.col("w_valid")),
         ("pair_video_feature_member", F.col("video_feature_member") != F.col("f_relative_path")),
         ("pair_video_feature_shape", F.col("video_feature_shape") != F.col("f_feature_shape")),
